@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, gram_join, surrogates, toxicity
+from . import bpe, decontamination, gram_join, surrogates, token_counts, toxicity
 from .columns import table
 
 
@@ -29,6 +29,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 

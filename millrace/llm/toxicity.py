@@ -48,10 +48,14 @@ class Model:
 NOTHING = Model(np.zeros(0, np.int32), np.zeros(0), -10.0, 0.5)
 
 
+def _kind(words: np.ndarray, k: int) -> np.ndarray:
+    """Buckets of the k-th kind of feature at each place of a text."""
+    return ((gram_hashes(words, SKIPS[k]) ^ np.uint64(k * 0x5851F42D4C957F2D)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
 def features(words: np.ndarray) -> np.ndarray:
     """Bucket of each feature of a text, with repeats."""
-    kinds = [gram_hashes(words, gaps) + np.uint64(k) for k, gaps in enumerate(SKIPS)]
-    return (np.concatenate(kinds) >> np.uint64(64 - BITS)).astype(np.int32)
+    return np.concatenate([_kind(words, k) for k in range(len(SKIPS))])
 
 
 class Ftrl:
@@ -120,7 +124,7 @@ def score(model: Model, texts: list[str | None]) -> np.ndarray:
     words, at = word_hashes(texts)
     for k, gaps in enumerate(SKIPS):
         # over the whole batch at once; features that would reach into the next text are left out
-        found = (gram_hashes(words, gaps) + np.uint64(k) >> np.uint64(64 - BITS)).astype(np.int32)
+        found = _kind(words, k)
         hits = np.flatnonzero(quick[found & 0xFFFF])
         place = np.searchsorted(model.buckets, found[hits])
         place[place == len(model.buckets)] = 0

@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, gram_join, surrogates, token_counts, toxicity
+from . import bpe, decontamination, gram_join, licenses, quotes, surrogates, token_counts, toxicity, warc
 from .columns import table
 
 
+def op1_warc_dictionary_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_frames(table(spark, sf_dir, "pages"))
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.with_surrogates(docs).drop("text").withColumnRenamed("surrogate_text", "text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, gram_join, licenses, quotes, surrogates, token_counts, toxicity, warc
+from . import bpe, decontamination, gram_join, image_match, licenses, quotes, surrogates, token_counts, toxicity, warc
 from .columns import table
 
 
@@ -31,6 +31,10 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(docs).drop("text").withColumnRenamed("surrogate_text", "text")
 
 
+def op6_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_match.copies(image_match.drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram_join.similar_documents(table(spark, sf_dir, "documents"))
 

@@ -100,6 +100,11 @@ def _pack(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def _counts(x: np.ndarray) -> bytes:
+    """In as few bytes each as the largest needs."""
+    return _pack(x, "<u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4")
+
+
 def _six(x: np.ndarray) -> bytes:
     """The low 48 bits of each number."""
     return np.ascontiguousarray(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -151,7 +156,7 @@ def _by_range(buckets: int, n: int):
                             new = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
                             own = owner[a:b][new]
                             counts = np.diff(np.append(new, b - a))
-                            rows.append((k, 1, None, None, None, _pack(names[own], "<i8"), _pack(counts, "<u2") if counts.max() < 65536 else _pack(counts, "<u4"), _six(grams[a:b])))
+                            rows.append((k, 1, None, None, None, _pack(names[own], "<i8"), _counts(counts), _six(grams[a:b])))
                 yield from _table(rows, _STEP1).to_batches()
 
     return run
@@ -159,7 +164,7 @@ def _by_range(buckets: int, n: int):
 
 def _unpack(classes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     names = np.frombuffer(classes, "<i8")
-    return names, np.frombuffer(counts, "<u2" if len(counts) == 2 * len(names) else "<u4").astype(np.int64)
+    return names, np.frombuffer(counts, f"<u{len(counts) // len(names)}").astype(np.int64)
 
 
 # ---- step 2: repeated grams, packed by class ----
@@ -213,7 +218,7 @@ def _repeated(buckets: int):
                     if b > a:
                         new = np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))
                         counts = np.diff(np.append(new, b - a))
-                        rows.append((k, 1, None, None, None, _pack(name[a:b][new], "<i8"), _pack(counts, "<u2") if counts.max() < 65536 else _pack(counts, "<u4"), _six(gram[a:b]), rank[a:b].tobytes()))
+                        rows.append((k, 1, None, None, None, _pack(name[a:b][new], "<i8"), _counts(counts), _six(gram[a:b]), rank[a:b].tobytes()))
         return _table(rows, _STEP2)
 
     return run
@@ -293,8 +298,8 @@ def _prefixes(buckets: int):
     return run
 
 
-_PAIRS = [("block", pa.int64()), ("pairs", pa.binary())]
-_PAIRS_DDL = "block bigint, pairs binary"
+_PAIRS = [("block", pa.int64()), ("classes", pa.binary()), ("counts", pa.binary()), ("partners", pa.binary())]
+_PAIRS_DDL = "block bigint, classes binary, counts binary, partners binary"
 
 
 def _candidates(blocks: int, t: float):
@@ -342,14 +347,16 @@ def _candidates(blocks: int, t: float):
             pairs, block = pairs[order], block[order]
             new = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))[: len(block)]
             for a, b in zip(new, np.append(new[1:], len(block))):
-                rows.append((int(block[a]), _pack(pairs[a:b], "<i8")))
+                first = np.flatnonzero(np.concatenate(([True], pairs[a + 1 : b, 0] != pairs[a : b - 1, 0])))
+                rows.append((int(block[a]), _pack(pairs[a:b, 0][first], "<i8"), _counts(np.diff(np.append(first, b - a))), _pack(pairs[a:b, 1], "<i8")))
         return _table(rows, _PAIRS)
 
     return run
 
 
 def _block(a: np.ndarray, b: np.ndarray, blocks: int) -> np.ndarray:
-    return a % blocks * blocks + b % blocks
+    a, b = a % blocks, b % blocks
+    return np.minimum(a, b) * blocks + np.maximum(a, b)
 
 
 # ---- step 5: verification ----
@@ -360,7 +367,11 @@ _WANTED_DDL = "class bigint, block bigint, pairs binary"
 
 def _distinct_pairs(group: pa.Table) -> pa.Table:
     """A row with the distinct pairs of a block pair (class null), and one for each class that they need."""
-    raw = np.concatenate([np.frombuffer(p, "<i8") for p in group.column("pairs").to_pylist()]).reshape(-1, 2)
+    parts = []
+    for c, m, p in zip(*(group.column(x).to_pylist() for x in ("classes", "counts", "partners"))):
+        own, counts = _unpack(c, m)
+        parts.append(np.stack((np.repeat(own, counts), np.frombuffer(p, "<i8")), 1))
+    raw = np.concatenate(parts)
     block = group.column("block")[0].as_py()
     raw = raw[np.lexsort((raw[:, 1], raw[:, 0]))]
     pairs = raw[np.concatenate(([True], (raw[1:] != raw[:-1]).any(axis=1)))]
@@ -406,7 +417,8 @@ def _buckets(df: DataFrame) -> int:
 
 def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """kind, doc_ids, class, size, grams, prefix: the sets that have several documents or may have a partner."""
-    buckets = _buckets(docs)
+    # a class has a header in every range that it has grams in: fewer ranges than partitions keep those few
+    buckets = max(2, _buckets(docs) // 2)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = source.mapInArrow(_by_range(buckets, n), _STEP1_DDL)
     repeated = packed.groupBy("bucket").applyInArrow(_repeated(buckets), _STEP2_DDL)

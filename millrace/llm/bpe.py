@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import with_computed
+from .columns import map_arrow, with_computed
 
 RANKS = os.environ.get("MILLRACE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,4 +119,4 @@ def with_text(tokens: DataFrame, ranks: str = RANKS) -> DataFrame:
                 raw = [None if t is None else decode(enc, t) for t in some.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[some.column(i) for i in kept], pa.array(raw, pa.binary()), pa.array([text(r) for r in raw], pa.string())], names=schema.names)
 
-    return tokens.mapInArrow(run, schema)
+    return map_arrow(tokens, run, schema)

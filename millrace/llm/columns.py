@@ -20,6 +20,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, dots included."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable[[list[str | None]], list], column: str = "text", chars: int = 4_000_000) -> DataFrame:
     """docs with one column more for each of added, from compute(texts) -> one list or Arrow array per column.
 
@@ -28,7 +42,7 @@ def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable
     runs of about `chars` characters, so that long texts don't add up in memory.
     """
     taken = {f.name.lower() for f in added}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+    kept = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in taken])
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in added]
@@ -42,4 +56,4 @@ def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *[n for n, _ in kinds]])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+    return map_arrow(kept, run, T.StructType([*kept.schema.fields, *added]))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import texts_of
+from .columns import map_arrow, texts_of
 from .textvec import normalise, slices
 
 WINDOW, MIN_WORDS = 13, 5
@@ -108,12 +109,11 @@ def _chunks(benchmark: DataFrame, max_chars: int) -> list[list[tuple[int | None,
     return [[(r[0], r[1]) for r in items.filter(part == k).collect()] for k in range(n)]
 
 
-def _built(shared, window: int, min_words: int):
-    """This worker's automaton for a broadcast list of items; built once, the last one is kept."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), window, min_words)
-    if _CACHE.get("key") != key:
+def _built(token: str, shared, window: int, min_words: int):
+    """This worker's automaton for a broadcast list of items; built once, the last one is kept. The token names the list."""
+    if _CACHE.get("token") != token:
         _CACHE.clear()
-        _CACHE.update(key=key, automaton=automaton(shared.value, window, min_words), ids=[i for i, _ in shared.value])
+        _CACHE.update(token=token, automaton=automaton(shared.value, window, min_words), ids=[i for i, _ in shared.value])
     return _CACHE["automaton"], _CACHE["ids"]
 
 
@@ -125,10 +125,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     spark, out = docs.sparkSession, None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for items in _chunks(benchmark, max_chars):
-        shared = spark.sparkContext.broadcast(items)
+        shared, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            built, places = _built(shared, window, min_words)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            built, places = _built(token, shared, window, min_words)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 rows = [(i, *m) for i, text in zip(ids, texts_of(batch)) for m in matches(built, text, places)]
@@ -145,10 +145,10 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min
     spark = docs.sparkSession
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
     for items in _chunks(benchmark, max_chars):
-        shared = spark.sparkContext.broadcast(items)
+        shared, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            built, _ = _built(shared, window, min_words)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            built, _ = _built(token, shared, window, min_words)
             for batch in batches:
                 if built is None:
                     yield batch
@@ -158,5 +158,5 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min
                     keep = [next(built.iter(f" {normalise(t)} "), None) is None if t else True for t in texts[first:last]]
                     yield batch.slice(first, last - first).filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

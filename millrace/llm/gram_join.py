@@ -36,7 +36,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import texts_of
+from .columns import quoted, texts_of
 from .textvec import gram_hashes, mix, slices, word_hashes
 
 N, THRESHOLD = 5, 0.4
@@ -533,4 +533,4 @@ def drop_similar(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame
     name = next(c for c in docs.columns if c.lower() == "doc_id")
     if gone.count() * 8 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(f"`{name}`").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(quoted(name)).cast("long") == F.col("__gone"), "left_anti")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import with_computed
+from .columns import quoted, with_computed
 
 KEY = b"millrace default key: set your own"
 TYPES = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
@@ -289,6 +289,6 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, in_place: bool = False) -
         made = with_computed(docs, [T.StructField("__surrogate_text", T.StringType())], compute, name)
         from pyspark.sql import functions as F
 
-        return made.select(*[F.col("__surrogate_text").alias(c) if c == name else F.col(f"`{c}`") for c in docs.columns])
+        return made.select(*[F.col("__surrogate_text").alias(c) if c == name else F.col(quoted(c)) for c in docs.columns])
     added = [T.StructField("surrogate_text", T.StringType()), T.StructField("n_entities", T.IntegerType()), T.StructField("entity_types", T.MapType(T.StringType(), T.IntegerType()))]
     return with_computed(docs, added, compute)

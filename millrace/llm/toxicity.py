@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import with_computed
+from .columns import map_arrow, with_computed
 from .textvec import gram_hashes, slices, word_hashes
 
 BITS = 30
@@ -178,4 +178,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             for first, last in slices(texts):
                 yield batch.slice(first, last - first).filter(pa.array(score(shared.value, texts[first:last]) <= shared.value.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

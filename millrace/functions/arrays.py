@@ -115,9 +115,9 @@ def rewrite_call(name: str, args: list[str]) -> str:
     total = "aggregate(mr_a, 0D, (mr_s, mr_v) -> mr_s + mr_v)"
     # an array in an array gives the values a name, so that they are computed once
     body = {
-        "array_sum": f"case when size(mr_a) = 0 then cast(null as double) else {total} end",
-        "array_avg": f"case when size(mr_a) = 0 then cast(null as double) else {total} / size(mr_a) end",
-        "array_min": "case when size(mr_a) = 0 then cast(null as double) else coalesce(array_min(filter(mr_a, mr_v -> not isnan(mr_v))), double('Infinity')) end",
-        "array_max": "case when size(mr_a) = 0 then cast(null as double) else coalesce(array_max(filter(mr_a, mr_v -> not isnan(mr_v))), double('-Infinity')) end",
+        "array_sum": f"case when mr_a is null or size(mr_a) = 0 then cast(null as double) else {total} end",
+        "array_avg": f"case when mr_a is null or size(mr_a) = 0 then cast(null as double) else {total} / size(mr_a) end",
+        "array_min": "case when mr_a is null or size(mr_a) = 0 then cast(null as double) else coalesce(array_min(filter(mr_a, mr_v -> not isnan(mr_v))), double('Infinity')) end",
+        "array_max": "case when mr_a is null or size(mr_a) = 0 then cast(null as double) else coalesce(array_max(filter(mr_a, mr_v -> not isnan(mr_v))), double('-Infinity')) end",
     }[name]
     return f"transform(array({values}), mr_a -> {body})[0]"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +21,33 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def release() -> None:
+    """Hands freed memory back to the system: Python workers live on between tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow or applyInArrow, with release() after each task or group."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    def grouped(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return grouped if getattr(run, "__annotations__", {}).get("group") is not None else mapped
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """df.mapInArrow(run, schema) for columns of any name, dots included."""
     names = df.columns
@@ -27,14 +55,14 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(b.rename_columns(names) for b in batches)
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(renamed), schema)
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable[[list[str | None]], list], column: str = "text", chars: int = 4_000_000) -> DataFrame:
+def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable[[list[str | None]], list], column: str = "text", chars: int = 1_500_000) -> DataFrame:
     """docs with one column more for each of added, from compute(texts) -> one list or Arrow array per column.
 
     Input columns that have the name of an added one are replaced, whatever

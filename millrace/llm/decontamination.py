@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import map_arrow, texts_of
+from .columns import lean, map_arrow, texts_of
 from .textvec import normalise, slices
 
 WINDOW, MIN_WORDS = 13, 5
@@ -135,7 +135,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=MATCHES.names)
 
-        found = source.mapInArrow(run, MATCHES)
+        found = source.mapInArrow(lean(run), MATCHES)
         out = found if out is None else out.union(found)
     return out
 

@@ -36,7 +36,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import quoted, texts_of
+from .columns import lean, quoted, texts_of
 from .textvec import gram_hashes, mix, slices, word_hashes
 
 N, THRESHOLD = 5, 0.4
@@ -420,9 +420,9 @@ def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     # a class has a header in every range that it has grams in: fewer ranges than partitions keep those few
     buckets = max(2, _buckets(docs) // 2)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = source.mapInArrow(_by_range(buckets, n), _STEP1_DDL)
-    repeated = packed.groupBy("bucket").applyInArrow(_repeated(buckets), _STEP2_DDL)
-    return repeated.groupBy("part").applyInArrow(_assemble(t), _STEP3_DDL)
+    packed = source.mapInArrow(lean(_by_range(buckets, n)), _STEP1_DDL)
+    repeated = packed.groupBy("bucket").applyInArrow(lean(_repeated(buckets)), _STEP2_DDL)
+    return repeated.groupBy("part").applyInArrow(lean(_assemble(t)), _STEP3_DDL)
 
 
 def similar_classes(found: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -430,14 +430,14 @@ def similar_classes(found: DataFrame, t: float = THRESHOLD) -> DataFrame:
     buckets = _buckets(found)
     blocks = max(2, int(buckets**0.5))
     joining = found.filter("kind = 1").select("class", "size", "grams", "prefix")
-    pairs = joining.mapInArrow(_prefixes(buckets), _STEP4_DDL).groupBy("bucket").applyInArrow(_candidates(blocks, t), _PAIRS_DDL)
-    wanted = pairs.groupBy("block").applyInArrow(_distinct_pairs, _WANTED_DDL).persist(StorageLevel.DISK_ONLY)
+    pairs = joining.mapInArrow(lean(_prefixes(buckets)), _STEP4_DDL).groupBy("bucket").applyInArrow(lean(_candidates(blocks, t)), _PAIRS_DDL)
+    wanted = pairs.groupBy("block").applyInArrow(lean(_distinct_pairs), _WANTED_DDL).persist(StorageLevel.DISK_ONLY)
     sets = wanted.filter("class is not null").select("class", "block").join(joining.select("class", "size", "grams"), "class")
     nothing = F.lit(None)
     together = sets.select("block", "class", "size", "grams", nothing.cast("binary").alias("pairs")).union(
         wanted.filter("class is null").select("block", "class", nothing.cast("int").alias("size"), nothing.cast("binary").alias("grams"), "pairs")
     )
-    return together.groupBy("block").applyInArrow(_verify(t), _VERIFIED_DDL)
+    return together.groupBy("block").applyInArrow(lean(_verify(t)), _VERIFIED_DDL)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -494,7 +494,7 @@ def components(edges: DataFrame) -> DataFrame:
     Trees within partitions first, then rounds of large-star and small-star
     (Kiveris et al., 2014) until the edges stay the same.
     """
-    edges = settled(edges.toDF("u", "v").mapInArrow(_forest, "u bigint, v bigint"))
+    edges = settled(edges.toDF("u", "v").mapInArrow(lean(_forest), "u bigint, v bigint"))
     state = None
     while True:
         sums = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import lean
 from .gram_join import settled
 
 BITS, TABLES = 256, 8
@@ -190,7 +191,7 @@ def features(images: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["image_id", "place", "corners", "bits"])
 
     source = images.select(F.col("image_id").cast("long").alias("image_id"), F.xxhash64("image").alias("place"), F.col("image").cast("binary").alias("image"))
-    return source.filter("image_id is not null and image is not null").mapInArrow(run, _FEATURES).dropDuplicates(["image_id", "place"])
+    return source.filter("image_id is not null and image is not null").mapInArrow(lean(run), _FEATURES).dropDuplicates(["image_id", "place"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +229,12 @@ def copies(images: DataFrame, min_votes: int = MIN_VOTES, min_inliers: int = MIN
     Where an id has several images, each pair of them that matches has a row.
     """
     made = settled(features(images))
-    keys = made.select("image_id", "place", "bits").mapInArrow(_keys, "key bigint, image_id bigint, place bigint, corner smallint")
+    keys = made.select("image_id", "place", "bits").mapInArrow(lean(_keys), "key bigint, image_id bigint, place bigint, corner smallint")
     a, b = (keys.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("image_id", "place", "corner")]) for s in "ab")
     votes = a.join(b, "key").filter("image_id_a < image_id_b").groupBy("image_id_a", "place_a", "image_id_b", "place_b").agg(F.count_distinct("corner_a").alias("votes")).filter(F.col("votes") >= min_votes)
     sides = [made.select(*[F.col(c).alias(f"{c}_{s}") for c in made.columns]) for s in "ab"]
     pairs = votes.join(sides[0], ["image_id_a", "place_a"]).join(sides[1], ["image_id_b", "place_b"])
-    return pairs.select("image_id_a", "image_id_b", "corners_a", "bits_a", "corners_b", "bits_b").mapInArrow(_verified(min_inliers), _COPIES)
+    return pairs.select("image_id_a", "image_id_b", "corners_a", "bits_a", "corners_b", "bits_b").mapInArrow(lean(_verified(min_inliers)), _COPIES)
 
 
 # ---- pictures of vectors ----
@@ -274,4 +275,4 @@ def drawn(embeddings: DataFrame) -> DataFrame:
                         out[k] = encode(pixels)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.binary())], names=["image_id", "image"])
 
-    return embeddings.select(F.col("vec_id").cast("long").alias("image_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, "image_id bigint, image binary")
+    return embeddings.select(F.col("vec_id").cast("long").alias("image_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(lean(run), "image_id bigint, image binary")

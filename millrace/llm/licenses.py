@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import texts_of
+from .columns import lean, texts_of
 from .decontamination import word_spans
 from .textvec import normalise, slices, word_hashes
 
@@ -273,4 +273,4 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_match: int = MIN_MAT
                     yield from pa.Table.from_pylist([dict(zip(SPANS.names, r)) for r in rows], pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("template", pa.int32()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("covered", pa.int32()), ("coverage", pa.float64())])).to_batches()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, SPANS)
+    return source.mapInArrow(lean(run), SPANS)

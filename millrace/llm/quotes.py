@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import lean
 from .textvec import mix, word_hashes
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
@@ -157,4 +158,4 @@ def link_conversations(messages: DataFrame) -> DataFrame:
                 )
 
     source = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("m"))
-    return source.groupBy("conv_id").agg(F.collect_list("m").alias("m")).mapInArrow(run, _DDL)
+    return source.groupBy("conv_id").agg(F.collect_list("m").alias("m")).mapInArrow(lean(run), _DDL)

@@ -19,7 +19,7 @@ _SEPARATORS = re.compile(r"[\W_]+")
 _RARE_SEPARATOR = re.compile(r"[^\x00-\x7f\w]")
 #: ASCII letters in lower case and digits stay, any other ASCII byte becomes a space; bytes of other characters stay.
 _TABLE = bytes(ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,7 +104,7 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(([0], offsets))
 
 
-def slices(texts: Sequence[str | None], chars: int = 4_000_000):
+def slices(texts: Sequence[str | None], chars: int = 1_500_000):
     """(first, last) ranges of rows of about so many characters, one row at least."""
     first = total = 0
     for i, text in enumerate(texts):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import map_arrow, with_computed
+from .columns import lean, map_arrow, with_computed
 from .textvec import gram_hashes, slices, word_hashes
 
 BITS = 30
@@ -90,13 +90,15 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 6, alpha: float = 1.0,
         rows += [np.unique(features(words[at[i] : at[i + 1]])) for i in range(last - first)]
     order = np.random.default_rng(7).permutation(len(rows))
     held, used = (order[::held_out], np.setdiff1d(order, order[::held_out], assume_unique=True)) if len(rows) >= 50 else (order, order)
-    buckets, counts = np.unique(np.concatenate([rows[i] for i in used]), return_counts=True)
-    buckets = buckets[counts > 1]  # a feature of one text says nothing about others
-    places = []
-    for r in rows:
+    every = np.concatenate([rows[i] for i in used])
+    every.sort()
+    buckets = np.unique(every[1:][every[1:] == every[:-1]])  # a feature of one text says nothing about others
+    del every
+    places = rows
+    for i, r in enumerate(rows):  # in place: the buckets of a text give way to their places
         k = np.searchsorted(buckets, r)
         k[k == len(buckets)] = 0
-        places.append(np.concatenate(([0], k[buckets[k] == r] + 1)).astype(np.int32) if len(buckets) else np.zeros(1, np.int32))
+        places[i] = np.concatenate(([0], k[buckets[k] == r] + 1)).astype(np.int32) if len(buckets) else np.zeros(1, np.int32)
     model = Ftrl(len(buckets) + 1, alpha, beta, l1, l2)
     rng = np.random.default_rng(11)
     for _ in range(epochs):
@@ -149,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     # repeated ids in docs could exceed the bound of the sample: of one id, the first texts by hash are used
     rows = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_rows)
-    made = rows.coalesce(1).mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).first()
+    made = rows.coalesce(1).mapInArrow(lean(run), T.StructType([T.StructField("model", T.BinaryType())])).first()
     model = pickle.loads(made[0]) if made else NOTHING
     if len(model.weights) > MAX_WEIGHTS:
         raise ValueError(f"{len(model.weights)} weights are too many to broadcast; raise l1")

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import lean
+
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL = 48 << 20, 112_640, 9
 DATE = "1970-01-01T00:00:00Z"
@@ -130,7 +132,7 @@ def archive_frames(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level:
             yield from close(f"{part:06d}-{n:04d}.warc.zst", keys, records)
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, FRAMES)
+    return source.mapInArrow(lean(run), FRAMES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,4 +170,4 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["archive", "records", "bytes"])
 
-    return archive_frames(pages, archive_bytes, level, date).mapInArrow(run, "archive string, records bigint, bytes bigint")
+    return archive_frames(pages, archive_bytes, level, date).mapInArrow(lean(run), "archive string, records bigint, bytes bigint")

@@ -23,6 +23,10 @@ def parser() -> argparse.ArgumentParser:
         if name in ("once", "run"):
             c.add_argument("--metrics-addr", help="host:port to serve metrics on")
             c.add_argument("--no-publish", action="store_true", help="send no messages")
+            c.add_argument("-t", "--target", help="output of profiles.yml whose catalog is asked again for locations before each poll")
+            c.add_argument("--profile")
+            c.add_argument("--profiles-dir")
+            c.add_argument("-s", "--select", action="append", default=[], help="pipelines by name")
     d = commands.add_parser("dbt", help="work with a dbt manifest").add_subparsers(dest="dbt", required=True)
     for name in ("check", "convert"):
         c = d.add_parser(name)
@@ -65,7 +69,14 @@ def main(argv: list[str] | None = None, spark=None, out=sys.stdout) -> int:
         if not found.pipelines:
             say("no pipeline can run")
             return 1
-        supervisor = Supervisor(spark or session(), settings, found, publish=not args.no_publish)
+        if args.select:
+            found.pipelines = [p for p in found.pipelines if p.name in args.select]
+        locate = None
+        if args.target or args.profile:
+            from ..sources import catalog
+
+            locate = catalog.Located(catalog.locator(catalog.connection(args.profiles_dir, args.profile, args.target)))
+        supervisor = Supervisor(spark or session(), settings, found, publish=not args.no_publish, locate=locate)
         server = metrics.serve(args.metrics_addr, supervisor.page) if args.metrics_addr else None
         try:
             if args.command == "run":

@@ -147,6 +147,8 @@ class Resolved:
     source_relation: str | None = None
     target_relation: str | None = None
     publish: PublishModel | None = None
+    #: Bytes of memory that this pipeline's share of max_memory is.
+    memory: int | None = None
 
 
 @dataclass
@@ -390,6 +392,9 @@ def resolve(config: Config, spark: SparkSession | None = None) -> Resolution:
             for r in sharers:
                 r.publish = None
                 out.unpublished[r.name] = f"group {group!r} is claimed by {len(sharers)} pipelines; none of them publishes"
+    if d.max_memory and out.pipelines:
+        for r in out.pipelines:  # half of it is for the batch, the rest for what the query makes of it
+            r.memory = parse_bytes(d.max_memory) // len(out.pipelines) // 2
     # both halves or none
     for name in list(original):
         halves = {f"{name}__ingest", f"{name}__apply"}

@@ -61,21 +61,3 @@ def is_capacity(error: BaseException) -> bool:
     text = str(error)
     return isinstance(error, CapacityError) or any(x in text for x in ("No space left on device", "OutOfMemoryError", "Disk quota exceeded", "UNABLE_TO_ACQUIRE_MEMORY", "SparkOutOfMemoryError"))
 
-
-class Amplification:
-    """Rows or bytes that come out of one that goes in, as measured so far; the largest holds."""
-
-    def __init__(self, assumed: float = 8.0):
-        self.assumed, self.measured = assumed, None
-
-    def observe(self, before: int, after: int) -> None:
-        if before > 0:
-            self.measured = max(self.measured or 0.0, after / before)
-
-    @property
-    def factor(self) -> float:
-        return self.measured or self.assumed
-
-    def admits(self, so_far: int, more: int, budget: int | None) -> bool:
-        """Whether a batch may grow by `more` bytes; its first commit always is admitted."""
-        return budget is None or so_far == 0 or (so_far + more) * self.factor <= budget

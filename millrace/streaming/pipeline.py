@@ -67,7 +67,7 @@ class Pipeline:
                 upsert.preflight(spark, self.target, self.keys, s.upsert_grain_check == "always")
         self.letters = dead_letter.open_table(s.dq_uri or dead_letter.default_uri(s.target_uri))
         self._known_lookups(target)
-        self.stream = LogStream(self.source, Cursor(start), s.change_policy, s.max_files_per_batch, s.max_bytes_per_batch, one_commit=bool(self.lookups))
+        self.stream = LogStream(self.source, Cursor(start), s.change_policy, s.max_files_per_batch, s.max_bytes_per_batch, one_commit=bool(self.lookups), memory=s.memory)
 
     # ---- where to begin ----
 

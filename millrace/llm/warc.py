@@ -46,7 +46,8 @@ def record(page_id: int | None, url: str | None, html: str | None, date: str = D
     """A response record of a page."""
     body = (html or "").encode("utf-8", "replace")
     target = "".join(c for c in url if c > " ") if url else f"urn:page:{'unknown' if page_id is None else page_id}"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+    head = ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", "")
+    http = "\r\n".join(head).encode() + body
     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {target} {digest}")
     return _block("response", [("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http)

@@ -16,6 +16,7 @@ import logging
 import re
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -55,7 +56,7 @@ def valid_group(name: str) -> bool:
 def bearer(key: str, audience: str, now: int, seconds: int = TOKEN_SECONDS) -> str:
     """A signed token (HS256) for one URL."""
     part = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
-    said = part(b'{"alg":"HS256","typ":"JWT"}') + "." + part(json.dumps({"aud": audience, "iat": now, "exp": now + seconds}, separators=(",", ":")).encode())
+    said = part(json.dumps(dict(alg="HS256", typ="JWT"), separators=(",", ":")).encode()) + "." + part(json.dumps({"aud": audience, "iat": now, "exp": now + seconds}, separators=(",", ":")).encode())
     return said + "." + part(hmac.digest(key.encode(), said.encode(), hashlib.sha256))
 
 
@@ -85,8 +86,8 @@ class WebPubSub:
         for what, name in (("hub", self.hub), ("group", group)):
             if not valid_group(name):
                 raise ConfigError(f"the {what} {name!r} has characters that a path can't hold; use letters, digits and . _ - :")
-        made = f"{self.endpoint}/api/hubs/{self.hub}/groups/{group}/:send?api-version={API_VERSION}"
-        return made + (f"&messageTtlSeconds={self.ttl_seconds}" if self.ttl_seconds > 0 else "")
+        asked = {"api-version": API_VERSION} | ({"messageTtlSeconds": self.ttl_seconds} if self.ttl_seconds > 0 else {})
+        return "/".join([self.endpoint, "api", "hubs", self.hub, "groups", group, ":send"]) + "?" + urllib.parse.urlencode(asked)
 
     def publish(self, group: str, body: bytes) -> None:
         url = self.url(group)

@@ -116,4 +116,4 @@ def _dbt(args, spark, say) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

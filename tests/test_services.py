@@ -149,9 +149,9 @@ TOML = """
 [defaults]
 max_bytes_per_batch = "64MB"
 [[pipeline]]
-name = "a"
 app_id = "mr.a"
 source_uri = "/s"
+name = "a"
 target_uri = "/t"
 transform_sql = "SELECT id FROM source"
 """

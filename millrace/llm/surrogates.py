@@ -58,14 +58,17 @@ _SURNAMES = {
 _LIST_OF = {n: ("given", *k) for k, names in _GIVEN.items() for n in names} | {n: ("family", k) for k, names in _SURNAMES.items() for n in names}
 _LISTS = {("given", *k): names for k, names in _GIVEN.items()} | {("family", k): names for k, names in _SURNAMES.items()}
 
-_TITLES = ("Mr.", "Mrs.", "Ms.", "Mr ", "Mrs ", "Miss ", "Dr.", "Prof.", "Herr ", "Frau ", "Señor ", "Señora ", "Sr. ", "Sra. ", "Monsieur ", "Madame ", "Mme ", "господин ", "госпожа ")
+#: Every match of _TITLED holds one of these.
+_TITLES = ("Mr", "Ms.", "Miss", "Dr.", "Prof.", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "господин", "госпожа")
 _WORD = r"[^\W\d_][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _CAPITAL = r"(?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ])" + _WORD
 _TITLED = re.compile(rf"(?<!\w)(?:Mrs?\.?|Ms\.|Miss|Dr\.|Prof\.|Herrn?|Frau|Señora?|Sra?\.|Monsieur|Madame|Mme|господин|госпожа)[ \t]+((?:{_CAPITAL})(?:[ \t]{_CAPITAL}){{0,2}})")
 _FULL = re.compile(rf"(?<!\w)({'|'.join(sorted((n for n, k in _LIST_OF.items() if k[0] == 'given'), key=len, reverse=True))})[ \t]({_CAPITAL})")
 _GIVEN_NAMES = tuple(n for n, k in _LIST_OF.items() if k[0] == "given")
 
-_HINT = re.compile(r"[0-9@]")
+#: Every match of _FIND holds a character of _HINT (a secret after its name has ':' or '=', an address of letters alone has ':') or one of _PREFIXES.
+_HINT = re.compile(r"[0-9@:=]")
+_PREFIXES = ("AKIA", "ASIA", "ghp", "gho", "ghs", "github_pat", "sk-", "sk_", "pk-", "pk_", "xox")
 _FIND = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-]))
     |(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<!\w)(?:ghp|gho|ghs|github_pat|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}(?![A-Za-z0-9])
@@ -244,18 +247,28 @@ class Surrogates:
         return "".join([*out, text[at:]]), found
 
 
+def _may_match(text: str) -> bool:
+    """False only where _FIND has no match."""
+    return _HINT.search(text) is not None or any(p in text for p in _PREFIXES)
+
+
+def _may_have_title(text: str) -> bool:
+    """False only where _TITLED has no match."""
+    return any(t in text for t in _TITLES)
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(type, start, end) of the entities of text, in order, without overlaps."""
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
-    if _HINT.search(text) or "password" in text.lower():
+    if _may_match(text):
         for m in _FIND.finditer(text):
             kind = m.lastgroup if m.lastgroup in TYPES else next(k for k in TYPES if k != "name" and m.group(k))
             a, b = m.span("value") if m.group("value") else m.span()
             found.append((a, b, kind))
     parts: set[str] = set()
-    if any(t in text for t in _TITLES):
+    if _may_have_title(text):
         for m in _TITLED.finditer(text):
             parts.update(m.group(1).split())
     if any(n in text for n in _GIVEN_NAMES):

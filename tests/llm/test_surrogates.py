@@ -71,3 +71,16 @@ def test_long_text(docs_of):
     text = "word " * 200_000 + "write to me@there.org please " + "word " * 200_000
     (r,) = S.with_surrogates(docs_of([(1, text)])).collect()
     assert "me@there.org" not in r.surrogate_text and len(r.surrogate_text) == len(text)
+
+
+def test_hints_lose_nothing(monkeypatch):
+    names = ["password", "PASSWD", "pwd", "Secret", "token", "api_key", "api-key", "apikey", "apı_key", "access_key", "AccessKey", "paſſword"]
+    texts = [f"the {n}{sep}abcdefghij here" for n in names for sep in (": ", "=", " = ", '": "')]
+    texts += [f"the {p}{sep}{'abcdefgh' * 3} here" for p in ("ghp", "gho", "ghs", "github_pat", "sk", "pk", "xoxa", "xoxb", "xoxp") for sep in "-_"]
+    texts += ["AKIA" + "ABCDEFGH" * 2, "ASIA" + "ABCDEFGH" * 2, "at abcd:beef:cafe:dead:face:fade:bead:deaf now", "mail jo@there.org"]
+    texts += [f"dann kam {t}{blank}Xaver spät" for t in ("Mr", "Mr.", "Mrs", "Mrs.", "Ms.", "Miss", "Dr.", "Prof.", "Herr", "Herrn", "Frau", "Señor", "Señora", "Sr.", "Sra.", "Monsieur", "Madame", "Mme", "господин", "госпожа") for blank in (" ", "\t", " \t ")]
+    with_hints = [S.find(t) for t in texts]
+    assert all(with_hints), [t for t, f in zip(texts, with_hints) if not f]
+    monkeypatch.setattr(S, "_may_match", lambda text: True)
+    monkeypatch.setattr(S, "_may_have_title", lambda text: True)
+    assert [S.find(t) for t in texts] == with_hints

@@ -1,15 +1,20 @@
-"""License scan: matching statistics against a generalised suffix automaton of license tokens.
+"""License scan: matching statistics against suffix automata of license tokens.
 
-The automaton accepts every run of tokens of every template. A text is streamed
+A template's automaton accepts every run of its tokens. A text is streamed
 through it; at each token it gives the length of the longest run ending there
-that some template holds. Runs that can't be extended and have MIN_MATCH tokens or more
-are looked up in their templates, and per template the matches that advance in
+that the template holds. Runs that can't be extended and have MIN_MATCH tokens or more
+are looked up in the template, and the matches that advance in
 both text and template are chained to cover as many template tokens as
-possible. Chains over MIN_COVERAGE of a template are reported.
+possible. Chains over MIN_COVERAGE of a template are reported. Each template has an
+automaton of its own, so that a notice which a full text holds too is found whatever follows it.
 
-Tokens outside all templates reset the automaton, so only stretches of MIN_MATCH or
-more template tokens are streamed; they are found for a whole batch with array
-operations. Nothing is skipped by that.
+A text is streamed only for the templates it may cover: those of which the runs of MIN_MATCH
+tokens that the text holds, wherever they are, make up MIN_COVERAGE. These runs are found for a
+whole batch with array operations. Tokens outside a template reset its automaton, so only
+stretches of MIN_MATCH or more known tokens are streamed. Nothing is skipped by either.
+
+Templates are single-line notices, and the files of license_texts: full texts and standard file
+headers, NAME.txt or NAME.part.txt.
 
 Defined results: a null or empty text has no span; templates with fewer than MIN_MATCH
 tokens match nothing; of equal templates each is reported; a text that holds a
@@ -20,8 +25,10 @@ are not looked at.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +38,14 @@ from pyspark.sql import types as T
 
 from .columns import lean, texts_of
 from .decontamination import word_spans
-from .textvec import normalise, slices, word_hashes
+from .textvec import gram_hashes, normalise, slices, word_hashes
 
 MIN_MATCH, MIN_COVERAGE, MAX_GAP = 3, 0.8, 8
 #: Most template tokens whose automaton is sent to the workers.
 MAX_TOKENS = 2_000_000
 
 #: (license, notice): single lines by which works name their license.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -60,6 +67,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("ISC", "Released under the ISC License."),
     ("Unlicense", "Released into the public domain under the Unlicense."),
 )
+#: (license, text): full texts and standard file headers.
+TEXTS: tuple[tuple[str, str], ...] = tuple((re.split(r"\.[a-z]", p.name)[0], p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+TEMPLATES = NOTICES + TEXTS
 SPANS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -165,13 +175,41 @@ class Scanner:
         self.vocabulary = np.unique(words)
         ids = np.searchsorted(self.vocabulary, words)
         self.sizes = np.diff(at).tolist()
-        self.automaton = SuffixAutomaton()
-        for k in range(len(self.templates)):
-            self.automaton.add(ids[at[k] : at[k + 1]].tolist(), k)
-        self.automaton.finish()
+        self.ids = [ids[a:b] for a, b in zip(at, at[1:])]
+        self.automata: dict[int, SuffixAutomaton] = {}
+        # the runs of min_match tokens of all templates: their hashes, and at which token of which template each begins
+        self.run = max(1, min_match)
+        runs = [self._runs(words[a:b]) for a, b in zip(at, at[1:])]
+        self.run_hashes, self.run_of = np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]), return_inverse=True)
+        self.run_at = np.concatenate([np.zeros(0, np.int64), *[a + np.arange(len(r)) for a, r in zip(at, runs)]])
+        self.at = at
+        self.need = np.array([min_coverage * n for n in self.sizes])
+        self.least = min((-(-c // self.run) for c, n in zip(self.need, self.sizes) if n >= self.run), default=np.inf)
         self.quick = np.zeros(1 << 16, bool)
         self.quick[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def _runs(self, words: np.ndarray) -> np.ndarray:
+        return gram_hashes(words, range(self.run))
+
+    def automaton(self, template: int) -> SuffixAutomaton:
+        if template not in self.automata:
+            made = self.automata[template] = SuffixAutomaton()
+            made.add(self.ids[template].tolist(), template)
+            made.finish()
+        return self.automata[template]
+
+    def candidates(self, runs: np.ndarray) -> list[int]:
+        """Templates of which runs (places in run_hashes, those of a text) make up min_coverage."""
+        held = np.zeros(len(self.run_hashes), bool)
+        held[runs] = True
+        begins = self.run_at[held[self.run_of]]
+        covered = np.zeros(self.at[-1] + 1, bool)
+        for k in range(self.run):
+            covered[begins + k] = True
+        sums = np.concatenate(([0], np.cumsum(covered)))
+        share = sums[self.at[1:]] - sums[self.at[:-1]]
+        return np.flatnonzero((share >= self.need) & (share > 0)).tolist()
+
     def token_ids(self, words: np.ndarray) -> np.ndarray:
         out = np.full(len(words), -1, np.int64)
         maybe = np.flatnonzero(self.quick[(words & np.uint64(0xFFFF)).astype(np.int64)])
@@ -181,12 +219,13 @@ class Scanner:
         out[maybe[same]] = place[same]
         return out
 
-    def matches(self, ids: list[int], offset: int) -> list[tuple[int, int, int, int]]:
+    def matches(self, ids: list[int], offset: int, template: int) -> list[tuple[int, int, int, int]]:
         """(template, start in text, start in template, length) of the runs that can't be extended."""
-        found, stats = [], self.automaton.statistics(ids)
+        automaton = self.automaton(template)
+        found, stats = [], automaton.statistics(ids)
         for i, (length, state) in enumerate(stats):
             if length >= self.min_match and (i + 1 == len(stats) or stats[i + 1][0] <= length):
-                found += [(t, offset + i + 1 - length, end - length, length) for t, end in self.automaton.places(state)]
+                found += [(t, offset + i + 1 - length, end - length, length) for t, end in automaton.places(state)]
         return found
 
     def chains(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -198,17 +237,18 @@ class Scanner:
         for t, runs in by_template.items():
             runs.sort()
             best: list[tuple[int, int]] = []  # covered tokens, run before
+            near: list[int] = []  # runs that end no more than max_gap before
             for i, (a, p, n) in enumerate(runs):
                 top = (n, -1)
-                for j in range(i - 1, -1, -1):
+                near = [j for j in near if a - (runs[j][0] + runs[j][2]) <= self.max_gap]
+                for j in reversed(near):
                     b, q, m = runs[j]
-                    if a - (b + m) > self.max_gap + self.sizes[t]:
-                        break
                     # the later run counts what it adds in both text and template
                     overlap = max(0, b + m - a, q + m - p)
-                    if b < a and q < p and overlap < n and a - (b + m) <= self.max_gap and best[j][0] + n - overlap > top[0]:
+                    if b < a and q < p and overlap < n and best[j][0] + n - overlap > top[0]:
                         top = (best[j][0] + n - overlap, j)
                 best.append(top)
+                near.append(i)
             used: set[int] = set()
             for i in sorted(range(len(runs)), key=lambda i: (-best[i][0], runs[i])):
                 chain, k = [], i
@@ -231,18 +271,43 @@ class Scanner:
         """(text, license, template, start_char, end_char, covered, coverage) of all texts."""
         words, at = word_hashes(texts)
         ids = self.token_ids(words)
-        # stretches of known tokens within one text
+        if not len(self.run_hashes) or not len(words):
+            return
+        # runs of templates within one text
         known = ids >= 0
         row = np.repeat(np.arange(len(texts)), np.diff(at))
+        n = len(ids) - self.run + 1
+        inside = known[:n].copy() if n > 0 else np.zeros(0, bool)
+        for k in range(1, self.run):
+            inside &= known[k : n + k]
+        begins = np.flatnonzero(inside)
+        begins = begins[row[begins] == row[begins + self.run - 1]]
+        hashes = np.zeros(len(begins), np.uint64)
+        if len(begins):
+            hashes = self._runs(words)[begins]
+        place = np.searchsorted(self.run_hashes, hashes)
+        place[place == len(self.run_hashes)] = 0
+        same = self.run_hashes[place] == hashes
+        held, of = place[same], row[begins[same]]
+        # stretches of known tokens within one text
         new = np.concatenate(([True], (known[1:] != known[:-1]) | (row[1:] != row[:-1])))[: len(ids)]
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(ids)))
         long = known[starts] & (sizes >= self.min_match)
+        starts, sizes = starts[long], sizes[long]
+        of_row = row[starts]
         by_text: dict[int, list] = {}
-        for a, n in zip(starts[long].tolist(), sizes[long].tolist()):
-            found = self.matches(ids[a : a + n].tolist(), a - int(at[row[a]]))
-            if found:
-                by_text.setdefault(int(row[a]), []).extend(found)
+        cuts = np.flatnonzero(np.diff(of, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(of))):
+            if b - a < self.least:
+                continue
+            i = int(of[a])
+            some = slice(*np.searchsorted(of_row, (i, i + 1)))
+            for t in self.candidates(held[a:b]):
+                for first, size in zip(starts[some].tolist(), sizes[some].tolist()):
+                    found = self.matches(ids[first : first + size].tolist(), first - int(at[i]), t)
+                    if found:
+                        by_text.setdefault(i, []).extend(found)
         for i, found in by_text.items():
             spans = self.chains(found)
             if spans:

@@ -54,3 +54,42 @@ def test_long_text_and_repeats(docs_of):
     text = "the license of the " * 100_000 + L.TEMPLATES[3][1]
     rows = L.scan_licenses(docs_of([(1, text), (1, text)])).collect()
     assert [r.license for r in rows] == ["Apache-2.0"] * 2
+
+
+def test_full_texts_edited_wrapped_and_partial():
+    scanner = L.Scanner(L.TEMPLATES)
+    for name, text in L.TEXTS:
+        words = text.split()
+        edited = " ".join("edited" if i % 20 == 19 else w for i, w in enumerate(words))
+        wrapped = "\n".join(" * " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+        most, half = " ".join(words[: len(words) * 19 // 20]), " ".join(words[len(words) // 2 :])
+        got = list(scanner.scan([f"Before. {t} zzz after." for t in (edited, wrapped, most, half)]))
+        assert all(n == name for i, n, *_ in got if i < 3), (name, [g[:3] for g in got])
+        assert {i for i, n, *_ in got if n == name} >= {0, 1, 2}, name
+        whole = [g for g in got if g[0] == 1]
+        assert len(whole) == 1 and whole[0][6] == 1
+        assert not any(i == 3 and len(normalise(L.TEMPLATES[t][1]).split()) > len(words) * 3 // 4 for i, _, t, *_ in got)
+
+
+def test_notice_that_a_full_text_continues():
+    notice = "Licensed under the Apache License, Version 2.0."
+    (span,) = L.Scanner(L.TEMPLATES).scan([f"{notice} The license you have."])
+    assert span[1] == "Apache-2.0" and span[5] == 8
+
+
+def test_candidates_lose_nothing(monkeypatch):
+    r = random.Random(3)
+    pieces = [w for _, t in r.sample(L.TEXTS, 8) if len(t) < 9000 for w in [t.split()]] + [t.split() for _, t in L.NOTICES]
+    texts = []
+    for _ in range(40):
+        out = []
+        for _ in range(r.randint(1, 3)):
+            p = r.choice(pieces)
+            a, b = sorted((r.randint(0, len(p)), r.randint(0, len(p))))
+            out += p[a:b] if r.random() < 0.4 else [w for w in p if r.random() > 0.03]
+        texts.append(" ".join(out))
+    scanner = L.Scanner(L.TEMPLATES)
+    got = list(scanner.scan(texts))
+    monkeypatch.setattr(scanner, "candidates", lambda runs: list(range(len(L.TEMPLATES))))
+    scanner.least = 0
+    assert got and list(scanner.scan(texts)) == got

@@ -4,8 +4,7 @@ Lines that begin with '>' are quotations, nested as deep as they have marks;
 a line such as "On Monday Ann wrote:" before one belongs to it. Consecutive
 lines of one depth are a passage. Its words are hashed, and looked up among
 the hashes of the passages of earlier messages of the same conversation:
-every run of a message's own lines that begins at a line or sentence and has as many words.
-The latest earlier message that has the passage is its original. A message
+every run of a message's own text that has as many words, whichever word it begins at. The latest earlier message that has the passage is its original. A message
 replies to the original of its shallowest linked passage (the last of those), or, without
 one, to the message before it. The conversation is put in reply order:
 every message right after the one it replies to and the replies that came
@@ -36,6 +35,7 @@ from .textvec import mix, word_hashes
 
 _MARKS = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
 _SAID = re.compile(r"[ \t]*(?:On\b.{0,200}\bwrote|Am\b.{0,200}\bschrieb\b.{0,80}|Le\b.{0,200}\ba écrit|El\b.{0,200}\bescribió)[ \t\xa0]?:[ \t]*", re.IGNORECASE)
+#: Beginnings of lines and sentences; originals are looked up from every word, so that nothing here depends on them.
 _BEGIN = re.compile(r"(?:^|(?<=[.!?…]))\s*(?=\S)", re.MULTILINE)
 
 
@@ -74,13 +74,19 @@ def hash_of(words: np.ndarray) -> int:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def run_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the size words from each start, from prefix sums."""
+def run_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of words, and what takes a sum back to the first place."""
     n = len(words)
     with np.errstate(over="ignore"):
         power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, _BASE, np.uint64))))
         back = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(words * power[:n])))
+        return np.concatenate(([np.uint64(0)], np.cumsum(words * power[:n]))), back
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, size: int, made: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Hash of the size words from each start, from prefix sums (run_sums(words), if made)."""
+    sums, back = made or run_sums(words)
+    with np.errstate(over="ignore"):
         return mix((sums[starts + size] - sums[starts]) * back[starts] + np.uint64(size))
 
 
@@ -96,18 +102,23 @@ def link(messages: list[tuple]) -> list[dict]:
             wanted.append((i, depth, len(words), passage, words))
     originals: dict[tuple[int, int], list[int]] = {}
     if wanted:
-        sizes = sorted({w[2] for w in wanted if w[2]})
+        # what is looked up of each size, and the words it begins with
+        asked = {size: np.unique(np.array([hash_of(w[4]) for w in wanted if w[2] == size], np.uint64)) for size in sorted({w[2] for w in wanted if w[2]})}
+        first = np.unique(np.array([w[4][0] for w in wanted if w[2]], np.uint64))
         last = max(w[0] for w in wanted)
         for j, (own, _) in enumerate(parsed[:last]):
-            begins = [m.end() for m in _BEGIN.finditer(own)]
-            pieces = [own[a:b] for a, b in zip(begins, [*begins[1:], len(own)])]
-            words, at = word_hashes(pieces)
-            starts = np.unique(at[:-1][at[:-1] < len(words)])
-            for size in sizes:
-                inside = starts[starts + size <= len(words)]
-                if len(inside):
-                    for h in set(run_hashes(words, inside, size).tolist()):
-                        originals.setdefault((size, h), []).append(j)
+            words, _ = word_hashes([own])
+            starts = np.flatnonzero(np.isin(words, first))
+            if not len(starts):
+                continue
+            made = run_sums(words)
+            for size, hashes in asked.items():
+                inside = starts[: np.searchsorted(starts, len(words) - size, "right")]
+                if not len(inside):
+                    break
+                made_here = run_hashes(words, inside, size, made)
+                for h in np.intersect1d(made_here, hashes).tolist():
+                    originals.setdefault((size, h), []).append(j)
     links: list[list[tuple[int, int | None, str]]] = [[] for _ in ordered]
     for i, depth, size, passage, words in wanted:
         found = [j for j in originals.get((size, hash_of(words)), ()) if j < i] if size else []

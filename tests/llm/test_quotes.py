@@ -67,3 +67,44 @@ def test_long_conversation():
     text = "word " * 100_000
     out = Q.link([(i, "u", f"number {i} speaks. {text}" if i < 3 else f"> number {i % 3} speaks.\nyes") for i in range(200)])
     assert len(out) == 200 and all(m["quotes"] == [m["turn"] % 3] for m in out if m["turn"] >= 3)
+
+
+def test_passage_that_begins_inside_a_line():
+    first = "We met by the mill: bring the two boats, and a rope.\nThe river is high this week and the ford is closed."
+    out = Q.link([(0, "a", first), (1, "b", "Fine."), (2, "c", "> and a rope.\nWhich rope?"), (3, "d", "> is high this week and\n> the ford is closed.\nSince when?")])
+    by = {m["turn"]: m for m in out}
+    assert by[2]["quotes"] == [0] == by[3]["quotes"] and by[2]["reply_to"] == 0 == by[3]["reply_to"]
+    assert [m["turn"] for m in out] == [0, 1, 2, 3] and [m["depth"] for m in out] == [0, 1, 1, 1]
+
+
+def brute_every_word(messages):
+    """Original of each passage by comparing words at every word."""
+    from millrace.llm.textvec import normalise
+
+    parsed = [Q.parse(t) for *_, t in messages]
+    words = [normalise(own).split() for own, _ in parsed]
+    found = []
+    for i, (_, passages) in enumerate(parsed):
+        for _, p in passages:
+            want = normalise(p).split()
+            hits = [j for j in range(i) if want and any(words[j][k : k + len(want)] == want for k in range(len(words[j])))]
+            found.append(hits[-1] if hits else None)
+    return found
+
+
+def test_against_brute_force_at_every_word():
+    import random
+
+    r = random.Random(9)
+    for _ in range(150):
+        messages = []
+        for t in range(6):
+            lines = []
+            for _ in range(r.randint(0, 2) if t else 0):
+                src = Q.parse(r.choice(messages)[2])[0].split()
+                a = r.randrange(len(src) + 1)
+                lines.append("> " + " ".join(src[a : a + r.randint(1, 5)]))
+                lines.append("")
+            messages.append((t, "x", "\n".join([*lines, *(" ".join(r.choice("abcd") for _ in range(r.randint(1, 8))) for _ in range(2))])))
+        got = [q for m in sorted(Q.link(messages), key=lambda m: m["turn"]) for q in m["quotes"]]
+        assert got == brute_every_word(messages)

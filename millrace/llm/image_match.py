@@ -1,6 +1,8 @@
 """Edited and cropped copies of images, by local descriptors.
 
-Corners (Harris response, local maxima) are taken at several scales; each is
+Corners (Harris response, local maxima) are taken at scales half an octave apart, down to the smallest that
+has room for a descriptor. In each cell of CELL x CELL pixels of a level the PER_CELL strongest are
+kept, so that their number grows with the area and every part of a picture has its own. Each is
 turned to the direction of its intensity centroid and described by BITS binary
 comparisons of smoothed pixels. Descriptors are joined on tables: each of TABLES
 parts of their bits is a key, and two descriptors that agree in any part are a
@@ -36,7 +38,9 @@ from .columns import lean
 from .gram_join import settled
 
 BITS, TABLES = 256, 8
-SCALES, CORNERS = (1.0, 2**-0.5, 0.5), (20, 12, 8)
+CELL, PER_CELL = 16, 4
+#: Descriptors, and distances of descriptors, that are worked on at a time.
+_CHUNK, _BLOCK = 4096, 4_000_000
 RADIUS = 10
 MIN_VOTES, MAX_DISTANCE, MIN_INLIERS = 2, 64, 8
 _ANGLES = 36
@@ -89,36 +93,55 @@ def _resize(x: np.ndarray, scale: float) -> np.ndarray:
     return x
 
 
+def scales(high: int, wide: int) -> list[float]:
+    """Of the levels of a picture: half an octave apart, as long as a corner's surroundings fit."""
+    found: list[float] = []
+    while min(int(high * (scale := 2 ** (-len(found) / 2))), int(wide * scale)) > 2 * _MARGIN:
+        found.append(scale)
+    return found
+
+
+def _strongest(peak: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, y, x) of the PER_CELL highest finite values in each cell of each image, by image."""
+    image, y, x = np.nonzero(peak > -np.inf)
+    across = -(-peak.shape[2] // CELL)
+    cell = (image * -(-peak.shape[1] // CELL) + y // CELL) * across + x // CELL
+    order = np.lexsort((-peak[image, y, x], cell))
+    cell = cell[order]
+    new = np.flatnonzero(np.diff(cell, prepend=-1))
+    rank = np.arange(len(cell)) - np.repeat(new, np.diff(np.append(new, len(cell))))
+    keep = order[rank < PER_CELL]
+    return image[keep], y[keep], x[keep]
+
+
 def describe(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(corners as [x, y, scale, angle], descriptors as BITS / 8 bytes) of each image of one shape."""
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in images]
     full = images.astype(np.float32)
-    for scale, most in zip(SCALES, CORNERS):
-        level = _resize(_box(full, 1) if scale < 1 else full, scale)
-        high, wide = level.shape[1:]
-        if min(high, wide) <= 2 * _MARGIN:
-            continue
+    for scale in scales(*images.shape[1:]):
+        level = _resize(_box(full, max(1, round((1 / scale - 1) / 2))) if scale < 1 else full, scale)
         smooth = _box(level, 1)
         gy, gx = np.gradient(smooth, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inside = response[:, _MARGIN:-_MARGIN, _MARGIN:-_MARGIN]
         windows = np.lib.stride_tricks.sliding_window_view(np.pad(inside, ((0, 0), (2, 2), (2, 2)), constant_values=-np.inf), (5, 5), axis=(1, 2))
-        peak = np.where((inside >= windows.max(axis=(3, 4))) & (inside > 1.0), inside, -np.inf).reshape(len(images), -1)
-        k = min(most, peak.shape[1])
-        best = np.argpartition(-peak, k - 1, axis=1)[:, :k]
-        image, column = np.nonzero(np.take_along_axis(peak, best, 1) > -np.inf)
+        image, y, x = _strongest(np.where((inside >= windows.max(axis=(3, 4))) & (inside > 1.0), inside, -np.inf))
         if not len(image):
             continue
-        flat = best[image, column]
-        y, x = flat // inside.shape[2] + _MARGIN, flat % inside.shape[2] + _MARGIN
-        around = smooth[image[:, None], y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
-        angle = np.arctan2((around * _DISC[:, 1]).sum(1), (around * _DISC[:, 0]).sum(1))
-        turn = np.round(angle / (2 * np.pi / _ANGLES)).astype(int) % _ANGLES
-        px, py = _ROTATED[0][turn], _ROTATED[1][turn]
+        y, x = y + _MARGIN, x + _MARGIN
         wider = _box(level, 2)
-        value = wider[image[:, None, None], y[:, None, None] + py, x[:, None, None] + px]
-        bits = np.packbits(value[..., 0] < value[..., 1], axis=1)
+        angles, made = [], []
+        for at in range(0, len(image), _CHUNK):
+            i_, y_, x_ = (v[at : at + _CHUNK] for v in (image, y, x))
+            around = smooth[i_[:, None], y_[:, None] + _DISC[:, 1], x_[:, None] + _DISC[:, 0]]
+            angle = np.arctan2((around * _DISC[:, 1]).sum(1), (around * _DISC[:, 0]).sum(1))
+            turn = np.round(angle / (2 * np.pi / _ANGLES)).astype(int) % _ANGLES
+            px, py = _ROTATED[0][turn], _ROTATED[1][turn]
+            value = wider[i_[:, None, None], y_[:, None, None] + py, x_[:, None, None] + px]
+            angles.append(angle)
+            made.append(np.packbits(value[..., 0] < value[..., 1], axis=1))
+        angle, bits = np.concatenate(angles), np.concatenate(made)
         corners = np.stack(((x + 0.5) / scale, (y + 0.5) / scale, np.full(len(x), 1 / scale), angle), 1).astype(np.float32)
         cuts = np.searchsorted(image, np.arange(len(images) + 1))
         for i in range(len(images)):
@@ -133,11 +156,24 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a.view("<u8")[:, None, :] ^ b.view("<u8")[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
+def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest of b for each of a, its distance, nearest of a for each of b); ties: the first."""
+    j, far = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    i, least = np.zeros(len(b), np.int64), np.full(len(b), BITS + 1)
+    step = max(1, _BLOCK // max(1, len(b)))
+    for at in range(0, len(a), step):
+        d = distances(a[at : at + step], b)
+        j[at : at + step], far[at : at + step] = d.argmin(axis=1), d.min(axis=1)
+        here, low = d.argmin(axis=0), d.min(axis=0)
+        better = low < least
+        i[better], least[better] = here[better] + at, low[better]
+    return j, far, i
+
+
 def consensus(corners_a, bits_a, corners_b, bits_b) -> tuple[int, int, tuple[float, float, float, float]] | None:
     """(matches, inliers, (scale, rotation, dx, dy) of b against a) of the best transform, or None without a match."""
-    d = distances(bits_a, bits_b)
-    j = d.argmin(axis=1)
-    i = np.flatnonzero((d.argmin(axis=0)[j] == np.arange(len(j))) & (d[np.arange(len(j)), j] <= MAX_DISTANCE))
+    j, far, back = nearest(bits_a, bits_b)
+    i = np.flatnonzero((back[j] == np.arange(len(j))) & (far <= MAX_DISTANCE))
     if not len(i):
         return None
     a, b = corners_a[i].astype(np.float64), corners_b[j[i]].astype(np.float64)
@@ -145,11 +181,15 @@ def consensus(corners_a, bits_a, corners_b, bits_b) -> tuple[int, int, tuple[flo
     za, zb = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
     rate = scale * np.exp(1j * turn)
     shift = zb - rate * za
-    away = np.abs(rate[:, None] * za[None, :] + shift[:, None] - zb[None, :])
-    alike = np.abs(np.angle(np.exp(1j * (turn[:, None] - turn[None, :])))) < 0.45
-    good = (away < 5 * np.maximum(1, scale)[:, None]) & alike
-    best = int(good.sum(axis=1).argmax())
-    k = np.flatnonzero(good[best])
+
+    def agreeing(some: slice) -> np.ndarray:
+        away = np.abs(rate[some, None] * za[None, :] + shift[some, None] - zb[None, :])
+        alike = np.abs(np.angle(np.exp(1j * (turn[some, None] - turn[None, :])))) < 0.45
+        return (away < 5 * np.maximum(1, scale[some])[:, None]) & alike
+
+    step = max(1, _BLOCK // len(i))
+    best = int(np.concatenate([agreeing(slice(at, at + step)).sum(axis=1) for at in range(0, len(i), step)]).argmax())
+    k = np.flatnonzero(agreeing(slice(best, best + 1))[0])
     if len(k) > 1:  # least squares over the agreeing matches, and those that agree with that
         ca, cb = za[k].mean(), zb[k].mean()
         spread = (np.abs(za[k] - ca) ** 2).sum()
@@ -197,15 +237,17 @@ def features(images: DataFrame) -> DataFrame:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, place, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            parts = np.frombuffer(bits, np.uint8).reshape(-1, TABLES, BITS // 8 // TABLES)
-            n = len(parts)
-            keys = np.zeros((n, TABLES, 8), np.uint8)
-            keys[..., : parts.shape[2]] = parts
-            keys = keys.view("<i8")[..., 0] | np.arange(TABLES, dtype=np.int64) << 8 * parts.shape[2]
-            size = n * TABLES
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.full(size, i, np.int64)), pa.array(np.full(size, place, np.int64)), pa.array(np.repeat(np.arange(n, dtype=np.int16), TABLES))], names=["key", "image_id", "place", "corner"]
-            )
+            every = np.frombuffer(bits, np.uint8).reshape(-1, TABLES, BITS // 8 // TABLES)
+            for first in range(0, len(every), _CHUNK):
+                parts = every[first : first + _CHUNK]
+                n = len(parts)
+                keys = np.zeros((n, TABLES, 8), np.uint8)
+                keys[..., : parts.shape[2]] = parts
+                keys = keys.view("<i8")[..., 0] | np.arange(TABLES, dtype=np.int64) << 8 * parts.shape[2]
+                size = n * TABLES
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.full(size, i, np.int64)), pa.array(np.full(size, place, np.int64)), pa.array(np.repeat(np.arange(first, first + n, dtype=np.int32), TABLES))], names=["key", "image_id", "place", "corner"]
+                )
 
 
 def _verified(min_inliers: int):
@@ -229,7 +271,7 @@ def copies(images: DataFrame, min_votes: int = MIN_VOTES, min_inliers: int = MIN
     Where an id has several images, each pair of them that matches has a row.
     """
     made = settled(features(images))
-    keys = made.select("image_id", "place", "bits").mapInArrow(lean(_keys), "key bigint, image_id bigint, place bigint, corner smallint")
+    keys = made.select("image_id", "place", "bits").mapInArrow(lean(_keys), "key bigint, image_id bigint, place bigint, corner int")
     a, b = (keys.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("image_id", "place", "corner")]) for s in "ab")
     votes = a.join(b, "key").filter("image_id_a < image_id_b").groupBy("image_id_a", "place_a", "image_id_b", "place_b").agg(F.count_distinct("corner_a").alias("votes")).filter(F.col("votes") >= min_votes)
     sides = [made.select(*[F.col(c).alias(f"{c}_{s}") for c in made.columns]) for s in "ab"]

@@ -65,3 +65,46 @@ def test_large_picture():
     big = np.kron(picture(9, M.SIDE), np.ones((12, 12), np.uint8))
     (corners, bits), = M.describe(big[None])
     assert len(corners) and bits.shape[1] == M.BITS // 8
+
+
+def photo(seed, side=384):
+    """A picture with detail at several sizes."""
+    r = np.random.default_rng(seed)
+    x = np.zeros((1, side, side), np.float32)
+    for k in (1, 2, 4, 8):
+        noise = r.normal(size=(1, side, side)).astype(np.float32)
+        band = M._box(M._box(noise, k), k) - M._box(M._box(noise, 4 * k), k)
+        x += band / band.std()
+    return np.clip(128 + 25 * x[0], 0, 255).astype(np.uint8)
+
+
+def shrunk(p, k):
+    return p.reshape(p.shape[0] // k, k, p.shape[1] // k, k).mean((1, 3)).astype(np.uint8)
+
+
+def test_recall_of_small_crops_and_scaled_copies():
+    tried, found = {}, {}
+    for s in range(5):
+        p = photo(s)
+        edited = {}
+        for share in (0.1, 0.2, 0.3, 0.5):
+            w = int(384 * share**0.5)
+            y, x = np.random.default_rng(s).integers(0, 384 - w, 2)
+            edited[share] = p[y : y + w, x : x + w]
+        edited["pasted"] = photo(s + 50)
+        edited["pasted"][100:260, 60:220] = p[150:310, 150:310]
+        edited |= {f"1/{k}": shrunk(p, k) for k in (2, 4)}
+        (whole,) = M.describe(p[None])
+        for kind, q in edited.items():
+            made = M.consensus(*whole, *M.describe(q[None])[0])
+            tried[kind] = tried.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + bool(made and made[1] >= M.MIN_INLIERS)
+        made = M.consensus(*whole, *M.describe(photo(s + 50)[None])[0])
+        assert not made or made[1] < M.MIN_INLIERS
+    assert all(found[k] >= 0.9 * tried[k] for k in tried), found
+
+
+def test_corners_grow_with_area():
+    p = photo(1)
+    (small,), (large,) = M.describe(p[None, :192, :192]), M.describe(p[None])
+    assert len(large[0]) > 3 * len(small[0])

@@ -23,6 +23,7 @@ Input columns named like an added one are replaced by it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import ipaddress
@@ -43,8 +44,8 @@ _NAME_SETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôû
 _NAME_SETS += tuple(s.upper() for s in _NAME_SETS)
 
 _GIVEN = {
-    ("latin", "f"): "Mary Anna Laura Julia Sofia Emma Claire Marie Elena Lucia Carmen Ingrid Heidi Sabine Monika Camille Chloe Alice Sarah Emily Olivia Isabel Petra Ursula".split(),
-    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Carlos Miguel Javier Diego Hans Klaus Stefan Jürgen Pierre Louis Antoine Jacques William Henry George Daniel".split(),
+    ("latin", "f"): "Mary Anna Laura Julia Sofia Emma Claire Marie Elena Lucia Carmen Ingrid Heidi Sabine Monika Camille Chloe Alice Sarah Emily Olivia Isabel Petra Ursula Katharina Susanne Andrea Birgit Martina Karin Angelika Johanna Lena Hannah Charlotte Amelie Nathalie Isabelle Sylvie Céline Amélie Hélène Véronique Juliette Margaux Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Margaret Ashley Michelle Amanda Melissa Stephanie Rebecca Rachel Catherine Victoria Ana Lucía María Sofía Pilar Dolores Raquel Beatriz Inés Rocío Teresa Cristina Silvia Giulia Chiara Francesca Joanna Agnieszka Fatima Aisha".split(),
+    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Carlos Miguel Javier Diego Hans Klaus Stefan Jürgen Pierre Louis Antoine Jacques William Henry George Daniel Jürg Wolfgang Andreas Christian Matthias Markus Jörg Dieter Günter Helmut Uwe Bernd Florian Sebastian Tobias Felix Lukas Jonas Friedrich Alexander François Philippe Michel Nicolas Julien Olivier Thierry Étienne René Jérôme Mathieu Guillaume Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey José Juan Luis Antonio Manuel Francisco Jesús Alejandro Fernando Rafael Sergio Pablo Álvaro Andrés Raúl Marco Giuseppe Giovanni Piotr Krzysztof Mohammed Ahmed".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Михаил Андрей Владимир Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Βασιλική".split(),
@@ -70,7 +71,7 @@ _GIVEN_NAMES = tuple(n for n, k in _LIST_OF.items() if k[0] == "given")
 _HINT = re.compile(r"[0-9@:=]")
 _PREFIXES = ("AKIA", "ASIA", "ghp", "gho", "ghs", "github_pat", "sk-", "sk_", "pk-", "pk_", "xox")
 _FIND = re.compile(
-    r"""(?P<email>(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-]))
+    r"""(?P<email>(?<![\w.+\u0300-\u036f-])[^\W_](?:[\w\u0300-\u036f.%+-]*[\w\u0300-\u036f%+-])?@(?:[^\W_](?:[\w\u0300-\u036f-]*[^\W_]|[\u0300-\u036f])?\.)+[^\W\d_]{2,24}(?![\w-]))
     |(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<!\w)(?:ghp|gho|ghs|github_pat|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}(?![A-Za-z0-9])
       |(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[^\s"',;<>]{6,200}))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
@@ -78,11 +79,21 @@ _FIND = re.compile(
       |(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))
     |(?P<ssn>(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w-])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![\w-])|(?<![\w-])[0-9]{13,19}(?!\w))
-    |(?P<phone>(?<![\w+.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![\w(])\([2-9][0-9]{2}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[2-9][0-9]{2}([-.])[0-9]{3}\g<sep>[0-9]{4}(?![\w-]))""".replace("([-.])[0-9]{3}\\g<sep>", "(?P<sep>[-.])[0-9]{3}(?P=sep)"),
+    |(?P<phone>(?<![\w+.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![\w(])\([2-9][0-9]{2}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[2-9][0-9]{2}(?P<sep>[-.\x20])[0-9]{3}(?P=sep)[0-9]{4}(?![\w-])
+      |(?<![\w+.,/-])00[1-9](?:[ ./-]?[0-9]){8,13}(?!\w)
+      |(?<![\w+.,/-])(?![0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}(?![0-9]))(?:\(0[1-9][0-9]{0,4}\)|0[1-9])(?:[ ]?[./-]?[ ]?[0-9]){7,11}(?!\w))""",
     re.VERBOSE,
 )
 
 
+@functools.cache
+def _like(c: str) -> str:
+    """Letters that may stand for c: of its kind, else those of its case among the 256 around it."""
+    known = next((s for s in _NAME_SETS if c in s), None)
+    first = ord(c) & ~255
+    return known or "".join(x for x in map(chr, range(first, first + 256)) if x.isalpha() and (x.islower(), x.isupper()) == (c.islower(), c.isupper()))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -148,11 +159,16 @@ class Surrogates:
     def plain_sets(text: str) -> list[str | None]:
         return [_DIGITS if c in _DIGITS else _LOWER if c in _LOWER else _UPPER if c in _UPPER else None for c in text]
 
+    @staticmethod
+    def letter_sets(text: str) -> list[str | None]:
+        """plain_sets, with letters of other alphabets and scripts within their kind."""
+        return [s or (_like(c) if c.isalpha() else None) for s, c in zip(Surrogates.plain_sets(text), text)]
+
     def _email(self, text: str, tweak: str) -> str:
         name, _, domain = text.rpartition("@")
         host, dot, top = domain.rpartition(".")
         # the host alone decides its replacement, so that addresses of one domain stay together
-        return self.by_sets(name, self.plain_sets(name), tweak + "name") + "@" + self.by_sets(host, self.plain_sets(host), tweak + "host") + dot + top
+        return self.by_sets(name, self.letter_sets(name), tweak + "name") + "@" + self.by_sets(host, self.letter_sets(host), tweak + "host") + dot + top
 
     def _phone(self, text: str, tweak: str) -> str:
         sets = self.plain_sets(text)
@@ -160,9 +176,15 @@ class Surrogates:
         if code:  # without a separator the code's length isn't known: one digit for 1 and 7, else two
             end = code.end() if len(text) > code.end() and not text[code.end()].isdigit() else 2 if text[1] in "17" else 3
             sets[:end] = [None] * end
+        trunk = re.match(r"00[1-9][0-9]{0,2}|\(?0", text)
+        if trunk:  # a national number's leading 0, or 00 and the country code as above
+            end = trunk.end() if trunk.end() < 3 or not text[trunk.end()].isdigit() else 3 if text[2] in "17" else 4
+            sets[:end] = [None] * end
         first = next((i for i, s in enumerate(sets) if s), None)
         if first is not None and text[first] in "23456789":
             sets[first] = "23456789"
+        elif trunk and first is not None and text[first] == "1":
+            sets[first] = _DIGITS[1:]
         return self.by_sets(text, sets, tweak)
 
     def _ip(self, text: str, tweak: str) -> str:

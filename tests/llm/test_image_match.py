@@ -108,3 +108,38 @@ def test_corners_grow_with_area():
     p = photo(1)
     (small,), (large,) = M.describe(p[None, :192, :192]), M.describe(p[None])
     assert len(large[0]) > 3 * len(small[0])
+
+
+def test_tables_reach_max_distance():
+    r, found = np.random.default_rng(2), 0
+    for _ in range(300):  # pairs of pictures with MIN_INLIERS matches, all as far as the verifier accepts
+        a = r.integers(0, 2, (M.MIN_INLIERS, M.BITS), dtype=np.uint8)
+        b = a.copy()
+        for row in b:
+            row[r.permutation(M.BITS)[: M.MAX_DISTANCE]] ^= 1
+        meet = (M.keys_of(np.packbits(a, axis=1)) == M.keys_of(np.packbits(b, axis=1))).any(axis=1)
+        found += meet.sum() >= M.MIN_VOTES
+    assert found >= 0.88 * 300  # 0.92 is expected
+
+
+def test_join_keeps_what_brute_force_finds_of_hard_copies(spark):
+    r, pictures = np.random.default_rng(7), []
+    for s in range(4):
+        p = picture(s, M.SIDE)
+        pictures.append(p)
+        pictures += [np.clip(p + r.normal(scale=k, size=p.shape), 0, 255).astype(np.uint8) for k in (20, 35, 50)]
+        pictures += [M._box(p[None].astype(np.float32), k)[0].astype(np.uint8) for k in (1, 2)]
+        y, x = np.mgrid[: M.SIDE, : M.SIDE] - 47.5
+        for turn, scale in ((0.2, 1), (0.5, 1), (0, 0.9), (0.3, 1.2)):
+            u, v = np.cos(turn) * x - np.sin(turn) * y, np.sin(turn) * x + np.cos(turn) * y
+            pictures.append(p[np.clip(np.round(v / scale + 47.5), 0, 95).astype(int), np.clip(np.round(u / scale + 47.5), 0, 95).astype(int)])
+    described = [M.describe(p[None])[0] for p in pictures]
+    brute = set()
+    for a in range(len(pictures)):
+        for b in range(a + 1, len(pictures)):
+            made = M.consensus(*described[a], *described[b]) if len(described[a][0]) and len(described[b][0]) else None
+            if made and made[1] >= M.MIN_INLIERS:
+                brute.add((a, b))
+    got = {(q.image_a, q.image_b) for q in M.copies(table(spark, [(i, M.encode(p)) for i, p in enumerate(pictures)])).collect()}
+    print(len(got), len(brute))
+    assert got <= brute and len(got) >= 0.9 * len(brute) and len(brute) >= 40

@@ -32,7 +32,7 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_match.copies(image_match.drawn(table(spark, sf_dir, "embeddings")))
+    return image_match.linked_images(image_match.drawn(table(spark, sf_dir, "embeddings")))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

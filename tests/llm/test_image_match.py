@@ -1,6 +1,7 @@
 import numpy as np
 
 from millrace.llm import image_match as M
+from millrace.llm.links import layout
 
 
 def picture(seed, side=128):
@@ -50,9 +51,64 @@ def test_table_join_keeps_what_brute_force_finds(spark):
 def test_awkward_rows(spark):
     good = M.encode(picture(1, M.SIDE))
     rows = [(1, None), (None, good), (2, b""), (3, b"P5 3 3 255\n123"), (4, b"GIF89a"), (5, b"P5 200 200 255\n" + b"\x00" * 10), (6, M.encode(np.full((96, 96), 9, np.uint8))), (7, good), (7, good), (8, good)]
-    got = M.copies(table(spark, rows)).collect()
-    assert [(r.image_a, r.image_b) for r in got] == [(7, 8)]
-    assert M.copies(table(spark, [])).count() == 0
+    assert M.copies(table(spark, rows)).count() == 0  # equal files are one image there
+    flat = rows[8 - 2][1]  # nothing to describe, but its equals are copies all the same
+    rows += [(9, flat), (9, flat)]
+    got = M.linked_images(table(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == [(6, 6, 1), (7, 7, 1), (8, 7, 1), (9, 6, 1)]
+    assert M.copies(table(spark, [])).count() == 0 and M.linked_images(table(spark, [])).count() == 0
+    assert {tuple(r) for r in M.membership(table(spark, rows)).collect() if r[0] != r[1]} == {(8, 7), (9, 6)}
+
+
+def test_one_row_for_each_linked_image(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(8, 64))
+    pictures = [M.encode(p) for p in M.draw(np.concatenate([base, base[:4] + rng.normal(scale=0.04, size=(4, 64)), base[:2] + rng.normal(scale=0.04, size=(2, 64))]))]
+    rows = list(enumerate(pictures)) + [(100, pictures[0]), (101, pictures[8]), (102, pictures[7]), (200, pictures[4]), (200, pictures[5])]
+    df = table(spark, rows).selectExpr("*", "'mine' AS class", "1 AS place", "2 AS digest")
+    pairs = {(r.image_a, r.image_b) for r in M.copies(df).collect()}
+    same = {i: {j for j, q in rows if q == p and j != i} for i, p in rows}
+    first = {i: min({i} | same[i]) for i, _ in rows}
+    links = {i: set(same[i]) for i, _ in rows}
+    for a, b in pairs:
+        for x in (i for i, _ in rows if first[i] == a):
+            for y in (i for i, _ in rows if first[i] == b):
+                links[x].add(y), links[y].add(x)
+    links[200] = {4, 5}
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j), todo.append(j)
+        return seen
+
+    for i in links:
+        for j in list(links[i]):
+            links[j].add(i)
+    want = {(i, min(reach(i)), len(links[i])) for i in links if links[i]}
+    for most in (M.TASK_ROWS, 40):  # 40: cells of the tables are parted and paired part by part
+        assert {tuple(r) for r in M.linked_images(df, most=most).collect()} == want, most
+
+
+def test_parted_cells_give_the_same_pairs(spark):
+    df = table(spark, [(i, M.encode(np.clip(picture(i // 6).astype(int) + i % 6, 0, 255).astype(np.uint8))) for i in range(24)])
+    whole, parted = ({(r.image_a, r.image_b, r.inliers) for r in M.copies(df, most=m).collect()} for m in (M.TASK_ROWS, 15))
+    assert whole == parted and len(whole) == 4 * 15
+
+
+def test_near_keys_in_slices(monkeypatch):
+    monkeypatch.setattr(M, "AT_ONCE", 7)
+    key = np.random.default_rng(1).integers(0, 64, 60)
+    got = [tuple(sorted(map(int, p))) for i, j in M.near_keys(key, 4) for p in zip(i, j)]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if (d := int(key[a] ^ key[b])) in (0, 1, 2, 4, 8)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_layout_of_groups():
+    base, parts = layout(np.array([[3, 4, 50, 2, 2], [9, 9, 1, 0, 0]]), 10)
+    assert parts.tolist() == [[1, 1, 5, 1, 1], [1, 1, 1, 1, 1]]
+    assert base.tolist() == [[0, 0, 1, 16, 16], [17, 18, 18, 18, 18]]
 
 
 def test_drawn_vectors(spark):
@@ -110,16 +166,21 @@ def test_corners_grow_with_area():
     assert len(large[0]) > 3 * len(small[0])
 
 
-def test_tables_reach_max_distance():
-    r, found = np.random.default_rng(2), 0
-    for _ in range(300):  # pairs of pictures with MIN_INLIERS matches, all as far as the verifier accepts
-        a = r.integers(0, 2, (M.MIN_INLIERS, M.BITS), dtype=np.uint8)
-        b = a.copy()
-        for row in b:
-            row[r.permutation(M.BITS)[: M.MAX_DISTANCE]] ^= 1
-        meet = (M.keys_of(np.packbits(a, axis=1)) == M.keys_of(np.packbits(b, axis=1))).any(axis=1)
-        found += meet.sum() >= M.MIN_VOTES
-    assert found >= 0.88 * 300  # 0.92 is expected
+def test_tables_meet_at_reach():
+    r = np.random.default_rng(2)
+    for descriptors in (10**5, 10**7, 10**9):  # longer keys, as many more tables
+        length, cells, found = M.key_bits(descriptors), M.cell_bits(descriptors, M.TASK_ROWS), 0
+        for _ in range(300):  # pairs of pictures with MIN_INLIERS matches, all at REACH
+            a = r.integers(0, 2, (M.MIN_INLIERS, M.BITS), dtype=np.uint8)
+            b = a.copy()
+            for row in b:
+                row[r.permutation(M.BITS)[: M.REACH]] ^= 1
+            (x, p), (y, q) = (M.keys_of(np.packbits(v, axis=1), length, cells) for v in (a, b))
+            apart = np.bitwise_count(x ^ y)
+            meet = (apart == 0) | (apart == 1) & (x >> length - cells == y >> length - cells)
+            meet &= np.bitwise_count(p ^ q) <= M.SKETCH_FAR
+            found += meet.any(axis=1).sum() >= M.MIN_VOTES
+        assert found >= 0.88 * 300, descriptors  # 0.91 is expected
 
 
 def test_join_keeps_what_brute_force_finds_of_hard_copies(spark):

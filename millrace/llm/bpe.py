@@ -4,11 +4,13 @@ A long text is cut before it is encoded, at places where the splitting regex
 would cut it anyway: between a character that is not white space and a single
 space or line break that a non-space follows. No piece of the regex crosses such a place and no
 look-ahead sees over it, so the ids of the parts joined are the ids of the whole.
-What has no such place within a stretch is kept whole.
+A run of LONG_SPACE characters of white space or more never reaches the regex, whose look-ahead would
+take a stack frame for each: it is one piece as it stands, but for its last character, which goes with what
+follows. What has no safe place within a stretch (letters, digits or marks without a break) is kept whole.
 
 Defined results: a null text has null tokens and null n_tokens; an empty one has
 none and 0. Decoding goes by raw bytes and gives back every text, whatever the
-characters; unpaired surrogates, which UTF-8 can't hold, count as U+FFFD. Special
+characters; unpaired surrogates, which UTF-8 can't hold, count as U+FFFD each. Special
 tokens' strings in a text are ordinary text. Input columns named like an added
 one are replaced by it.
 """
@@ -33,6 +35,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters after which the next safe place is taken.
 PART = 50_000
 _SAFE = re.compile(r"(?<=[^\W_])[ \n](?=[^\W_])")
+LONG_SPACE = 400
+#: White space as the splitting regex knows it.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
+_UNPAIRED = re.compile("[\ud800-\udfff]")
 _LOADED: dict[str, tiktoken.Encoding] = {}
 
 
@@ -57,12 +63,25 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
     yield text[first:]
 
 
+def clean(text: str) -> str:
+    """text as UTF-8 can hold it."""
+    return text if text.isascii() else _UNPAIRED.sub("\ufffd", text)
+
+
 def encode(enc: tiktoken.Encoding, text: str, size: int = PART) -> list[int]:
-    if not text.isascii():
-        text = text.encode("utf-8", "replace" if re.search("[\ud800-\udfff]", text) else "strict").decode("utf-8")
-    if len(text) <= size:
+    text = clean(text)
+    if len(text) < LONG_SPACE:
         return enc.encode_ordinary(text)
-    return [t for part in parts(text, size) for t in enc.encode_ordinary(part)]
+    tokens: list[int] = []
+    at = 0
+    for m in _SPACES.finditer(text):
+        for part in parts(text[at : m.start()], size):
+            tokens += enc.encode_ordinary(part)
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        tokens += enc._core_bpe.encode_single_piece(text[m.start() : at].encode())
+    for part in parts(text[at:], size):
+        tokens += enc.encode_ordinary(part)
+    return tokens
 
 
 def decode(enc: tiktoken.Encoding, tokens) -> bytes:
@@ -88,7 +107,7 @@ def with_tokens(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 sizes.append(None)
                 continue
             raw = decode(enc, ids)
-            if raw != text.encode("utf-8", "replace"):
+            if raw != clean(text).encode():
                 raise ValueError("decoding the tokens doesn't give the text back")
             sizes.append(len(raw))
         return [_lists(tokens), pa.array([None if t is None else len(t) for t in tokens], pa.int32()), pa.array(sizes, pa.int64())]

@@ -18,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
+    return batch.column(column).to_pylist()
+
+
+def place_of(name: str, columns: list[str]) -> int:
+    """Of the column of that name, else of the first whose name differs in case only, as Spark finds it."""
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
 
 
 def release() -> None:
@@ -58,6 +63,14 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(lean(renamed), schema)
 
 
+def fresh_name(name: str, columns: list[str]) -> str:
+    """name, with underscores where a column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -74,10 +87,11 @@ def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in added]
+    at = place_of(column, kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch, column)
+            texts = batch.column(at).to_pylist()
             for first, last in slices(texts, chars):
                 part = batch.slice(first, last - first)
                 made = compute(texts[first:last])

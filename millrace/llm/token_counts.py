@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import PATTERN, RANKS, encoding
+from .bpe import PATTERN, RANKS, clean, encoding
 from .columns import with_computed
 
 BUDGETS = (128, 512, 2048)
@@ -142,8 +142,7 @@ class PrefixCounts:
 
     def counts(self, text: str) -> np.ndarray:
         """Token count of text[:i] for i in 0..len(text)."""
-        if not text.isascii() and re.search("[\ud800-\udfff]", text):
-            text = re.sub("[\ud800-\udfff]", "�", text)
+        text = clean(text)
         pieces = split(text)
         if not pieces:
             return np.zeros(1, np.int64)

@@ -1,23 +1,29 @@
 """PII surrogates: detected entities get keyed replacements of the same type and form.
 
 A replacement is a keyed permutation of the strings of the entity's own form
-(format-preserving encryption: a Feistel network over the mixed-radix number of
-the string, walked on until the value is valid again), so different entities of a form
+(format-preserving encryption: a Feistel network numbers the strings of the form in a keyed
+order, and the next valid one in that order is taken). It has no fixed point, so that no entity
+keeps its value, different entities of a form
 always get different replacements, and one entity gets the same one in
-every document, without any table of entities. Kept as they are: a phone's country code, a card's
-first digit and whether its check digit holds, an address's being private, an
-IBAN's country and validity, a secret's known prefix, letter case, and
+every document, whatever else stands there and without any table of entities; only where a form has a single valid string it stays. Kept as they are: a phone's country code, a card's
+first digit and its check digit's validity, an address's being private, an
+IBAN's country and validity, a secret's known prefix, letter case, a name's last a, o or e, and
 every punctuation mark. Known given names map within names of the same
 script and gender, and known surnames within surnames of the script; other
-name letters map within their kind (vowels, consonants, accented letters, Cyrillic, Greek).
+name letters map within their kind (vowels, consonants, accented letters, Cyrillic, Greek) or, in other scripts, within the
+256 characters around them. Words of an e-mail address's local part map as names do, so that anna.smith@
+follows Anna Smith.
 A name found once by its title or full form is replaced wherever one of its
 parts stands in the text, so that later mentions stay with it. In each
-document a check goes over the replacements: one that equals its entity or is
-taken by another is drawn anew with the next tweak.
+document a check goes over the replacements: two entities of a type with one replacement are an error.
+
+The key is an argument, else the session's millrace.pii.key, else MILLRACE_PII_KEY in the driver's environment. Where none is set, a
+random one holds as long as the driver process: set one to get the same replacements again.
 
 Defined results: a null text stays null with 0 entities; a text with no entity
 stays as it is, character for character; repeated rows get the same text.
-Overlapping findings: the one that begins first, and of those the longest, holds.
+Overlapping findings: the one that begins first, and of those the longest, holds. Digits that fail
+the check digit of cards are no card, and four numbers after "version" or "release" are no address.
 Input columns named like an added one are replaced by it.
 """
 
@@ -27,16 +33,19 @@ import functools
 import hashlib
 import hmac
 import ipaddress
+import os
 import re
+import secrets
+import sys
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import quoted, with_computed
+from .columns import fresh_name, quoted, with_computed
 
-KEY = b"millrace default key: set your own"
 TYPES = ("email", "phone", "ip", "card", "iban", "ssn", "secret", "name")
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -44,26 +53,46 @@ _NAME_SETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôû
 _NAME_SETS += tuple(s.upper() for s in _NAME_SETS)
 
 _GIVEN = {
-    ("latin", "f"): "Mary Anna Laura Julia Sofia Emma Claire Marie Elena Lucia Carmen Ingrid Heidi Sabine Monika Camille Chloe Alice Sarah Emily Olivia Isabel Petra Ursula Katharina Susanne Andrea Birgit Martina Karin Angelika Johanna Lena Hannah Charlotte Amelie Nathalie Isabelle Sylvie Céline Amélie Hélène Véronique Juliette Margaux Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Margaret Ashley Michelle Amanda Melissa Stephanie Rebecca Rachel Catherine Victoria Ana Lucía María Sofía Pilar Dolores Raquel Beatriz Inés Rocío Teresa Cristina Silvia Giulia Chiara Francesca Joanna Agnieszka Fatima Aisha".split(),
-    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Carlos Miguel Javier Diego Hans Klaus Stefan Jürgen Pierre Louis Antoine Jacques William Henry George Daniel Jürg Wolfgang Andreas Christian Matthias Markus Jörg Dieter Günter Helmut Uwe Bernd Florian Sebastian Tobias Felix Lukas Jonas Friedrich Alexander François Philippe Michel Nicolas Julien Olivier Thierry Étienne René Jérôme Mathieu Guillaume Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey José Juan Luis Antonio Manuel Francisco Jesús Alejandro Fernando Rafael Sergio Pablo Álvaro Andrés Raúl Marco Giuseppe Giovanni Piotr Krzysztof Mohammed Ahmed".split(),
+    ("latin", "f"): "Mary Anna Laura Julia Sofia Emma Claire Marie Elena Lucia Carmen Ingrid Heidi Sabine Monika Camille Chloe Alice Sarah Emily Olivia Isabel Petra Ursula Katharina Susanne Andrea Birgit Martina Karin Angelika Johanna Lena Hannah Charlotte Amelie Nathalie Isabelle Sylvie Céline Amélie Hélène Véronique Juliette Margaux Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Margaret Ashley Michelle Amanda Melissa Stephanie Rebecca Rachel Catherine Victoria Ana Lucía María Sofía Pilar Dolores Raquel Beatriz Inés Rocío Teresa Cristina Silvia Giulia Chiara Francesca Joanna Agnieszka Fatima Aisha Sandra Nicole Diana Helen Ruth Sharon Michele Carol Donna Brenda Pamela Rosa Gabriela Daniela Paula Claudia Alejandra Mercedes Irene Marta Alicia Nadia Ingeborg Gisela Renate Brigitte Christine Gabriele Jutta Silke Anja Katja Tanja Nina Franziska Pauline Manon Audrey Valérie Sandrine Stéphanie Émilie Aurélie Zoé Mónica Verónica".split(),
+    ("latin", "m"): "John James Robert Michael David Thomas Peter Paul Carlos Miguel Javier Diego Hans Klaus Stefan Jürgen Pierre Louis Antoine Jacques William Henry George Daniel Jürg Wolfgang Andreas Christian Matthias Markus Jörg Dieter Günter Helmut Uwe Bernd Florian Sebastian Tobias Felix Lukas Jonas Friedrich Alexander François Philippe Michel Nicolas Julien Olivier Thierry Étienne René Jérôme Mathieu Guillaume Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey José Juan Luis Antonio Manuel Francisco Jesús Alejandro Fernando Rafael Sergio Pablo Álvaro Andrés Raúl Marco Giuseppe Giovanni Piotr Krzysztof Mohammed Ahmed Mark Donald Gary Frank Raymond Dennis Jerry Walter Harold Douglas Carl Arthur Roger Detlef Heinz Horst Werner Gerhard Manfred Rainer Ralf Joachim Torsten Holger Sven Jens Lars Ulrich Norbert Ricardo Roberto Eduardo Alberto Jorge Mario Pascal Bruno Thibault Benoît Frédéric Sébastien Cédric Iñaki Joaquín Ramón Víctor".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Михаил Андрей Владимир Павел".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Βασιλική".split(),
     ("greek", "m"): "Γιώργος Ιωάννης Δημήτρης Νίκος Κώστας Παναγιώτης".split(),
 }
 _SURNAMES = {
-    "latin": "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Martin Thompson Garcia Martinez Rodriguez Lopez Gonzalez Sanchez Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Dubois Durand Lefebvre Moreau Laurent Bernard".split(),
+    "latin": "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Martin Thompson Garcia Martinez Rodriguez Lopez Gonzalez Sanchez Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Dubois Durand Lefebvre Moreau Laurent Bernard Meyer Wolf Schulz Koch Bauer Richter Klein Schröder Neumann Schwarz Zimmermann Krause Lehmann Clark Lewis Robinson Walker Young Allen King Wright Scott Hill Green Adams Baker Nelson Carter Mitchell Perez Roberts Turner Phillips Campbell Parker Evans Edwards Collins Petit Leroy Roux Fournier Girard Bonnet Mercier Fernández González Hernández Jiménez Ruiz Díaz Moreno Álvarez Romero Navarro Torres Ramírez".split(),
     "cyrillic": "Иванов Петров Смирнов Кузнецов Попов Соколов Лебедев Козлов Новиков Морозов".split(),
     "greek": "Παπαδόπουλος Γεωργίου Δημητρίου Νικολάου Ιωάννου Βασιλείου".split(),
 }
-_LIST_OF = {n: ("given", *k) for k, names in _GIVEN.items() for n in names} | {n: ("family", k) for k, names in _SURNAMES.items() for n in names}
-_LISTS = {("given", *k): names for k, names in _GIVEN.items()} | {("family", k): names for k, names in _SURNAMES.items()}
+#: ASCII names map among themselves, as addresses are made of them.
+_LIST_OF = {n: ("given", *k, n.isascii()) for k, names in _GIVEN.items() for n in names} | {n: ("family", k, n.isascii()) for k, names in _SURNAMES.items() for n in names}
+_LISTS: dict[tuple, list[str]] = {}
+for _n, _k in _LIST_OF.items():
+    _LISTS.setdefault(_k, []).append(_n)
 
 #: Every match of _TITLED holds one of these.
 _TITLES = ("Mr", "Ms.", "Miss", "Dr.", "Prof.", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "господин", "госпожа")
 _WORD = r"[^\W\d_][^\W\d_]*(?:[-'’][^\W\d_]+)*"
-_CAPITAL = r"(?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ])" + _WORD
-_TITLED = re.compile(rf"(?<!\w)(?:Mrs?\.?|Ms\.|Miss|Dr\.|Prof\.|Herrn?|Frau|Señora?|Sra?\.|Monsieur|Madame|Mme|господин|госпожа)[ \t]+((?:{_CAPITAL})(?:[ \t]{_CAPITAL}){{0,2}})")
+
+
+def _class_of(wanted) -> str:
+    """The letters for which wanted holds, as ranges of a pattern's character class."""
+    ranges: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        x = chr(c)
+        if x.isalpha() and wanted(x):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+_CAPITAL = f"(?=[{_class_of(lambda x: x.isupper() or x.istitle())}])" + _WORD
+#: After a title, letters of scripts without case count too.
+_NAMED = f"(?=[{_class_of(lambda x: not x.islower())}])" + _WORD
+_TITLED = re.compile(rf"(?<!\w)(?:Mrs?\.?|Ms\.|Miss|Dr\.|Prof\.|Herrn?|Frau|Señora?|Sra?\.|Monsieur|Madame|Mme|господин|госпожа)[ \t]+((?:{_NAMED})(?:[ \t]{_CAPITAL}){{0,2}})")
 _FULL = re.compile(rf"(?<!\w)({'|'.join(sorted((n for n, k in _LIST_OF.items() if k[0] == 'given'), key=len, reverse=True))})[ \t]({_CAPITAL})")
 _GIVEN_NAMES = tuple(n for n, k in _LIST_OF.items() if k[0] == "given")
 
@@ -73,13 +102,14 @@ _PREFIXES = ("AKIA", "ASIA", "ghp", "gho", "ghs", "github_pat", "sk-", "sk_", "p
 _FIND = re.compile(
     r"""(?P<email>(?<![\w.+\u0300-\u036f-])[^\W_](?:[\w\u0300-\u036f.%+-]*[\w\u0300-\u036f%+-])?@(?:[^\W_](?:[\w\u0300-\u036f-]*[^\W_]|[\u0300-\u036f])?\.)+[^\W\d_]{2,24}(?![\w-]))
     |(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<!\w)(?:ghp|gho|ghs|github_pat|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}(?![A-Za-z0-9])
-      |(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[^\s"',;<>]{6,200}))
+      |(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))["']?\s{0,3}[:=]\s{0,3}["']?(?P<value>[^\s"',;<>]{6,}))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<ip>(?<![\w.:])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w:]|\.[0-9])
-      |(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))
+    |(?P<ip>(?<![\w.:])(?<![Vv]ersion\ )(?<![Rr]elease\ )(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\w:]|\.[0-9])
+      |(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])
+      |(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![\w:]))
     |(?P<ssn>(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w-])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![\w-])|(?<![\w-])[0-9]{13,19}(?!\w))
-    |(?P<phone>(?<![\w+.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![\w(])\([2-9][0-9]{2}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[2-9][0-9]{2}(?P<sep>[-.\x20])[0-9]{3}(?P=sep)[0-9]{4}(?![\w-])
+    |(?P<phone>(?<![\w+.])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\w+.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![\w(])\([2-9][0-9]{2}\)[ ]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[2-9][0-9]{2}(?P<sep>[-.\x20])[0-9]{3}(?P=sep)[0-9]{4}(?![\w-])
       |(?<![\w+.,/-])00[1-9](?:[ ./-]?[0-9]){8,13}(?!\w)
       |(?<![\w+.,/-])(?![0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}(?![0-9]))(?:\(0[1-9][0-9]{0,4}\)|0[1-9])(?:[ ]?[./-]?[ ]?[0-9]){7,11}(?!\w))""",
     re.VERBOSE,
@@ -106,35 +136,53 @@ def iban_valid(compact: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+_RANDOM_KEY: list[bytes] = []
+
+
+def default_key(conf=None) -> bytes:
+    """The key that is set, else a random one for this process."""
+    said = (conf.get("millrace.pii.key", None) if conf is not None else None) or os.environ.get("MILLRACE_PII_KEY")
+    if said:
+        return said.encode()
+    if not _RANDOM_KEY:
+        _RANDOM_KEY.append(secrets.token_bytes(32))
+    return _RANDOM_KEY[0]
+
+
 class Surrogates:
     """Replacements under one key."""
 
-    def __init__(self, key: bytes = KEY):
-        self.key = hashlib.sha256(key).digest()
-        self.known: dict[tuple[str, str, int], str] = {}
+    def __init__(self, key: bytes | None = None):
+        self.key = hashlib.sha256(key or default_key()).digest()
+        self.known: dict[tuple[str, str], str] = {}
 
     def _random(self, tweak: str, *parts: int) -> int:
         said = f"{tweak}|{'|'.join(map(str, parts))}".encode()
         return int.from_bytes(hmac.digest(self.key, said, "sha256"), "big")
 
-    def permute(self, x: int, size: int, tweak: str) -> int:
-        """A keyed permutation of range(size): a keyed shift where size is small, else Feistel rounds, walked into range."""
-        if size < 2:
-            return x
-        if size < 1000:
-            return (x + 1 + self._random(tweak, size) % (size - 1)) % size
+    def _place(self, x: int, size: int, tweak: str, back: bool) -> int:
+        """The place of x in a keyed order of range(size), or what is at place x: Feistel rounds, walked into range."""
         half = (size - 1).bit_length() + 1 >> 1
         mask = (1 << half) - 1
+
+        def of(r: int, v: int) -> int:
+            made = b"".join(self._random(tweak, size, r, v, k).to_bytes(32, "big") for k in range(-(-half // 256)))
+            return int.from_bytes(made, "big") & mask
+
         while True:
             a, b = x >> half, x & mask
             for r in range(8):
-                a, b = b, a ^ (self._random(tweak, size, r, b) & mask)
+                a, b = (b ^ of(7 - r, a), a) if back else (b, a ^ of(r, b))
             x = a << half | b
             if x < size:
                 return x
 
+    def permute(self, x: int, size: int, tweak: str) -> int:
+        """What follows x in a keyed cyclic order of range(size): a permutation without a fixed point."""
+        return x if size < 2 else self._place((self._place(x, size, tweak, False) + 1) % size, size, tweak, True)
+
     def by_sets(self, text: str, sets: list[str | None], tweak: str, valid=None) -> str:
-        """Each character of text permuted within its set (None: kept), walking on until valid(result)."""
+        """Each character of text permuted within its set (None: kept), going on to the next result that is valid, as text is."""
         places = [i for i, s in enumerate(sets) if s and len(s) > 1]
         size = 1
         for i in places:
@@ -144,16 +192,15 @@ class Surrogates:
             number = number * len(sets[i]) + sets[i].index(text[i])
         # punctuation is no part of the form: one number written in several ways keeps one replacement
         form = tweak + "|" + "".join(f"[{s[0]}{len(s)}]" if s else c if c.isalnum() else "" for c, s in zip(text, sets))
-        for _ in range(10_000):
+        while True:  # the order is a cycle: text itself ends the walk at the latest
             number = rest = self.permute(number, size, form)
             out = list(text)
             for i in reversed(places):
                 rest, at = divmod(rest, len(sets[i]))
                 out[i] = sets[i][at]
             made = "".join(out)
-            if valid is None or valid(made):
+            if made == text or valid is None or valid(made):
                 return made
-        return made
 
     @staticmethod
     def plain_sets(text: str) -> list[str | None]:
@@ -168,7 +215,19 @@ class Surrogates:
         name, _, domain = text.rpartition("@")
         host, dot, top = domain.rpartition(".")
         # the host alone decides its replacement, so that addresses of one domain stay together
-        return self.by_sets(name, self.letter_sets(name), tweak + "name") + "@" + self.by_sets(host, self.letter_sets(host), tweak + "host") + dot + top
+        words = re.split(r"([^\W\d_]+)", name)  # its words at odd places
+        words[1::2] = [self._word(w) for w in words[1::2]]
+        rest = "".join(words[::2])
+        moved = iter(self.by_sets(rest, self.plain_sets(rest), tweak + "name|" + "|".join(words[1::2])))
+        words[::2] = ["".join(next(moved) for _ in w) for w in words[::2]]
+        return "".join(words) + "@" + self.by_sets(host, self.letter_sets(host), tweak + "host") + dot + top
+
+    def _word(self, text: str) -> str:
+        """A word of an address, as the name it may be."""
+        if text.islower() and text.capitalize().lower() == text:
+            made = self.of("name", text.capitalize()).lower()
+            return made if len(made) and made.capitalize().lower() == made else self.of("name", text)
+        return self.of("name", text)
 
     def _phone(self, text: str, tweak: str) -> str:
         sets = self.plain_sets(text)
@@ -195,12 +254,11 @@ class Surrogates:
         keep = 8 if int(address) >> 24 in (10, 127, 0) else 12 if address in ipaddress.ip_network("172.16.0.0/12") else 16 if address.is_private or address.is_link_local else 0
         size, x = 1 << 32 - keep, int(address) & (1 << 32 - keep) - 1
         high = int(address) - x
-        for _ in range(10_000):
+        while True:
             x = self.permute(x, size, f"{tweak}|{high}")
             made = ipaddress.ip_address(high + x)
-            if keep or kind(made) == kind(address):
-                break
-        return str(made)
+            if made == address or keep or kind(made) == kind(address):
+                return str(made)
 
     def _card(self, text: str, tweak: str) -> str:
         sets = self.plain_sets(text)
@@ -235,15 +293,19 @@ class Surrogates:
             return order[(order.index(text) + 1) % len(order)]
         if text.endswith("а") and _LIST_OF.get(text[:-1], ("",))[0] == "family":  # a feminine form
             return self._name(text[:-1], tweak) + "а"
-        return self.by_sets(text, [next((s for s in _NAME_SETS if c in s), None) for c in text], tweak, lambda s: s not in _LIST_OF)
+        sets = [_like(c) if c.isalpha() else None for c in text]
+        if len(text) > 2 and text[-1] in "aoeаоеяαοε":  # the ending may tell the gender
+            sets[-1] = None
+        return self.by_sets(text, sets, tweak, lambda s: s not in _LIST_OF and s.capitalize() not in _LIST_OF)
 
-    def of(self, kind: str, text: str, attempt: int = 0) -> str:
+    def of(self, kind: str, text: str) -> str:
         """The replacement of an entity."""
-        key = kind, text, attempt
+        key = kind, text
         if key not in self.known:
+            made = getattr(self, f"_{kind}")(text, f"{kind}|")
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[key] = getattr(self, f"_{kind}")(text, f"{kind}|{attempt}|" if attempt else f"{kind}|")
+            self.known[key] = made
         return self.known[key]
 
     def rewrite(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
@@ -251,20 +313,13 @@ class Surrogates:
         found = find(text)
         if not found:
             return text, []
-        given: dict[tuple[str, str], str] = {}
-        taken: dict[str, tuple[str, str]] = {}
+        taken: dict[tuple[str, str], str] = {}
         out, at = [], 0
         for kind, a, b in found:
-            entity = kind, text[a:b]
-            if entity not in given:
-                attempt = 0
-                made = self.of(kind, entity[1])
-                while (made == entity[1] or taken.get(made, entity) != entity) and attempt < 20:
-                    attempt += 1
-                    made = self.of(kind, entity[1], attempt)
-                given[entity] = made
-                taken[made] = entity
-            out += [text[at:a], given[entity]]
+            made = self.of(kind, text[a:b])
+            if taken.setdefault((kind, made), text[a:b]) != text[a:b]:
+                raise ValueError(f"two entities of type {kind} have one replacement")
+            out += [text[at:a], made]
             at = b
         return "".join([*out, text[at:]]), found
 
@@ -288,7 +343,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         for m in _FIND.finditer(text):
             kind = m.lastgroup if m.lastgroup in TYPES else next(k for k in TYPES if k != "name" and m.group(k))
             a, b = m.span("value") if m.group("value") else m.span()
-            found.append((a, b, kind))
+            if kind != "card" or luhn(re.sub(r"\D", "", m.group())):
+                found.append((a, b, kind))
     parts: set[str] = set()
     if _may_have_title(text):
         for m in _TITLED.finditer(text):
@@ -306,8 +362,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return kept
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, in_place: bool = False) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes | None = None, in_place: bool = False) -> DataFrame:
     """docs with private data replaced in text, and n_entities and entity_types unless in_place."""
+    key = key or default_key(docs.sparkSession.conf)
     by_key: dict[bytes, Surrogates] = {}
 
     def compute(texts: list[str | None]) -> list[pa.Array]:
@@ -321,9 +378,8 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, in_place: bool = False) -
 
     if in_place:  # the column stays where it is, under the name it has
         name = next(c for c in docs.columns if c.lower() == "text")
-        made = with_computed(docs, [T.StructField("__surrogate_text", T.StringType())], compute, name)
-        from pyspark.sql import functions as F
-
-        return made.select(*[F.col("__surrogate_text").alias(c) if c == name else F.col(quoted(c)) for c in docs.columns])
+        other = fresh_name("surrogate_text", docs.columns)
+        made = with_computed(docs, [T.StructField(other, T.StringType())], compute, name)
+        return made.select(*[F.col(other).alias(c) if c == name else F.col(quoted(c)) for c in docs.columns])
     added = [T.StructField("surrogate_text", T.StringType()), T.StructField("n_entities", T.IntegerType()), T.StructField("entity_types", T.MapType(T.StringType(), T.IntegerType()))]
     return with_computed(docs, added, compute)

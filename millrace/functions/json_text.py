@@ -2,10 +2,11 @@
 
 A null document or argument gives NULL; a malformed document is an error. Paths
 know $, .name, ["name"], ['name'] and [n], and tolerate a bare leading name; wildcards and filters are
-refused. Values are printed with sorted keys and without spaces.
+refused. Of repeated keys the last counts. Values are printed with sorted keys and without spaces.
 
-Each function is an Arrow UDF. The scalar ones, the hot ones, have a form of
-Spark built-ins too, for a literal path (`scalar_sql`), which keeps numbers as they are written.
+Each function takes and gives whole Arrow columns, and a batch's documents are parsed once for all
+calls on them. Spark's own JSON expressions know neither the last of repeated keys nor an error for
+malformed text.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import json
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import TransformError
 
@@ -96,29 +99,31 @@ def at_path(value, path: str):
     return value
 
 
-def extract(document: str, path: str) -> str | None:
-    value = at_path(parse(document), path)
+# ---- over parsed documents ----
+
+
+def _extract(value, path: str) -> str | None:
+    value = at_path(value, path)
     return None if value is _MISSING or value is None else to_text(value)
 
 
-def scalar(document: str, path: str) -> str | None:
-    value = at_path(parse(document), path)
+def _scalar(value, path: str) -> str | None:
+    value = at_path(value, path)
     if value is _MISSING or value is None or isinstance(value, (dict, list)):
         return None
     return value if isinstance(value, str) else to_text(value)
 
 
-def size(document: str, path: str = "$") -> int | None:
-    value = at_path(parse(document), path)
+def _size(value, path: str = "$") -> int | None:
+    value = at_path(value, path)
     return None if value is _MISSING else len(value) if isinstance(value, (dict, list)) else 0
 
 
-def exists(document: str, path: str) -> bool:
-    return at_path(parse(document), path) is not _MISSING
+def _exists(value, path: str) -> bool:
+    return at_path(value, path) is not _MISSING
 
 
-def array_length(document: str) -> int | None:
-    value = parse(document)
+def _array_length(value) -> int | None:
     return len(value) if isinstance(value, list) else None
 
 
@@ -134,17 +139,19 @@ def _same(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
-def array_contains(document: str, needle: str) -> bool | None:
-    value = parse(document)
+@functools.lru_cache(256)
+def _needle(text: str):
     try:
-        wanted = parse(needle)
+        return parse(text)
     except TransformError:
-        wanted = needle
-    return any(_same(v, wanted) for v in value) if isinstance(value, list) else None
+        return text
+
 
+def _array_contains(value, needle: str) -> bool | None:
+    return any(_same(v, _needle(needle)) for v in value) if isinstance(value, list) else None
 
-def array_get(document: str, index: str) -> str | None:
-    value = parse(document)
+
+def _array_get(value, index: str) -> str | None:
     try:
         found = value[int(index)] if isinstance(value, list) else None
     except (ValueError, IndexError):
@@ -152,63 +159,84 @@ def array_get(document: str, index: str) -> str | None:
     return None if found is None else to_text(found)
 
 
-def checked(document: str) -> str:
-    parse(document)
-    return document
+def _is_scalar(value) -> bool:
+    return not isinstance(value, (dict, list))
 
 
-def is_scalar(document: str) -> bool:
-    return not isinstance(parse(document), (dict, list))
+def _array_elements(value) -> list[str | None] | None:
+    return [None if v is None else to_text(v) for v in value] if isinstance(value, list) else None
 
 
-def array_elements(document: str) -> list[str | None] | None:
-    value = parse(document)
-    return [None if v is None else to_text(v) for v in value] if isinstance(value, list) else None
+def _over_text(function: Callable) -> Callable:
+    return lambda document, *more: function(parse(document), *more)
+
+
+extract, scalar, size, exists, array_length, array_contains, array_get, is_scalar, array_elements = map(_over_text, (_extract, _scalar, _size, _exists, _array_length, _array_contains, _array_get, _is_scalar, _array_elements))
+
 
+def checked(document: str) -> str:
+    parse(document)
+    return document
 
-#: Name in SQL -> (function, result type). The names by which Spark has other functions are taken over by rewriting calls.
-FUNCTIONS: dict[str, tuple[Callable, T.DataType]] = {
-    **dict.fromkeys(("json_extract", "json_query"), (extract, T.StringType())),
-    **dict.fromkeys(("json_extract_scalar", "json_value", "json_extract_string", "get_json_object"), (scalar, T.StringType())),
-    "json_size": (size, T.LongType()),
-    "json_exists": (exists, T.BooleanType()),
-    "json_array_length": (array_length, T.LongType()),
-    "json_array_contains": (array_contains, T.BooleanType()),
-    "json_array_get": (array_get, T.StringType()),
-    **dict.fromkeys(("json_parse", "json_format"), (checked, T.StringType())),
-    "is_json_scalar": (is_scalar, T.BooleanType()),
-    "json_array_elements": (array_elements, T.ArrayType(T.StringType())),
+
+#: Name in SQL -> (function of the parsed document and more arguments, result type); no function: the document as it is, once parsed. The names by which Spark has other functions are taken over by rewriting calls.
+FUNCTIONS: dict[str, tuple[Callable | None, T.DataType]] = {
+    **dict.fromkeys(("json_extract", "json_query"), (_extract, T.StringType())),
+    **dict.fromkeys(("json_extract_scalar", "json_value", "json_extract_string", "get_json_object"), (_scalar, T.StringType())),
+    "json_size": (_size, T.LongType()),
+    "json_exists": (_exists, T.BooleanType()),
+    "json_array_length": (_array_length, T.LongType()),
+    "json_array_contains": (_array_contains, T.BooleanType()),
+    "json_array_get": (_array_get, T.StringType()),
+    **dict.fromkeys(("json_parse", "json_format"), (None, T.StringType())),
+    "is_json_scalar": (_is_scalar, T.BooleanType()),
+    "json_array_elements": (_array_elements, T.ArrayType(T.StringType())),
 }
-SCALARS = ("json_extract_scalar", "json_value", "json_extract_string", "get_json_object")
 
 
 def internal(name: str) -> str:
     return f"mr_{name}"
 
 
-def _nulls_through(function: Callable) -> Callable:
-    def call(*args):
-        return None if any(a is None for a in args) else function(*args)
+#: The last columns of documents and what they hold; a column that is kept can't give its memory to another.
+_PARSED: list[tuple[pa.Array, list]] = []
+
+
+def _parsed(documents: pa.Array) -> list:
+    """The values of a column of documents, None for null ones (JSON's null is _NULL)."""
+    def place(a: pa.Array) -> tuple:
+        return (len(a), a.offset, *(b.address if b is not None else 0 for b in a.buffers()))
+
+    at = place(documents)
+    for column, values in _PARSED:
+        if place(column) == at:
+            return values
+    values = [None if d is None else _NULL if (v := parse(d)) is None else v for d in documents.to_pylist()]
+    _PARSED[:] = [*_PARSED[-1:], (documents, values)]
+    return values
+
+
+_NULL = object()
+
+
+def _columns(function: Callable | None, kind: pa.DataType) -> Callable:
+    def run(*columns: pa.Array) -> pa.Array:
+        values = _parsed(columns[0])
+        if function is None:
+            return columns[0]
+        more = [c.to_pylist() for c in columns[1:]]
+        if any(c.null_count for c in columns[1:]):
+            values = [None if any(m[i] is None for m in more) else v for i, v in enumerate(values)]
+        if len(more) == 1:
+            made = [None if v is None else function(None if v is _NULL else v, m) for v, m in zip(values, more[0])]
+        else:
+            made = [None if v is None else function(None if v is _NULL else v, *m) for v, *m in zip(values, *more)]
+        return pa.array(made, kind)
 
-    return call
+    return run
 
 
 def register(spark: SparkSession) -> None:
     """All functions, under their internal names, in this session."""
     for name, (function, kind) in FUNCTIONS.items():
-        spark.udf.register(internal(name), F.udf(_nulls_through(function), kind, useArrow=True))
-
-
-def scalar_sql(document: str, path: str) -> str:
-    """Built-in expression for the scalar at a literal path."""
-    steps = path_steps(path)
-    built = "$" + "".join(f"[{s}]" if isinstance(s, int) else "['" + s + "']" for s in steps)
-    if any(isinstance(s, str) and re.search(r"[^\w $-]", s) for s in steps):
-        return f"{internal('json_extract_scalar')}({document}, '{path.replace(chr(39), chr(39) * 2)}')"
-    literal = "'" + built.replace("'", "\\'") + "'"
-    return (
-        f"case when ({document}) is null then cast(null as string)"
-        f" when try_parse_json({document}) is null then cast(raise_error(concat('malformed JSON: ', {document})) as string)"
-        f" when schema_of_variant(try_variant_get(try_parse_json({document}), {literal}, 'variant')) rlike '^(OBJECT|ARRAY)' then cast(null as string)"
-        f" else get_json_object({document}, {literal}) end"
-    )
+        spark.udf.register(internal(name), F.arrow_udf(_columns(function, to_arrow_type(kind)), kind))

@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import json_text
-from . import gate, rewrite
+from . import gate
 
 
 class Transform(Protocol):
@@ -30,9 +30,8 @@ class Identity:
 class SqlTransform:
     """One SELECT over `source` and declared lookups."""
 
-    def __init__(self, spark: SparkSession, sql: str, lookups: tuple[str, ...] = (), grain: gate.Grain = gate.Grain.ROW, fast: bool = True):
+    def __init__(self, spark: SparkSession, sql: str, lookups: tuple[str, ...] = (), grain: gate.Grain = gate.Grain.ROW):
         self.verdict = gate.check(spark, sql, grain, lookups)
-        self.fast = fast
 
     def apply(self, batch: DataFrame, lookups: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """The lazy result; `batch` keeps its scan, so filters and columns reach the files."""
@@ -46,7 +45,7 @@ class SqlTransform:
         _moved(batch, session).createOrReplaceTempView(gate.SOURCE)
         for name, df in (lookups or {}).items():
             _moved(df, session).createOrReplaceTempView(name)
-        return session.sql(rewrite.fast_scalars(self.verdict.sql) if self.fast else self.verdict.sql)
+        return session.sql(self.verdict.sql)
 
     def describe(self) -> str:
         return self.verdict.sql
@@ -58,6 +57,6 @@ def _moved(df: DataFrame, session: SparkSession) -> DataFrame:
     return DataFrame(dataset, session)
 
 
-def run_sql(batch: DataFrame, sql: str, lookups: Mapping[str, DataFrame] | None = None, grain: gate.Grain = gate.Grain.ROW, fast: bool = True) -> DataFrame:
+def run_sql(batch: DataFrame, sql: str, lookups: Mapping[str, DataFrame] | None = None, grain: gate.Grain = gate.Grain.ROW) -> DataFrame:
     """sql over batch, checked first."""
-    return SqlTransform(batch.sparkSession, sql, tuple(lookups or ()), grain, fast).apply(batch, lookups)
+    return SqlTransform(batch.sparkSession, sql, tuple(lookups or ()), grain).apply(batch, lookups)

@@ -3,31 +3,40 @@
 Steps, each a map or a shuffle of packed arrays rather than of single grams:
 
 1. Every text becomes its set of n-gram hashes (the words as one gram where it has fewer
-   than n). Texts of one set make a *class*, named by a hash of the set and its size;
-   from here on a class counts once, however many copies it has.
+   than n). Texts of one set make a *class*, named by a 64-bit hash of the set and its size;
+   from here on a class counts once, however many copies it has, and the copies are (doc_id, class) rows
+   that are never gathered by class.
 2. Grams are shuffled by range of hash, packed class by class, and each range finds in how
    many classes its grams occur. A gram of a single class can't be shared, so only
-   repeated grams go on, back to their classes.
+   repeated grams go on, back to their classes. A gram in HOT classes of one slice of texts is
+   known to be frequent there and then: the slice reports it once and sends its classes straight on, so
+   that a range holds fewer than HOT entries of it a slice. Such grams rank last everywhere.
 3. A class orders its grams by rarity. The unique ones come first and can't meet
    anything; the prefix that remains (size - ceil(t * size) + 1 grams, less the unique ones) is
    what it joins on. Classes whose repeated grams can't reach the threshold end here.
-4. Prefix grams are shuffled by hash. Classes that meet there pass the length filter, the
+4. Prefix grams are counted by cells of their hash and shuffled in groups of cells of about
+   PAIR_ROWS entries; a larger cell is parted by class and paired part by part. Classes that meet there pass the length filter, the
    positional filter and the suffix filter: the gram space is parted into FANOUT
    fixed ranges, and the sum of the smaller counts of each range bounds the overlap.
 5. Candidate pairs are shuffled by pair of blocks, repeats fall away, the classes that they need are sent
-   to the same place once a block pair, and each pair is verified once, over whole sets.
+   to the same place once a block pair, and each pair is verified once, over whole sets. What leaves a
+   block pair is a spanning forest of its similar pairs and each class's number of links, not the pairs.
 
+The number of groups of every shuffle follows from the bytes of the texts, and each group has its own partition.
 There is no cap on partners, and no list of a frequent gram is skipped: a gram's classes
-pair up in slices, so that memory is bounded however many there are.
+pair up in slices, so that memory is bounded however many there are. Verification counts
+48-bit hashes; two of a pair's grams fall together with a chance of about |a| |b| / 2**48, two
+classes of c with one of c * c / 2**65.
 
 Defined results: rows with a null doc_id take part in nothing, neither do null texts
 and texts without a word; repeated rows count once; a doc_id with several texts takes
-part with each, and pairs of an id with itself are left out. Other columns are
-not looked at. An empty table has no pairs.
+part with each, and they belong to one group; similar texts of one id count as links of it. Other columns are
+not looked at, whatever their names. An empty table has no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +45,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import lean, quoted, texts_of
+from .columns import fresh_name, lean, quoted, texts_of
+from .links import AT_ONCE, group_of_parts, layout, linked, linked_rows, own_partitions, pairs_within, settled
 from .textvec import gram_hashes, mix, slices, word_hashes
 
 N, THRESHOLD = 5, 0.4
 FANOUT = 16
-#: Most pairs that are formed at once.
-AT_ONCE = 2_000_000
+#: Classes of one slice of texts from which a gram is frequent.
+HOT = 64
+#: Bytes of text whose grams a range has, bytes of gram sets that a block pair has, and prefix entries of a group.
+RANGE_BYTES, BLOCK_BYTES, PAIR_ROWS = 24 << 20, 24 << 20, 1_000_000
+#: Characters of a slice.
+SLICE = 3_000_000
 
 
 # ---- plain functions over arrays ----
@@ -74,28 +88,6 @@ def prefix_length(size, t: float):
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) with i < j for all two members of each run starts[k], sizes[k], in bounded slices."""
-    for size in np.unique(sizes[sizes > 1]):
-        at = starts[sizes == size]
-        if size <= 64:
-            a, b = np.triu_indices(size, 1)
-            step = max(1, AT_ONCE // len(a))
-            for k in range(0, len(at), step):
-                some = at[k : k + step, None]
-                yield (some + a).ravel(), (some + b).ravel()
-        else:
-            for first in at:
-                i = 0
-                while i < size - 1:
-                    rows = max(1, min(size - 1 - i, AT_ONCE // size))
-                    a = np.repeat(np.arange(i, i + rows), size - 1 - np.arange(i, i + rows))
-                    ends = np.cumsum(size - 1 - np.arange(i, i + rows))
-                    b = np.arange(len(a)) - np.repeat(ends - (size - 1 - np.arange(i, i + rows)), size - 1 - np.arange(i, i + rows)) + a + 1
-                    yield first + a, first + b
-                    i += rows
-
-
 def _pack(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
@@ -121,149 +113,220 @@ def _table(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({n: pa.array(list(c), k) for c, (n, k) in zip(columns, kinds)})
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _spans(places: np.ndarray):
+    """(value, first, last) of each run of sorted values."""
+    starts = _firsts(places)
+    yield from zip(places[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(places)])
+
+
 # ---- step 1: classes and packed grams ----
 
-_STEP1 = [("bucket", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("class", pa.int64()), ("size", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
-_STEP1_DDL = "bucket int, kind tinyint, doc_id bigint, class bigint, size int, classes binary, counts binary, grams binary"
+#: Kinds of rows: (doc, class) of texts; grams of classes; frequent grams; frequent grams of classes; sizes of classes.
+_DOCS, _GRAMS, _FREQUENT, _HELD, _SIZES = range(5)
+_STEP1 = [("bucket", pa.int32()), ("kind", pa.int8()), ("classes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
+_STEP1_DDL = "bucket int, kind tinyint, classes binary, counts binary, grams binary"
+
 
+def _by_range(ranges: np.ndarray, n: int, chars: int, hot: int):
+    """ranges: the key of each range's group; the keys serve for the parts of step 3 as well."""
+    wide = len(ranges)
 
-def _by_range(buckets: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch)
-            for first, last in slices(texts, 3_000_000):
-                sets = gram_sets(texts[first:last], n)
+            for first, last in slices(texts, chars):
                 rows: list[tuple] = []
-                fresh: dict[tuple[int, int], np.ndarray] = {}
-                for i, grams in zip(ids[first:last], sets):
+                fresh: dict[int, np.ndarray] = {}
+                docs: list[tuple[int, int]] = []
+                for i, grams in zip(ids[first:last], gram_sets(texts[first:last], n)):
                     if len(grams) and i is not None:
-                        name = class_of(grams), len(grams)
+                        name = class_of(grams)
                         fresh[name] = grams
-                        rows.append((int(np.int64(name[0]) % buckets), 0, i, *name, None, None, None))
-                if fresh:
-                    sizes = np.array([k[1] for k in fresh])
-                    grams = np.concatenate(list(fresh.values()))
-                    owner = np.repeat(np.arange(len(fresh)), sizes)
-                    # sets are sorted, so stable sorting by range keeps classes together
-                    ranges = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                    order = np.argsort(ranges, kind="stable")
-                    grams, owner, ranges = grams[order], owner[order], ranges[order]
-                    names = np.array([k[0] for k in fresh], np.int64)
-                    cuts = np.searchsorted(ranges, np.arange(buckets + 1))
-                    for k in range(buckets):
-                        a, b = cuts[k], cuts[k + 1]
-                        if b > a:
-                            new = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
-                            own = owner[a:b][new]
-                            counts = np.diff(np.append(new, b - a))
-                            rows.append((k, 1, None, None, None, _pack(names[own], "<i8"), _counts(counts), _six(grams[a:b])))
+                        docs.append((i, name))
+                if not fresh:
+                    continue
+                pairs = np.array(docs, np.int64)
+                part = (mix(pairs[:, 0].astype(np.uint64)) % np.uint64(wide)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for k, a, b in _spans(part[order]):
+                    rows.append((int(ranges[k]), _DOCS, _pack(pairs[order[a:b], 1], "<i8"), None, _pack(pairs[order[a:b], 0], "<i8")))
+                names = np.fromiter(fresh, np.int64, len(fresh))
+                sizes = np.array([len(g) for g in fresh.values()])
+                part = names % wide
+                order = np.argsort(part, kind="stable")
+                for k, a, b in _spans(part[order]):
+                    rows.append((int(ranges[k]), _SIZES, _pack(names[order[a:b]], "<i8"), _counts(sizes[order[a:b]]), None))
+                grams = np.concatenate(list(fresh.values()))
+                owner = np.repeat(np.arange(len(fresh)), sizes)
+                if len(fresh) >= hot:
+                    inorder = np.sort(grams)
+                    often = np.unique(inorder[hot - 1 :][inorder[hot - 1 :] == inorder[: len(inorder) - hot + 1]])
+                    if len(often):
+                        at = np.searchsorted(often, grams)
+                        at[at == len(often)] = 0
+                        held = often[at] == grams
+                        rows += _rows(often, np.zeros(0, np.int64), _range_of(often, wide), names, ranges, _FREQUENT)
+                        rows += _rows(grams[held], owner[held], part[owner[held]], names, ranges, _HELD)
+                        grams, owner = grams[~held], owner[~held]
+                # sets are sorted, so stable sorting by range keeps classes together
+                rows += _rows(grams, owner, _range_of(grams, wide), names, ranges, _GRAMS)
                 yield from _table(rows, _STEP1).to_batches()
 
     return run
 
 
+def _range_of(grams: np.ndarray, wide: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(wide) >> np.uint64(32)).astype(np.int64)
+
+
+def _rows(grams: np.ndarray, owner: np.ndarray, place: np.ndarray, names: np.ndarray, keys: np.ndarray, kind: int) -> list[tuple]:
+    """A row for each place that has grams: them, class by class. owner is empty where classes don't matter."""
+    order = np.argsort(place, kind="stable")
+    grams, owner = grams[order], owner[order] if len(owner) else owner
+    rows = []
+    for k, a, b in _spans(place[order]):
+        if len(owner):
+            new = _firsts(owner[a:b])
+            rows.append((int(keys[k]), kind, _pack(names[owner[a:b][new]], "<i8"), _counts(np.diff(np.append(new, b - a))), _six(grams[a:b])))
+        else:
+            rows.append((int(keys[k]), kind, None, None, _six(grams[a:b])))
+    return rows
+
+
 def _unpack(classes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     names = np.frombuffer(classes, "<i8")
     return names, np.frombuffer(counts, f"<u{len(counts) // len(names)}").astype(np.int64)
 
 
+def _entries(classes: list, counts: list, grams: list) -> tuple[np.ndarray, np.ndarray]:
+    """(class, gram) of every gram of packed rows."""
+    names, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for c, m, g in zip(classes, counts, grams):
+        own, n = _unpack(c, m)
+        names.append(np.repeat(own, n))
+        found.append(_from_six(g))
+    return np.concatenate(names), np.concatenate(found)
+
+
 # ---- step 2: repeated grams, packed by class ----
 
-_STEP2 = [("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("class", pa.int64()), ("size", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("ranks", pa.binary())]
-_STEP2_DDL = "part int, kind tinyint, doc_id bigint, class bigint, size int, classes binary, counts binary, grams binary, ranks binary"
+_STEP2 = [("part", pa.int32()), ("kind", pa.int8()), ("classes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("ranks", pa.binary())]
+_STEP2_DDL = "part int, kind tinyint, classes binary, counts binary, grams binary, ranks binary"
+_LAST = 255
 
 
-def _repeated(buckets: int):
+def _repeated(ranges: np.ndarray):
+    wide = len(ranges)
+
     def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
         rows: list[tuple] = []
-        kinds = group.column("kind").to_pylist()
-        docs = group.filter(pa.compute.equal(group.column("kind"), 0))
-        seen: set[tuple] = set()
-        for row in zip(*(docs.column(c).to_pylist() for c in ("bucket", "doc_id", "class", "size"))):
-            if row not in seen:
-                seen.add(row)
-                rows.append((row[0], 0, *row[1:], None, None, None, None))
-        del seen
-        if 1 in kinds:
-            names, grams = [], []
-            for k, c, m, g in zip(kinds, *(group.column(x).to_pylist() for x in ("classes", "counts", "grams"))):
-                if k == 1:
-                    own, counts = _unpack(c, m)
-                    names.append(np.repeat(own, counts))
-                    grams.append(_from_six(g))
-            name, gram = np.concatenate(names), np.concatenate(grams)
-            del names, grams
-            order = np.argsort(gram, kind="stable")
-            gram, name = gram[order], name[order]
-            # only grams that occur twice can be repeated; of those, the classes are told apart
-            same = gram[1:] == gram[:-1]
-            twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            gram, name = gram[twice], name[twice]
-            order = np.lexsort((name, gram))
-            gram, name = gram[order], name[order]
-            first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])))[: len(gram)]
-            gram, name = gram[first], name[first]
-            if len(gram):
-                new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-                df = np.diff(np.append(new, len(gram)))
-                rank = np.repeat(np.minimum(255, np.round(16 * np.log2(df))).astype(np.uint8), df)  # 0: one class only
-                keep = rank > 0
-                gram, name, rank = gram[keep], name[keep], rank[keep]
-                part = (name % buckets).astype(np.int32)
-                order = np.lexsort((gram, name, part))
-                gram, name, rank, part = gram[order], name[order], rank[order], part[order]
-                cuts = np.searchsorted(part, np.arange(buckets + 1))
-                for k in range(buckets):
-                    a, b = cuts[k], cuts[k + 1]
-                    if b > a:
-                        new = np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))
-                        counts = np.diff(np.append(new, b - a))
-                        rows.append((k, 1, None, None, None, _pack(name[a:b][new], "<i8"), _counts(counts), _six(gram[a:b]), rank[a:b].tobytes()))
+        columns: dict[int, list[list]] = {k: [[], [], []] for k in (_GRAMS, _FREQUENT)}
+        for kind, *row in zip(*(group.column(x).to_pylist() for x in ("kind", "classes", "counts", "grams"))):
+            if kind in columns:
+                for held, x in zip(columns[kind], row):
+                    held.append(x)
+            else:
+                rows.append((bucket, kind, *row, None))
+        name, gram = _entries(*columns[_GRAMS])
+        often = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_from_six, columns[_FREQUENT][2])]))
+        del columns
+        order = np.argsort(gram, kind="stable")
+        gram, name = gram[order], name[order]
+        # only grams that occur twice, or are frequent, can be repeated; of those, the classes are told apart
+        same = gram[1:] == gram[:-1]
+        twice = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(gram) else np.zeros(0, bool)
+        if len(often):
+            twice |= _among(gram, often)
+        gram, name = gram[twice], name[twice]
+        order = np.lexsort((name, gram))
+        gram, name = gram[order], name[order]
+        first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])))[: len(gram)]
+        gram, name = gram[first], name[first]
+        if len(gram):
+            new = _firsts(gram)
+            df = np.diff(np.append(new, len(gram)))
+            rank = np.minimum(_LAST - 1, np.round(16 * np.log2(df))).astype(np.uint8)  # 0: one class only
+            if len(often):
+                rank[_among(gram[new], often)] = _LAST
+            rank = np.repeat(rank, df)
+            keep = rank > 0
+            gram, name, rank = gram[keep], name[keep], rank[keep]
+            part = name % wide
+            order = np.lexsort((gram, name, part))
+            gram, name, rank = gram[order], name[order], rank[order]
+            for k, a, b in _spans(part[order]):
+                new = _firsts(name[a:b])
+                rows.append((int(ranges[k]), _GRAMS, _pack(name[a:b][new], "<i8"), _counts(np.diff(np.append(new, b - a))), _six(gram[a:b]), rank[a:b].tobytes()))
         return _table(rows, _STEP2)
 
     return run
 
 
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in some, which is sorted and not empty."""
+    at = np.searchsorted(some, x)
+    at[at == len(some)] = 0
+    return some[at] == x
+
+
 # ---- step 3: classes with their repeated grams, rare first ----
 
-_STEP3 = [("kind", pa.int8()), ("doc_ids", pa.list_(pa.int64())), ("class", pa.int64()), ("size", pa.int32()), ("grams", pa.binary()), ("prefix", pa.int32())]
-_STEP3_DDL = "kind tinyint, doc_ids array<bigint>, class bigint, size int, grams binary, prefix int"
+_STEP3_DDL = "doc_id bigint, class bigint, size int, grams binary, prefix int"
 
 
 def _assemble(t: float):
-    """One row a class: all its doc_ids; and where it may have a partner, its repeated grams in order of rarity."""
+    """The distinct (doc_id, class); and one row, without doc_id, for each class that may have a partner: its repeated grams in order of rarity."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids: dict[tuple[int, int], set[int]] = {}
-        names, grams, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        for kind, doc, name, size, c, m, g, r in zip(*(group.column(x).to_pylist() for x in ("kind", "doc_id", "class", "size", "classes", "counts", "grams", "ranks"))):
-            if kind == 0:
-                ids.setdefault((name, size), set()).add(doc)
-            else:
-                own, counts = _unpack(c, m)
-                names.append(np.repeat(own, counts))
-                grams.append(_from_six(g))
-                ranks.append(np.frombuffer(r, np.uint8))
-        name, gram, rank = np.concatenate(names), np.concatenate(grams), np.concatenate(ranks)
+        by: dict[int, list[tuple]] = {k: [] for k in (_DOCS, _GRAMS, _HELD, _SIZES)}
+        for kind, *row in zip(*(group.column(x).to_pylist() for x in ("kind", "classes", "counts", "grams", "ranks"))):
+            by[kind].append(row)
+        nothing = np.zeros((0, 2), np.int64)
+        docs = np.concatenate([nothing, *[np.stack((np.frombuffer(g, "<i8"), np.frombuffer(c, "<i8")), 1) for c, _, g, _ in by[_DOCS]]])
+        docs = docs[np.lexsort((docs[:, 1], docs[:, 0]))]
+        docs = docs[np.concatenate(([True], (docs[1:] != docs[:-1]).any(axis=1)))[: len(docs)]]
+        sizes = np.concatenate([nothing, *[np.stack(_unpack(c, m), 1) for c, m, _, _ in by[_SIZES]]])
+        known, at = np.unique(sizes[:, 0], return_index=True)
+        sizes = sizes[at, 1]
+        name, gram = _entries(*([r[k] for r in by[_GRAMS] + by[_HELD]] for k in range(3)))
+        rank = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r[3], np.uint8) for r in by[_GRAMS]]])
+        rank = np.concatenate((rank, np.full(len(gram) - len(rank), _LAST, np.uint8)))
         order = np.lexsort((gram, rank, name))
         name, gram = name[order], gram[order]
+        # a frequent gram of a class can come from several slices, and from a range too
+        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])))[: len(gram)]
+        name, gram = name[new], gram[new]
         rows: list[tuple] = []
-        for (own, size), docs in ids.items():
-            a, b = np.searchsorted(name, own, "left"), np.searchsorted(name, own, "right")
+        for own, a, b in _spans(name):
+            size = int(sizes[np.searchsorted(known, own)])
             prefix = int(prefix_length(np.int64(size), t)) - (size - (b - a))
             if prefix > 0:
-                rows.append((1, sorted(docs), own, size, _six(gram[a:b]), prefix))
-            elif len(docs) > 1:
-                rows.append((0, sorted(docs), own, size, None, 0))
-        return _table(rows, _STEP3)
+                rows.append((own, size, _six(gram[a:b]), prefix))
+        own, size, grams, prefix = zip(*rows) if rows else ([],) * 4
+        none = [None] * len(docs)
+        return pa.table(
+            {
+                "doc_id": pa.array([*docs[:, 0].tolist(), *[None] * len(rows)], pa.int64()),
+                "class": pa.array([*docs[:, 1].tolist(), *own], pa.int64()),
+                "size": pa.array([*none, *size], pa.int32()),
+                "grams": pa.array([*none, *grams], pa.binary()),
+                "prefix": pa.array([*none, *prefix], pa.int32()),
+            }
+        )
 
     return run
 
 
 # ---- step 4: candidates ----
 
-_STEP4 = [("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("spread", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
-_STEP4_DDL = "bucket int, classes binary, sizes binary, places binary, spread binary, counts binary, grams binary"
+_STEP4 = [("bucket", pa.int32()), ("part", pa.int32()), ("whole", pa.bool_()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("spread", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
+_STEP4_DDL = "bucket int, part int, whole boolean, classes binary, sizes binary, places binary, spread binary, counts binary, grams binary"
 
 
 def _spread(grams: np.ndarray) -> np.ndarray:
@@ -271,8 +334,25 @@ def _spread(grams: np.ndarray) -> np.ndarray:
     return np.bincount((mix(grams.copy()) >> np.uint64(60)).astype(np.int64), minlength=FANOUT)
 
 
-def _prefixes(buckets: int):
+def _cell(grams: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(grams.copy()) % np.uint64(cells)).astype(np.int64)
+
+
+def _prefix_counts(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for g, p in zip(batch.column("grams").to_pylist(), batch.column("prefix").to_pylist()):
+                np.add.at(total, _cell(_from_six(g[: 6 * p]), cells), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    return run
+
+
+def _prefixes(cells: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, parts, keys = shared.value
         for batch in batches:
             rows: list[tuple] = []
             names, sizes = batch.column("class").to_numpy(), batch.column("size").to_numpy()
@@ -283,16 +363,25 @@ def _prefixes(buckets: int):
             owner = np.repeat(np.arange(len(sets)), prefix)
             # place in the full order: the grams that are unique to the class come first
             place = np.concatenate([np.arange(p) + (s - len(g)) for g, p, s in zip(sets, prefix, sizes)] or [np.zeros(0, np.int64)])
-            bucket = (mix(gram.copy()) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            gram, owner, place, bucket = gram[order], owner[order], place[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k in range(buckets):
-                a, b = cuts[k], cuts[k + 1]
-                if b > a:
-                    new = np.flatnonzero(np.concatenate(([True], owner[a + 1 : b] != owner[a : b - 1])))
-                    own = owner[a:b][new]
-                    rows.append((k, _pack(names[own], "<i8"), _pack(sizes[own], "<i4"), _pack(place[a:b], "<i4"), _pack(spread[own], "<u4"), _pack(np.diff(np.append(new, b - a)), "<u4"), _six(gram[a:b])))
+            cell = _cell(gram, cells)
+
+            def add(group: int, part: int, whole: bool, at: np.ndarray) -> None:
+                new = _firsts(owner[at])
+                own = owner[at][new]
+                rows.append((int(keys[group]), part, whole, _pack(names[own], "<i8"), _pack(sizes[own], "<i4"), _pack(place[at], "<i4"), _counts(spread[own].ravel()), _pack(np.diff(np.append(new, len(at))), "<u4"), _six(gram[at])))
+
+            plain = np.flatnonzero(parts[cell] == 1)
+            order = plain[np.argsort(base[cell[plain]], kind="stable")]
+            for group, a, b in _spans(base[cell[order]]):
+                add(group, 0, True, order[a:b])
+            large = np.flatnonzero(parts[cell] > 1)
+            for c in np.unique(cell[large]).tolist():
+                inside = large[cell[large] == c]
+                n, first = int(parts[c]), int(base[c])
+                part = (mix(names[owner[inside]].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+                for p in np.unique(part).tolist():
+                    for other in range(n):
+                        add(group_of_parts(first, n, p, other), p, p == other, inside[part == p])
             yield from _table(rows, _STEP4).to_batches()
 
     return run
@@ -304,15 +393,17 @@ _PAIRS_DDL = "block bigint, classes binary, counts binary, partners binary"
 
 def _candidates(blocks: int, t: float):
     def run(group: pa.Table) -> pa.Table:
-        names, sizes, places, spreads, counts, grams = [], [], [], [], [], []
-        for c, s, p, d, m, g in zip(*(group.column(x).to_pylist() for x in ("classes", "sizes", "places", "spread", "counts", "grams"))):
+        names, sizes, places, spreads, counts, grams, parts = [], [], [], [], [], [], []
+        whole = group.column("whole")[0].as_py()
+        for part, c, s, p, d, m, g in zip(*(group.column(x).to_pylist() for x in ("part", "classes", "sizes", "places", "spread", "counts", "grams"))):
             names.append(np.frombuffer(c, "<i8"))
+            parts.append(np.full(len(names[-1]), part, np.int32))
             sizes.append(np.frombuffer(s, "<i4").astype(np.int64))
             places.append(np.frombuffer(p, "<i4").astype(np.int64))
-            spreads.append(np.frombuffer(d, "<u4").reshape(-1, FANOUT))
+            spreads.append(np.frombuffer(d, f"<u{len(d) // (FANOUT * len(names[-1]))}").astype(np.uint32).reshape(-1, FANOUT))
             counts.append(np.frombuffer(m, "<u4"))
             grams.append(_from_six(g))
-        name, size, place, spread, gram = map(np.concatenate, (names, sizes, places, spreads, grams))
+        name, size, place, spread, gram, part = map(np.concatenate, (names, sizes, places, spreads, grams, parts))
         entry = np.repeat(np.arange(len(name)), np.concatenate(counts))
         order = np.argsort(gram, kind="stable")
         gram, entry, place = gram[order], entry[order], place[order]
@@ -325,6 +416,8 @@ def _candidates(blocks: int, t: float):
             need = needed(a, b, t)
             ok = np.minimum(a, b) >= np.ceil(t * np.maximum(a, b) - 1e-9)
             ok &= 1 + np.minimum(a - place[i] - 1, b - place[j] - 1) >= need
+            if not whole:
+                ok &= part[entry[i]] != part[entry[j]]
             x, y = entry[i[ok]], entry[j[ok]]
             key = np.unique(np.minimum(x, y) * wide + np.maximum(x, y))
             held.append(key)
@@ -382,17 +475,22 @@ def _distinct_pairs(group: pa.Table) -> pa.Table:
 
 _VERIFIED = [("class_a", pa.int64()), ("class_b", pa.int64()), ("overlap", pa.int32()), ("jaccard", pa.float64())]
 _VERIFIED_DDL = "class_a bigint, class_b bigint, overlap int, jaccard double"
+_LINKS_DDL = "class bigint, other bigint, links bigint"
+
 
+def _verify(t: float, pairwise: bool):
+    """Each similar pair; or their spanning forest, and how many documents each class is linked with."""
 
-def _verify(t: float):
     def run(group: pa.Table) -> pa.Table:
         sets: dict[int, tuple[int, np.ndarray]] = {}
+        copies: dict[int, int] = {}
         pairs = []
-        for name, size, grams, p in zip(*(group.column(x).to_pylist() for x in ("class", "size", "grams", "pairs"))):
+        for name, size, n, grams, p in zip(*(group.column(x).to_pylist() for x in ("class", "size", "copies", "grams", "pairs"))):
             if p is not None:
                 pairs.append(np.frombuffer(p, "<i8").reshape(-1, 2))
             elif grams is not None:
                 sets[name] = size, np.sort(_from_six(grams))
+                copies[name] = n
         rows = []
         for a, b in np.concatenate(pairs).tolist() if pairs else ():
             (m, x), (n, y) = sets[a], sets[b]
@@ -403,7 +501,7 @@ def _verify(t: float):
             both = int((y[at] == x).sum())
             if both >= needed(m, n, t):
                 rows.append((a, b, both, both / (m + n - both)))
-        return _table(rows, _VERIFIED)
+        return _table(rows, _VERIFIED) if pairwise else linked_rows(np.array([r[:2] for r in rows], np.int64).reshape(-1, 2), copies)
 
     return run
 
@@ -411,126 +509,84 @@ def _verify(t: float):
 # ---- the join ----
 
 
-def _buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ranges(size: int, share: int) -> int:
+    """Groups for so many bytes of text; beyond some TB fewer, larger ones, as a row from one group to another then holds few grams."""
+    return max(8, min(math.ceil(size / share), math.isqrt(max(0, size) // 384)))
 
 
-def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """kind, doc_ids, class, size, grams, prefix: the sets that have several documents or may have a partner."""
-    # a class has a header in every range that it has grams in: fewer ranges than partitions keep those few
-    buckets = max(2, _buckets(docs) // 2)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = source.mapInArrow(lean(_by_range(buckets, n)), _STEP1_DDL)
-    repeated = packed.groupBy("bucket").applyInArrow(lean(_repeated(buckets)), _STEP2_DDL)
-    return repeated.groupBy("part").applyInArrow(lean(_assemble(t)), _STEP3_DDL)
+def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, share: int = RANGE_BYTES, hot: int = HOT) -> DataFrame:
+    """doc_id, class of all documents; and class, size, grams, prefix, with a null doc_id, of the classes that may have a partner."""
+    names = {c.lower(): F.col(quoted(c)) for c in docs.columns}
+    source = docs.select(names["doc_id"].cast("long").alias("doc_id"), names["text"].cast("string").alias("text"))
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = own_partitions(_ranges(size, share))
+    packed = source.mapInArrow(lean(_by_range(ranges, n, max(SLICE, 384 * len(ranges)), hot)), _STEP1_DDL)
+    repeated = packed.repartition(len(ranges), "bucket").groupBy("bucket").applyInArrow(lean(_repeated(ranges)), _STEP2_DDL)
+    return repeated.repartition(len(ranges), "part").groupBy("part").applyInArrow(lean(_assemble(t)), _STEP3_DDL)
 
 
-def similar_classes(found: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """class_a, class_b, overlap, jaccard of the classes() that are similar. found is read several times: cut its lineage first."""
-    buckets = _buckets(found)
-    blocks = max(2, int(buckets**0.5))
-    joining = found.filter("kind = 1").select("class", "size", "grams", "prefix")
-    pairs = joining.mapInArrow(lean(_prefixes(buckets)), _STEP4_DDL).groupBy("bucket").applyInArrow(lean(_candidates(blocks, t)), _PAIRS_DDL)
+def similar_classes(found: DataFrame, t: float = THRESHOLD, pairwise: bool = True, most: int = PAIR_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(class_a, class_b, overlap, jaccard of the classes() that are similar, or what linked() needs instead; what is persisted for it).
+
+    found is read several times: cut its lineage first.
+    """
+    spark = found.sparkSession
+    joining = found.filter("doc_id is null").select("class", "size", "grams", "prefix")
+    weights = found.filter("doc_id is not null").groupBy("class").agg(F.count("doc_id").alias("copies"))
+    entries, size = joining.agg(F.coalesce(F.sum("prefix"), F.lit(0)), F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()
+    cells = max(64, 8 * math.ceil(entries / most))
+    counts = np.zeros((1, cells), np.int64)
+    for cell, n in joining.select("grams", "prefix").mapInArrow(lean(_prefix_counts(cells)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        counts[0, cell] = n
+    base, parts = layout(counts, max(1, min(most, entries // 16)))
+    groups = int((base + parts * (parts + 1) // 2).max())
+    shared = spark.sparkContext.broadcast((base[0], parts[0], own_partitions(groups)))
+    blocks = max(4, math.ceil(2 * size / BLOCK_BYTES))
+    prefixes = joining.mapInArrow(lean(_prefixes(cells, shared)), _STEP4_DDL).repartition(groups, "bucket")
+    pairs = prefixes.groupBy("bucket").applyInArrow(lean(_candidates(blocks, t)), _PAIRS_DDL)
     wanted = pairs.groupBy("block").applyInArrow(lean(_distinct_pairs), _WANTED_DDL).persist(StorageLevel.DISK_ONLY)
-    sets = wanted.filter("class is not null").select("class", "block").join(joining.select("class", "size", "grams"), "class")
+    sets = wanted.filter("class is not null").select("class", "block").join(joining.select("class", "size", "grams").join(weights, "class"), "class")
     nothing = F.lit(None)
-    together = sets.select("block", "class", "size", "grams", nothing.cast("binary").alias("pairs")).union(
-        wanted.filter("class is null").select("block", "class", nothing.cast("int").alias("size"), nothing.cast("binary").alias("grams"), "pairs")
+    together = sets.select("block", "class", "size", "copies", "grams", nothing.cast("binary").alias("pairs")).union(
+        wanted.filter("class is null").select("block", "class", nothing.cast("int").alias("size"), nothing.cast("bigint").alias("copies"), nothing.cast("binary").alias("grams"), "pairs")
     )
-    return together.groupBy("block").applyInArrow(lean(_verify(t)), _VERIFIED_DDL)
-
+    return together.groupBy("block").applyInArrow(lean(_verify(t, pairwise)), _VERIFIED_DDL if pairwise else _LINKS_DDL), wanted
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and written to spark.checkpoint.dir, which all executors share; a local folder stands in where none is set (tests)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return df.checkpoint()
+def similar_documents(docs: DataFrame, n: int = N, t: float = THRESHOLD, **sizes: int) -> DataFrame:
+    """doc_id, class_id, n_links: one row for each document that is similar to another.
 
-
-def similar_documents(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """doc_ids_a, doc_ids_b, jaccard: one row for each two similar sets, with the ids of all documents that have them.
-
-    A set of several documents also has a row with itself (doc_ids_b the same
-    list, jaccard 1): each two of these documents are similar. The pairs of documents are those of
-    doc_ids_a x doc_ids_b; kept in lists, they don't grow with the square of the copies.
+    class_id is the smallest doc_id that similar pairs lead to, directly or not, and n_links the number of documents that
+    are similar to this one. sizes: share and hot as in classes(), most as in similar_classes().
     """
-    found = settled(classes(docs, n, t))
-    own = found.filter(F.size("doc_ids") > 1).select(F.col("doc_ids").alias("doc_ids_a"), F.col("doc_ids").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
-    ids = found.filter("kind = 1").select("class", "doc_ids")
-    pairs = settled(similar_classes(found, t))
-    both = pairs.join(ids.select(F.col("class").alias("class_a"), F.col("doc_ids").alias("doc_ids_a")), "class_a").join(ids.select(F.col("class").alias("class_b"), F.col("doc_ids").alias("doc_ids_b")), "class_b")
-    return own.union(both.select("doc_ids_a", "doc_ids_b", "jaccard"))
+    most = sizes.pop("most", PAIR_ROWS)
+    found = settled(classes(docs, n, t, **sizes))
+    verified, held = similar_classes(found, t, False, most)
+    verified = settled(verified)
+    held.unpersist()
+    members = found.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "class")
+    return linked(members, verified).withColumnRenamed("id", "doc_id")
 
 
-# ---- groups of similar documents ----
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of a partition's edges, as (node, smallest node of its tree)."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
-    edges = [(x, root(x)) for x in parent if root(x) != x]
-    if edges:
-        yield from _table(edges, [("u", pa.int64()), ("v", pa.int64())]).to_batches()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """u, v: every node of the edges that isn't the smallest of its connected component, with the smallest.
-
-    Trees within partitions first, then rounds of large-star and small-star
-    (Kiveris et al., 2014) until the edges stay the same.
-    """
-    edges = settled(edges.toDF("u", "v").mapInArrow(lean(_forest), "u bigint, v bigint"))
-    state = None
-    while True:
-        sums = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(sums) == state:
-            return edges
-        state = tuple(sums)
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = settled(small.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(class_a, class_b, overlap, jaccard of every two similar sets; doc_id, class of every document): the join itself, copies not multiplied out."""
+    found = settled(classes(docs, n, t))
+    return similar_classes(found, t)[0], found.filter("doc_id is not null").select("doc_id", "class")
 
 
 #: Bytes of ids, 8 each, up to which they are sent to every executor instead of shuffling the texts.
 BROADCAST_BYTES = 64 << 20
 
 
-def surplus(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """doc_id of every document but the smallest id of each group that similar pairs link."""
-    found = settled(classes(docs, n, t))
-    pairs = similar_classes(found, t).select("class_a", "class_b")
-    roots = components(pairs)
-    members = found.select("class", "doc_ids").join(roots.select(F.col("u").alias("class"), "v"), "class", "left").select(F.coalesce("v", "class").alias("group"), "doc_ids")
-    kept = members.groupBy("group").agg(F.min(F.array_min("doc_ids")).alias("kept"))
-    return members.join(kept, "group").select(F.explode("doc_ids").alias("doc_id"), "kept").filter("doc_id != kept").select("doc_id").distinct()
-
-
 def drop_similar(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """docs without the surplus() ones, all columns as they were.
+    """docs without all but the smallest id of each group that similar pairs link, all columns as they were.
 
     An id is one document, whatever number of rows it has: they stay or go
     together. Rows that take part in nothing (no id, no words) stay.
     """
-    gone = settled(surplus(docs, n, t)).withColumnRenamed("doc_id", "__gone")
+    other = fresh_name("surplus_id", docs.columns)
+    gone = settled(similar_documents(docs, n, t).filter("doc_id != class_id").select(F.col("doc_id").alias(other)))
     name = next(c for c in docs.columns if c.lower() == "doc_id")
     if gone.count() * 8 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(quoted(name)).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(quoted(name)).cast("long") == F.col(other), "left_anti")

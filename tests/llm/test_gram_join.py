@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 
 from millrace.llm import gram_join as G
+from millrace.llm import links as L
 from millrace.llm.textvec import normalise
 
 
@@ -24,14 +25,37 @@ def brute(docs, n, t):
     return out
 
 
-def pairs_of(df):
-    out = set()
-    for r in df.collect():
-        for a in r.doc_ids_a:
-            for b in r.doc_ids_b:
-                if a != b:
-                    out.add((min(a, b), max(a, b)))
-    return out
+def pairs_of(docs, *how):
+    """The pairs of ids, with copies multiplied out."""
+    pairs, members = G.similar_pairs(docs, *how)
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r["class"], set()).add(r.doc_id)
+    both = {(a, b) for r in pairs.collect() for a in ids[r.class_a] for b in ids[r.class_b]} | {(a, b) for own in ids.values() for a in own for b in own}
+    return {(min(p), max(p)) for p in both if p[0] != p[1]}
+
+
+def linked_of(pairs):
+    """(id, smallest id of its component, number of partners) of each id in pairs."""
+    parent, degree = {}, {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {(i, root(i), degree[i]) for i in degree}
+
+
+def rows_of(df):
+    assert df.columns == ["doc_id", "class_id", "n_links"]
+    rows = df.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return set(map(tuple, rows))
 
 
 def corpus(made_words, seed=1, n=150):
@@ -50,7 +74,30 @@ def corpus(made_words, seed=1, n=150):
 def test_pairs_equal_brute_force(docs_of, made_words):
     docs = corpus(made_words)
     for n, t in ((5, 0.4), (2, 0.7), (3, 0.25)):
-        assert pairs_of(G.similar_documents(docs_of(docs), n, t)) == brute(docs, n, t)
+        assert pairs_of(docs_of(docs), n, t) == brute(docs, n, t)
+        assert rows_of(G.similar_documents(docs_of(docs), n, t)) == linked_of(brute(docs, n, t))
+
+
+def test_frequent_grams_and_parted_groups(docs_of, made_words):
+    docs = corpus(made_words, 9)
+    shared = " ".join(made_words(11, 12))
+    docs += [(1000 + i, f"{shared} {' '.join(made_words(i, 3 + i % 4))}") for i in range(60)]  # a passage of many documents
+    for hot, most in ((64, 1_000_000), (3, 1_000_000), (2, 5)):
+        got = rows_of(G.similar_documents(docs_of(docs).repartition(3), 3, 0.5, share=400, hot=hot, most=most))
+        assert got == linked_of(brute(docs, 3, 0.5)), (hot, most)
+
+
+def test_several_texts_of_one_id_join_their_groups(docs_of, made_words):
+    a, b = (" ".join(made_words(k, 30)) for k in (1, 2))
+    docs = docs_of([(1, a), (2, a), (2, b), (3, b), (4, "quite another text of its own")])
+    assert rows_of(G.similar_documents(docs)) == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+    assert sorted(r.doc_id for r in G.drop_similar(docs).collect()) == [1, 4]
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x")]).selectExpr("doc_id AS DOC_ID", "'mine' AS surplus_id", "text AS Text", "'other' AS Surplus_Id_", "1 AS class")
+    left = G.drop_similar(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [(1, "mine", "a b c d e f g", "other", 1), (3, "mine", "x", "other", 1)]
 
 
 def test_group_keeps_one_document(docs_of, made_words):
@@ -72,8 +119,8 @@ def test_group_keeps_one_document(docs_of, made_words):
 def test_many_copies_and_awkward_rows(docs_of):
     text = "one two three four five six seven eight nine ten"
     docs = docs_of([(i, text) for i in range(300)] + [(None, text), (900, None), (901, ""), (902, "..."), (903, "short"), (904, "short"), (1, text)], extra=True)
-    got = pairs_of(G.similar_documents(docs))
-    assert len(got) == 300 * 299 // 2 + 1
+    assert len(pairs_of(docs)) == 300 * 299 // 2 + 1
+    assert rows_of(G.similar_documents(docs)) == {(i, 0, 299) for i in range(300)} | {(903, 903, 1), (904, 903, 1)}
     left = G.drop_similar(docs)
     assert left.columns == docs.columns
     ids = [r.doc_id for r in left.collect()]
@@ -88,17 +135,24 @@ def test_empty_table(docs_of):
 def test_long_text(docs_of, made_words):
     long = " ".join(made_words(7, 50_000))
     docs = docs_of([(1, long), (2, long + " and a little more"), (3, " ".join(made_words(8, 3000)))])
-    assert pairs_of(G.similar_documents(docs)) == {(1, 2)}
+    assert pairs_of(docs) == {(1, 2)}
 
 
 def test_pairs_within_in_slices(monkeypatch):
-    monkeypatch.setattr(G, "AT_ONCE", 100)
+    monkeypatch.setattr(L, "AT_ONCE", 100)
     starts, sizes = np.array([0, 3, 200]), np.array([3, 1, 90])
-    got = {(int(a), int(b)) for x, y in G.pairs_within(starts, sizes) for a, b in zip(x, y)}
+    got = {(int(a), int(b)) for x, y in L.pairs_within(starts, sizes) for a, b in zip(x, y)}
     assert got == set(combinations(range(3), 2)) | set(combinations(range(200, 290), 2))
 
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (200, 201), (201, 202)], "a long, b long").repartition(4)
-    got = {(r.u, r.v) for r in G.components(edges).collect()}
+    got = {(r.u, r.v) for r in L.components(edges).collect()}
     assert got == {(i, 0) for i in range(1, 51)} | {(101, 100), (201, 200), (202, 200)}
+
+
+def test_each_group_has_its_own_partition(spark):
+    for n in (1, 8, 33, 500):
+        keys = L.own_partitions(n)
+        df = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(n, "k")
+        assert sorted(df.selectExpr("spark_partition_id() AS p").toPandas().p) == list(range(n))

@@ -60,24 +60,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Overlapping runs of 13 words (of all words of shorter items) that a document shares with an item, with the places of their words in the document.
 OP3_SQL = r"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
-runs AS (
+runs AS MATERIALIZED (
     SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS run
     FROM (SELECT item_id, w, least(len(w), 13) AS size, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) >= 5)
 ),
 docs AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS gaps FROM documents WHERE text <> ''),
-words AS (
-    SELECT doc_id, i, w[i] AS word, sum(len(gaps[i]) + len(w[i])) OVER (PARTITION BY doc_id ORDER BY i) AS stop
-    FROM (SELECT doc_id, w, gaps, unnest(range(1, len(w) + 1)) AS i FROM docs)
-),
 sizes AS (SELECT DISTINCT size FROM runs),
-places AS (
-    SELECT doc_id, size, i, lower(array_to_string(w[i:i + size - 1], ' ')) AS run
-    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)
+places AS MATERIALIZED (
+    SELECT doc_id, size, unnest([lower(array_to_string(w[i:i + size - 1], ' ')) for i in range(1, len(w) - size + 2)]) AS run, unnest(range(1, len(w) - size + 2)) AS i
+    FROM docs, sizes WHERE len(w) >= size
 ),
-hits AS (SELECT doc_id, item_id, i AS a, i + size - 1 AS b FROM places JOIN runs USING (size, run)),
+hits AS MATERIALIZED (SELECT doc_id, item_id, i AS a, i + size - 1 AS b FROM places JOIN runs USING (size, run)),
 fresh AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id, item_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM hits),
 islands AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, item_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM fresh),
-spans AS (SELECT doc_id, item_id, min(a) AS a, max(b) AS b FROM islands GROUP BY doc_id, item_id, island)
+spans AS MATERIALIZED (SELECT doc_id, item_id, min(a) AS a, max(b) AS b FROM islands GROUP BY doc_id, item_id, island),
+pieces AS (SELECT doc_id, unnest(w) AS word, unnest(gaps[1:len(w)]) AS gap, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE doc_id IN (SELECT doc_id FROM spans)),
+words AS MATERIALIZED (SELECT doc_id, i, word, sum(len(gap) + len(word)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM pieces)
 SELECT s.doc_id, s.item_id, CAST(f.stop - len(f.word) AS BIGINT) AS start_char, CAST(l.stop AS BIGINT) AS end_char, CAST(s.b - s.a + 1 AS BIGINT) AS words
 FROM spans s JOIN words f ON f.doc_id = s.doc_id AND f.i = s.a JOIN words l ON l.doc_id = s.doc_id AND l.i = s.b
 """

@@ -39,6 +39,7 @@ import secrets
 import sys
 from collections import Counter
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -324,6 +325,16 @@ class Surrogates:
         return "".join([*out, text[at:]]), found
 
 
+@functools.cache
+def _given_names() -> ahocorasick.Automaton:
+    """Finds all listed given names in one pass."""
+    built = ahocorasick.Automaton()
+    for n in _GIVEN_NAMES:
+        built.add_word(n, len(n))
+    built.make_automaton()
+    return built
+
+
 def _may_match(text: str) -> bool:
     """False only where _FIND has no match."""
     return _HINT.search(text) is not None or any(p in text for p in _PREFIXES)
@@ -349,8 +360,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if _may_have_title(text):
         for m in _TITLED.finditer(text):
             parts.update(m.group(1).split())
-    if any(n in text for n in _GIVEN_NAMES):
-        for m in _FULL.finditer(text):
+    for end, size in _given_names().iter(text):
+        m = _FULL.match(text, end - size + 1)
+        if m:
             parts.update(m.groups())
     if parts:
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)", text):

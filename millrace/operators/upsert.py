@@ -161,7 +161,7 @@ class Merged:
     attempts: int = 1
 
 
-def merge(spark: SparkSession, table: Table, batch: DataFrame, keys: Keys, produced: list[str], offset: Offset | None, attempts: int = ATTEMPTS) -> Merged:
+def merge(spark: SparkSession, table: Table, batch: DataFrame, keys: Keys, produced: list[str], offset: Offset | None, attempts: int = ATTEMPTS, file_size: int | None = None) -> Merged:
     """Upserts a batch of the target's schema. Only `produced` columns of stored rows change; new rows get all.
 
     Planned again on the newest state if someone else commits meanwhile.
@@ -171,7 +171,7 @@ def merge(spark: SparkSession, table: Table, batch: DataFrame, keys: Keys, produ
         values, smallest = batch_bounds(one, keys)
         for attempt in range(1, attempts + 1):
             try:
-                made = _merge_once(spark, table, one, keys, produced, offset, values, smallest)
+                made = _merge_once(spark, table, one, keys, produced, offset, values, smallest, file_size)
                 made.attempts = attempt
                 return made
             except CommitConflict:
@@ -183,7 +183,7 @@ def merge(spark: SparkSession, table: Table, batch: DataFrame, keys: Keys, produ
         one.unpersist()
 
 
-def _merge_once(spark, table: Table, one: DataFrame, keys: Keys, produced: list[str], offset, values, smallest) -> Merged:
+def _merge_once(spark, table: Table, one: DataFrame, keys: Keys, produced: list[str], offset, values, smallest, file_size=None) -> Merged:
     base = table.snapshot()
     schema, partitions = base.schema, base.metadata.partitions
     if values == []:
@@ -202,6 +202,8 @@ def _merge_once(spark, table: Table, one: DataFrame, keys: Keys, produced: list[
     slim = stored.select(key, *[f"`{c}`" for c in dict.fromkeys(keys.order) if c != keys.key], FILE)
     if floor is not None:
         slim = slim.filter(F.col(f"`{keys.sequence}`") >= floor)
+    ends = one.agg(F.min(key), F.max(key)).first()
+    slim = slim.filter(F.col(key).between(*[F.lit(v).cast(schema[keys.key].dataType) for v in ends]))  # reaches the files' row groups
     hits = one.alias("s").join(slim.alias("t"), F.col(f"s.{key}") == F.col(f"t.{key}"))
     changed = [r[0] for r in hits.filter(newer(keys.order, "s", "t")).select(f"t.{FILE}").distinct().collect()]
     by_path = {_spark_path(table, a.path): a for a in planned.candidates}
@@ -220,7 +222,7 @@ def _merge_once(spark, table: Table, one: DataFrame, keys: Keys, produced: list[
     from pyspark.sql import Observation
 
     seen = Observation()
-    written = write_files(table, base, rows.observe(seen, *counts))
+    written = write_files(table, base, rows.observe(seen, *counts), file_size)
     inserted, updated = seen.get["inserted"], seen.get["updated"]
     shared = dict(files_scanned=len(planned.candidates), clamped=planned.clamped, unbounded=planned.unbounded)
     if not inserted and not updated:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import MillraceError
+from ..errors import ConfigError, MillraceError
 from ..operators import coerce, dedup, grain, lookup, upsert
 from ..operators.publish import render
 from ..sources.log import Add, Remove, Table
@@ -55,6 +55,8 @@ def workspace(spark: SparkSession) -> str:
     if base:
         parsed = urlparse(base)
         return f"{unquote(parsed.path) if parsed.scheme == 'file' else base}/millrace-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="millrace-")
     atexit.register(shutil.rmtree, made, True)
     return made
@@ -243,7 +245,7 @@ def coerce_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- cut-offs and keys ----
 
-_MIDDLE = "(SELECT ts FROM events ORDER BY ts LIMIT 1 OFFSET (SELECT count(*) // 2 FROM events))"
+_MIDDLE = "(SELECT quantile_disc(ts, 0.5) FROM events)"
 
 
 @query("SELECT max(ts) AS mark, CAST(count(*) AS BIGINT) AS keys FROM (SELECT DISTINCT ts, event_id FROM events WHERE ts = (SELECT max(ts) FROM events)) GROUP BY ALL HAVING count(*) > 0")
@@ -256,7 +258,7 @@ def watermark_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_after_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all events when the target has those up to the middle one."""
     events = table(spark, sf_dir, "events")
-    middle = events.agg(F.sort_array(F.collect_list("ts"))[(F.count("*") / 2).cast("int")].alias("m"))
+    middle = events.agg(F.expr("CAST(timestamp_micros(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(ts AS TIMESTAMP))) AS BIGINT)) AS TIMESTAMP_NTZ)").alias("m"))
     have = events.join(middle, F.col("ts") <= F.col("m")).drop("m")
     return dedup.cut_off(have, "ts", "event_id").apply(events).select("event_id", "ts")
 
@@ -303,7 +305,7 @@ def append_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = committed(spark, table(spark, sf_dir, "orders"), f"{folder}/source", "o_orderkey")
     target = Table(f"{folder}/target")
     target.create(T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())]))
-    own = settings(source, target, transform_sql="SELECT o_orderkey, o_totalprice FROM source WHERE o_orderstatus = 'O'", max_files_per_batch=spark.sparkContext.defaultParallelism * 64)
+    own = settings(source, target, transform_sql="SELECT o_orderkey, o_totalprice FROM source WHERE o_orderstatus = 'O'")
     first = Pipeline(spark, own)
     first.step()
     for _ in range(2):
@@ -319,8 +321,16 @@ def compaction_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = source.snapshot()
     whole = write_files(source, base, read_snapshot(spark, source, base).coalesce(1))
     commit(source, base, None, [Add(a.path, a.size, False, stats=a.stats) for a in whole.adds], [Remove(p, False) for p in base.files])
-    batch = LogStream(source).next_batch()
-    return read_files(spark, source, batch.files, batch.schema)
+    return _all_rows(spark, source, LogStream(source))
+
+
+def _all_rows(spark: SparkSession, source: Table, stream: LogStream) -> DataFrame:
+    """The rows of all batches."""
+    out = None
+    for batch in iter(stream.next_batch, None):
+        df = read_files(spark, source, batch.files, batch.schema, batch.partitions)
+        out = df if out is None else out.union(df)
+    return out
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> Table:
@@ -341,15 +351,13 @@ def _changed(spark: SparkSession, sf_dir: str) -> Table:
 @query("SELECT r_regionkey, r_name FROM region")
 def policy_skip_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _changed(spark, sf_dir)
-    batch = LogStream(source, policy=Policy.SKIP).next_batch()
-    return read_files(spark, source, batch.files, batch.schema)
+    return _all_rows(spark, source, LogStream(source, policy=Policy.SKIP))
 
 
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, upper(r_name) FROM region WHERE r_regionkey = 0")
 def policy_ignore_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _changed(spark, sf_dir)
-    batch = LogStream(source, policy=Policy.IGNORE).next_batch()
-    return read_files(spark, source, batch.files, batch.schema)
+    return _all_rows(spark, source, LogStream(source, policy=Policy.IGNORE))
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <= 12")
@@ -382,7 +390,7 @@ def _upserted(spark: SparkSession, sf_dir: str, mode: str) -> Table:
     source = committed(spark, df, f"{folder}/source", "event_id")
     target = Table(f"{folder}/target")
     target.create(df.schema)
-    one = C.PipelineConfig("demo", "mr.demo", source.uri, target.uri, write_mode=mode, upsert_key="user_id", dedup_timestamp="ts", upsert_tiebreak=["event_id"], max_files_per_batch=spark.sparkContext.defaultParallelism * 64)
+    one = C.PipelineConfig("demo", "mr.demo", source.uri, target.uri, write_mode=mode, upsert_key="user_id", dedup_timestamp="ts", upsert_tiebreak=["event_id"])
     for r in C.resolve(C.Config([one]), spark).pipelines:
         Pipeline(spark, r).run_once()
     return target
@@ -434,29 +442,77 @@ def publish_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- verdicts ----
 
-STATEMENTS = (
-    "SELECT a FROM source", "SELECT a FROM source WHERE a > 1", "SELECT a FROM other", "SELECT a FROM source GROUP BY a", "SELECT DISTINCT a FROM source", "SELECT sum(a) FROM source", "SELECT mean(a) FROM source",
-    "SELECT row_number() OVER (ORDER BY a) FROM source", "SELECT rank() FROM source", "SELECT s.a FROM source s JOIN source t ON s.a = t.a", "SELECT a FROM source, nations", "SELECT a FROM source CROSS JOIN nations",
-    "SELECT s.a, n.b FROM source s LEFT JOIN nations n ON n.k = s.k", "SELECT s.a, n.b FROM source s LEFT JOIN nations n ON true", "SELECT s.a FROM source s LEFT JOIN nations n ON n.k = coalesce(n.k, s.k)",
-    "SELECT s.a FROM source s RIGHT JOIN nations n ON n.k = s.k", "SELECT a FROM source WHERE k IN (SELECT k FROM nations)", "SELECT a FROM source UNION ALL SELECT a FROM source", "SELECT a FROM source UNION SELECT a FROM source",
-    "SELECT a FROM source ORDER BY a LIMIT 3", "SELECT unnest(x) AS y FROM source", "SELECT y FROM source s CROSS JOIN UNNEST(s.x) AS t(y)", "SELECT y FROM source LATERAL VIEW explode(x) t AS y", "SELECT * FROM range(3)", "VALUES (1)",
-    "DELETE FROM source", "SELECT a FROM source; SELECT a FROM source", "SELECT a FROM source TABLESAMPLE (10 ROWS)", "SELECT from_unixtime(a) FROM source", "SELECT from_unixtime(a, 'Europe/Amsterdam') AS t FROM source",
-    "WITH source AS (SELECT a FROM source) SELECT a FROM source", "WITH nations AS (SELECT a FROM source) SELECT a FROM nations", "SELECT a FROM db.source", "SELECT approx_distinct(a) FROM source", "",
-)
+#: Statements by where they are accepted: at the grain of rows and of batches, of batches only, or nowhere.
+STATEMENTS = {
+    "both": (
+        'SELECT a FROM source',
+        'SELECT a FROM source WHERE a > 1',
+        'SELECT s.a, n.b FROM source s LEFT JOIN nations n ON n.k = s.k',
+        'SELECT a FROM source UNION ALL SELECT a FROM source',
+        'SELECT a FROM source UNION SELECT a FROM source',
+        'SELECT a FROM source ORDER BY a LIMIT 3',
+        'SELECT unnest(x) AS y FROM source',
+        'SELECT y FROM source s CROSS JOIN UNNEST(s.x) AS t(y)',
+        "SELECT from_unixtime(a, 'Europe/Amsterdam') AS t FROM source",
+        'WITH source AS (SELECT a FROM source) SELECT a FROM source',
+    ),
+    "batch": (
+        'SELECT a FROM source GROUP BY a',
+        'SELECT DISTINCT a FROM source',
+        'SELECT sum(a) FROM source',
+    ),
+    "none": (
+        'SELECT a FROM other',
+        'SELECT mean(a) FROM source',
+        'SELECT row_number() OVER (ORDER BY a) FROM source',
+        'SELECT rank() FROM source',
+        'SELECT a FROM source QUALIFY row_number() OVER (ORDER BY a) = 1',
+        'SELECT s.a FROM source s JOIN source t ON s.a = t.a',
+        'SELECT a FROM source, nations',
+        'SELECT a FROM source CROSS JOIN nations',
+        'SELECT s.a, n.b FROM source s LEFT JOIN nations n ON true',
+        'SELECT s.a FROM source s LEFT JOIN nations n ON n.k = coalesce(n.k, s.k)',
+        'SELECT s.a FROM source s RIGHT JOIN nations n ON n.k = s.k',
+        'SELECT s.a FROM source s FULL JOIN nations n ON n.k = s.k',
+        'SELECT s.a FROM source s LEFT SEMI JOIN nations n ON n.k = s.k',
+        'SELECT s.a FROM source s LEFT ANTI JOIN nations n ON n.k = s.k',
+        'SELECT a FROM source WHERE k IN (SELECT k FROM nations)',
+        'SELECT a FROM source WHERE EXISTS (SELECT 1 FROM nations n WHERE n.k = source.k)',
+        'SELECT count(DISTINCT a) FROM source HAVING median(a) > 1',
+        'SELECT y FROM source LATERAL VIEW explode(x) t AS y',
+        'SELECT * FROM range(3)',
+        'VALUES (1)',
+        'DELETE FROM source',
+        'SELECT a FROM source; SELECT a FROM source',
+        'SELECT a FROM source TABLESAMPLE (10 ROWS)',
+        'SELECT from_unixtime(a) FROM source',
+        'WITH nations AS (SELECT a FROM source) SELECT a FROM nations',
+        'SELECT a FROM db.source',
+        'SELECT approx_distinct(a) FROM source',
+        '',
+    ),
+}
+
 
+def _verdicts_sql() -> str:
+    """The same table as literal rows."""
+    told = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(sql, g.value, kind == "both" or kind == "batch" and g is gate.Grain.BATCH) for kind, statements in STATEMENTS.items() for sql in statements for g in gate.Grain]
+    return "SELECT * FROM (VALUES " + ", ".join(f"({told(s)}, '{g}', {str(ok).lower()})" for s, g, ok in rows) + ") AS t(statement, grain, accepted)"
 
-@query()
+
+@query(_verdicts_sql())
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gate says to each statement, at both grains, with `nations` a declared lookup."""
     rows = []
-    for sql in STATEMENTS:
+    for sql in (x for statements in STATEMENTS.values() for x in statements):
         for g in gate.Grain:
             try:
                 gate.check(spark, sql, g, ["nations"])
-                rows.append((sql, g.value, True, None))
-            except MillraceError as e:
-                rows.append((sql, g.value, False, str(e)))
-    return spark.createDataFrame(rows, "statement string, grain string, accepted boolean, reason string")
+                rows.append((sql, g.value, True))
+            except MillraceError:
+                rows.append((sql, g.value, False))
+    return spark.createDataFrame(rows, "statement string, grain string, accepted boolean")
 
 
 MANIFEST = {
@@ -474,19 +530,28 @@ MANIFEST = {
 }
 
 
-@query()
+@query("SELECT * FROM (VALUES ('live', 'publishes'), ('lines', 'streamable'), ('plain', 'rejected'), ('priced', 'streamable'), ('totals', 'rejected')) AS t(model, verdict)")
 def dbt_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be streamed of a small manifest."""
     found = dbt.analyze_all(dbt.parse(json.dumps(MANIFEST)), spark)
-    return spark.createDataFrame([(v.name, v.kind, v.reason, v.sql) for v in found], "model string, verdict string, reason string, sql string")
+    return spark.createDataFrame([(v.name, v.kind.lower()) for v in found], "model string, verdict string")
 
 
-@query()
+@query(
+    "SELECT CAST(1 + (o_orderkey - low) // step AS BIGINT) AS version, CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high, min(o_totalprice) AS cheapest "
+    "FROM orders, (SELECT min(o_orderkey) AS low, (max(o_orderkey) - min(o_orderkey)) // 4 + 1 AS step FROM orders) GROUP BY ALL"
+)
 def file_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and bounds of a table's files, as commits record them."""
+    """Rows and bounds of the files of each commit, as the commit records them."""
     made = committed(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), f"{workspace(spark)}/orders", "o_orderkey")
-    rows = [(a.path, json.loads(footer_stats(made.store.path(a.path)))) for a in made.snapshot().files.values()]
-    return spark.createDataFrame([(p, s["numRecords"], s["minValues"]["o_orderkey"], s["maxValues"]["o_orderkey"]) for p, s in rows], "path string, n long, low long, high long")
+    rows = []
+    for v in range(1, made.head() + 1):
+        for a in made.commit(v).adds:
+            s = json.loads(a.stats)
+            assert s == json.loads(footer_stats(made.store.path(a.path)))
+            rows.append((v, s["numRecords"], s["minValues"]["o_orderkey"], s["maxValues"]["o_orderkey"], s["minValues"]["o_totalprice"]))
+    files = spark.createDataFrame(rows, "version long, n long, low long, high long, cheapest double")
+    return files.groupBy("version").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("cheapest").alias("cheapest"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,28 +30,63 @@ def _nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
-def read_files(spark: SparkSession, table: Table, files: Iterable[tuple[int, Add]], schema: T.StructType, partitions: tuple[str, ...] = (), with_file: bool = False) -> DataFrame:
+_DEFAULT = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder(name: str, value: str | None) -> str:
+    """The folder of a partition value, as a writer names it."""
+    return f"/{name}={_DEFAULT if value is None else value}/"
+
+
+def _partition_columns(df: DataFrame, table: Table, files: list[Add], schema: T.StructType, partitions: tuple[str, ...]) -> DataFrame:
+    """df with the files' partition values: from the folders of their paths where those say what the log says, else by a join on the path."""
+    path = F.col("_metadata.file_path")
+    wanted = [f for f in schema if f.name in partitions]
+    values = [dict(a.partition_values) for a in files]
+    if all(_folder(f.name, v.get(f.name)) in f"/{unquote(a.path)}" and (v.get(f.name) or "x").isascii() and "%" not in a.path for a, v in zip(files, values) for f in wanted):
+        for f in wanted:
+            text = F.url_decode(F.replace(F.regexp_extract(path, f"/{re.escape(f.name)}=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+            df = df.withColumn(f.name, F.nullif(text, F.lit(_DEFAULT)).cast(f.dataType))
+        return df
+    spark, at = df.sparkSession, "__mr_path"
+    rows = [(table.store.path(a.path), *[v.get(f.name) for f in wanted]) for a, v in zip(files, values)]
+    named = spark.createDataFrame(rows, T.StructType([T.StructField(at, T.StringType())] + [T.StructField(f.name, T.StringType()) for f in wanted]))
+    named = named.select(at, *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+    if sum(len(r[0]) + 100 for r in rows) <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    plain = F.url_decode(F.replace(F.regexp_replace(path, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    return df.join(named, plain == F.col(at)).drop(at)
+
+
+#: Bytes of paths and values up to which they are sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def read_files(spark: SparkSession, table: Table, files: Iterable[tuple[int, Add]], schema: T.StructType, partitions: tuple[str, ...] = (), with_file: bool = False, ordered: bool = False) -> DataFrame:
     """Exactly these files, in the declared types, with partition values as typed columns.
 
-    Files of one version and one set of partition values share a scan, and the scans follow each other in the
+    All files share one scan; with `ordered`, those of a version do, and the scans follow each other in the
     order of versions. A file that is gone is named with the version that added it.
     """
     schema = _nullable(schema)
     stored = T.StructType([f for f in schema if f.name not in partitions])
-    groups: dict[tuple, list[str]] = {}
+    groups: dict[int, list[tuple[int, Add]]] = {}
     for version, add in files:
-        if not table.store.exists(add.path):
-            raise SourceFileVacuumed(table.uri, version, add.path)
-        key = (version if not with_file else 0, tuple((k, v) for k, v in add.partition_values if k in partitions))
-        groups.setdefault(key, []).append(table.store.path(add.path))
+        groups.setdefault(version if ordered else 0, []).append((version, add))
     parts = []
-    for (_, values), paths in groups.items():
-        df = spark.read.schema(stored).parquet(*paths)
+    for group in groups.values():
+        try:
+            df = spark.read.schema(stored).parquet(*[table.store.path(a.path) for _, a in group])
+        except AnalysisException:
+            for version, a in group:
+                if not table.store.exists(a.path):
+                    raise SourceFileVacuumed(table.uri, version, a.path) from None
+            raise
         if with_file:
             df = df.withColumn(FILE, F.col("_metadata.file_path"))
-        given = dict(values)
-        named = [F.col(f"`{f.name}`") if f.name not in partitions else F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]
-        parts.append(df.select(*named, *([F.col(FILE)] if with_file else [])))
+        if partitions:
+            df = _partition_columns(df, table, [a for _, a in group], schema, partitions)
+        parts.append(df.select(*[F.col(f"`{f.name}`") for f in schema], *([F.col(FILE)] if with_file else [])))
     if not parts:
         wide = T.StructType([*schema, T.StructField(FILE, T.StringType())]) if with_file else schema
         return spark.createDataFrame([], wide)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import logging
 import re
+import threading
 import uuid
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CommitConflict, LogError, SchemaError
@@ -60,24 +61,65 @@ class Written:
         return sum(rows_of(a.stats) or 0 for a in self.adds)
 
 
-def write_files(table: Table, snapshot: Snapshot, df: DataFrame) -> Written:
-    """The rows as Parquet files in a folder of their own below the table; files without rows are left out."""
+#: Files from which their footers are read by the executors.
+MANY_FILES = 64
+_SIZING = threading.Lock()
+_ADVISED, _MANY = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def _write(rows: DataFrame, partitions: list[str], path: str, file_size: int | None) -> None:
+    """One write of its own rows only: a folder is never written twice."""
+
+    def write(df: DataFrame) -> None:
+        writer = df.write.mode("error").option("parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+    columns = [F.col(f"`{p}`") for p in partitions]
+    if not file_size:
+        write(rows.repartition(*columns) if partitions else rows)  # a partition's rows meet in few files
+        return
+    conf = rows.sparkSession.conf
+    with _SIZING:  # the settings are the session's
+        before = {k: conf.get(k, None) for k in (_ADVISED, _MANY)}
+        conf.set(_ADVISED, str(file_size))
+        conf.set(_MANY, "false")
+        try:
+            write(rows.hint("rebalance", *columns))
+        finally:
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+
+
+def _footers(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Statistics of each file."""
+    if len(paths) < MANY_FILES:
+        return [footer_stats(p) for p in paths]
+
+    def read(frames):
+        for frame in frames:
+            yield frame.assign(stats=[footer_stats(p) for p in frame.path])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths) // 16, 200)))
+    found = dict(files.mapInPandas(read, "path string, stats string").collect())  # a row a file, as the commit has
+    return [found[p] for p in paths]
+
+
+def write_files(table: Table, snapshot: Snapshot, df: DataFrame, file_size: int | None = None) -> Written:
+    """The rows as Parquet files in a folder of their own below the table; files without rows are left out.
+
+    With file_size, rows are moved together or apart for files of about as many bytes (as shuffled, which is near what
+    they take); without, every task writes its own.
+    """
     names = snapshot.schema.names
     if missing := set(names) - set(df.columns):
         raise SchemaError(f"{table.uri}: the rows lack {', '.join(sorted(missing))}")
     partitions = [p for p in snapshot.metadata.partitions]
     folder = f"data-{uuid.uuid4().hex}"
     rows = df.select(*[F.col(f"`{n}`") for n in names])
-    if partitions:  # a partition's rows meet in few files
-        rows = rows.repartition(*[F.col(f"`{p}`") for p in partitions])
-    # the write of its own rows only: a folder is never written twice
-    writer = rows.write.mode("error").option("parquet.outputTimestampType", "TIMESTAMP_MICROS")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(table.store.path(folder))
+    _write(rows, partitions, table.store.path(folder), file_size)
     made = Written()
-    for name, size, modified in table.store.listing(folder):
-        if not name.endswith(".parquet") or name.rsplit("/", 1)[-1].startswith(("_", ".")):
-            continue
-        stats = footer_stats(table.store.path(f"{folder}/{name}"))
+    files = [f for f in table.store.listing(folder) if f[0].endswith(".parquet") and not f[0].rsplit("/", 1)[-1].startswith(("_", "."))]
+    for (name, size, modified), stats in zip(files, _footers(df.sparkSession, [table.store.path(f"{folder}/{f[0]}") for f in files])):
         if rows_of(stats):
             values = tuple((unquote(k), None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)) for k, v in re.findall(r"([^/=]+)=([^/]*)/", name))
             made.adds.append(Add(f"{folder}/{name}", size, True, tuple(sorted(values)), stats, False, modified))
@@ -96,6 +138,7 @@ def commit(table: Table, base: Snapshot, offset: Offset | None, adds: list[Add],
     for _ in range(ATTEMPTS):
         try:
             table.write_commit(version, actions)
+            table.maybe_checkpoint(version)
             return version
         except CommitConflict:
             if removes:
@@ -109,8 +152,8 @@ def commit(table: Table, base: Snapshot, offset: Offset | None, adds: list[Add],
     raise CommitConflict(table.uri, version)
 
 
-def append(table: Table, df: DataFrame | None, offset: Offset | None = None) -> tuple[int, int]:
+def append(table: Table, df: DataFrame | None, offset: Offset | None = None, file_size: int | None = None) -> tuple[int, int]:
     """(version, rows): rows and offset in one commit; without rows the offset alone."""
     base = table.snapshot()
-    made = Written() if df is None else write_files(table, base, df)
+    made = Written() if df is None else write_files(table, base, df, file_size)
     return commit(table, base, offset, made.adds), made.rows

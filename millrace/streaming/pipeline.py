@@ -143,7 +143,7 @@ class Pipeline:
     def _run(self, batch) -> Outcome:
         s = self.settings
         pinned = [lookup.pin(x, batch.committed_at) for x in self.lookups]
-        source = read_files(self.spark, self.source, batch.files, batch.schema, batch.partitions)
+        source = read_files(self.spark, self.source, batch.files, batch.schema, batch.partitions, ordered=self.keys is not None)
         rows = self.transform.apply(source, {p.lookup.name: p.read(self.spark) for p in pinned})
         target = self.target.snapshot()
         produced = coerce.columns_present(rows, target.schema)
@@ -171,12 +171,12 @@ class Pipeline:
             if self.keys:
                 with self.merges.entered() as waited:
                     began = time.monotonic()
-                    merged = upsert.merge(self.spark, self.target, good, self.keys, produced, offset)
+                    merged = upsert.merge(self.spark, self.target, good, self.keys, produced, offset, file_size=s.target_file_size)
                     self.metrics.add(merges=1, merge_milliseconds=int((time.monotonic() - began) * 1000), merge_queue_milliseconds=int(waited * 1000), upsert_rows_updated=merged.updated, upsert_rows_inserted=merged.inserted)
                     self.metrics.add(upsert_target_files_scanned=merged.files_scanned, upsert_window_clamped=int(merged.clamped), upsert_window_unbounded=int(merged.unbounded))
                 at, count = merged.version, merged.updated + merged.inserted
             else:
-                at, count = append(self.target, good, offset)
+                at, count = append(self.target, good, offset, s.target_file_size)
         finally:
             if held is not None:
                 held.unpersist()

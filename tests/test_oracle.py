@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import catalogue, scenarios  # noqa: F401 - both register queries
 
 
 def plain(x):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import lean, map_arrow, texts_of
+from .columns import lean, map_arrow, place_of, texts_of
 from .textvec import normalise, slices
 
 WINDOW, MIN_WORDS = 13, 5
@@ -143,7 +143,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, max_chars: int = MAX_CHARS) -> DataFrame:
     """docs without the rows whose text has a match; all columns and all other rows stay as they are."""
     spark = docs.sparkSession
-    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    at = place_of("text", docs.columns)
     for items in _chunks(benchmark, max_chars):
         shared, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 

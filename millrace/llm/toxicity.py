@@ -4,11 +4,12 @@ Features are presence of words, word pairs and pairs with one word between,
 each hashed into 2**BITS buckets. FTRL-proximal (McMahan et al., 2013) gives every coordinate
 its own rate, and its L1 term leaves few weights other than zero: they are kept
 as two short arrays, are checked against MAX_WEIGHTS, and go to the workers as a
-broadcast. Training runs on an executor, over a bounded sample of the labelled
-rows (the MAX_ROWS with the smallest hash of their id, a documented bound);
+broadcast. Features of a single training text get no weight, as they say nothing about others. Training runs on an executor, over a bounded sample of the labelled
+rows: those with the smallest hash of their id, at most MAX_ROWS of them and as many as have MAX_CHARS characters
+together (documented bounds). Their texts are hashed where they are read, and only the hashes go to the trainer. The
 scoring covers every text whole.
 
-Defined results: a null text scores like an empty one, by the bias alone; rows
+Defined results: equal rows train once; a null text scores like an empty one, by the bias alone; rows
 with a null doc_id are scored but never trained on; a doc_id with several labels
 counts once, as toxic if any says so; several texts under one labelled id all
 train. With no label of either class the model has no weights and rejects
@@ -23,15 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import lean, map_arrow, with_computed
+from .columns import lean, map_arrow, place_of, quoted, with_computed
 from .textvec import gram_hashes, slices, word_hashes
 
 BITS = 30
-MAX_ROWS, MAX_WEIGHTS = 16_000, 2_000_000
+MAX_ROWS, MAX_CHARS, MAX_WEIGHTS = 16_000, 200_000_000, 2_000_000
 SKIPS = ((0,), (0, 1), (0, 2))
 
 
@@ -80,22 +81,27 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, held_out: int = 5) -> Model:
-    """A model from labelled texts; every held_out-th text sets the threshold only."""
-    if len(set(toxic)) < 2:
-        return NOTHING
+def distinct_features(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct buckets of each text."""
     rows: list[np.ndarray] = []
     for first, last in slices(texts):
         words, at = word_hashes(texts[first:last])
         rows += [np.unique(features(words[at[i] : at[i + 1]])) for i in range(last - first)]
+    return rows
+
+
+def fit(rows: list[np.ndarray], toxic: list[int], epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, held_out: int = 5) -> Model:
+    """A model from labelled texts, given by their distinct features; every held_out-th text sets the threshold only."""
+    if len(set(toxic)) < 2:
+        return NOTHING
     order = np.random.default_rng(7).permutation(len(rows))
     held, used = (order[::held_out], np.setdiff1d(order, order[::held_out], assume_unique=True)) if len(rows) >= 50 else (order, order)
     every = np.concatenate([rows[i] for i in used])
     every.sort()
     buckets = np.unique(every[1:][every[1:] == every[:-1]])  # a feature of one text says nothing about others
     del every
-    places = rows
-    for i, r in enumerate(rows):  # in place: the buckets of a text give way to their places
+    places = list(rows)
+    for i, r in enumerate(rows):
         k = np.searchsorted(buckets, r)
         k[k == len(buckets)] = 0
         places[i] = np.concatenate(([0], k[buckets[k] == r] + 1)).astype(np.int32) if len(buckets) else np.zeros(1, np.int32)
@@ -139,19 +145,36 @@ def score(model: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most max_rows labelled documents, in one task of an executor."""
-    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows narrow rows: small enough to broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(3).to_pylist()
+        for first, last in slices(texts):
+            some = batch.slice(first, last - first)
+            made = [f.astype("<u4").tobytes() for f in distinct_features(texts[first:last])]
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(made, pa.binary())], names=["doc_id", "place", "toxic", "features"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in got], [y for _, _, y in got]))], pa.binary())], names=["model"])
 
-    # repeated ids in docs could exceed the bound of the sample: of one id, the first texts by hash are used
-    rows = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_rows)
-    made = rows.coalesce(1).mapInArrow(lean(run), T.StructType([T.StructField("model", T.BinaryType())])).first()
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = sorted(((i, h, y, f) for b in batches for i, h, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:2])
+    model = fit([np.frombuffer(f, "<u4").astype(np.int32) for *_, f in got], [y for _, _, y, _ in got])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on at most max_rows labelled documents of max_chars characters together, in one task of an executor."""
+    names = {c.lower(): F.col(quoted(c)) for c in docs.columns}
+    texts = docs.select(names["doc_id"].cast("long").alias("doc_id"), F.coalesce(names["text"].cast("string"), F.lit("")).alias("text")).withColumn("place", F.xxhash64("text"))
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows narrow rows: small enough to broadcast
+    # an id may have several texts: the bounds are for what is trained on, so narrow rows of all of them are put in order
+    found = texts.select("doc_id", "place", F.length("text").alias("n")).join(F.broadcast(sample), "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("place")]
+    first = found.orderBy(*order).limit(max_rows)
+    so_far = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    picked = first.select("doc_id", "place", "toxic", so_far.alias("so_far")).filter(F.col("so_far") <= max_chars).drop("so_far")
+    rows = texts.join(F.broadcast(picked), ["doc_id", "place"]).select("doc_id", "place", "toxic", "text")
+    hashed = rows.mapInArrow(lean(_hashed), "doc_id bigint, place bigint, toxic int, features binary").dropDuplicates(["doc_id", "place"])
+    made = hashed.repartition(1).mapInArrow(lean(_trained), "model binary").first()
     model = pickle.loads(made[0]) if made else NOTHING
     if len(model.weights) > MAX_WEIGHTS:
         raise ValueError(f"{len(model.weights)} weights are too many to broadcast; raise l1")
@@ -172,7 +195,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that the model rejects, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    at = place_of("text", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

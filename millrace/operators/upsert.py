@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..errors import CommitConflict, ConfigError, SchemaError
 from ..sources.log import Add, Remove, Snapshot, Table
-from ..sources.scan import FILE, read_files
+from ..sources.scan import FILE, read_files, place_of
 from ..sources.sink import Offset, commit, write_files
 from ..sources.stats import Bound, all_keys, bound, file_range, provably_below, touches_any
 from . import grain
@@ -206,7 +206,7 @@ def _merge_once(spark, table: Table, one: DataFrame, keys: Keys, produced: list[
     slim = slim.filter(F.col(key).between(*[F.lit(v).cast(schema[keys.key].dataType) for v in ends]))  # reaches the files' row groups
     hits = one.alias("s").join(slim.alias("t"), F.col(f"s.{key}") == F.col(f"t.{key}"))
     changed = [r[0] for r in hits.filter(newer(keys.order, "s", "t")).select(f"t.{FILE}").distinct().collect()]
-    by_path = {_spark_path(table, a.path): a for a in planned.candidates}
+    by_path = {place_of(table, a.path): a for a in planned.candidates}
     touched = [by_path[_plain(p)] for p in changed]
     inserts = one.alias("s").join(slim.select(F.col(key).alias("__mr_key")).alias("t"), F.col(f"s.{key}") == F.col("__mr_key"), "left_anti")
     rows = inserts.select(*[F.col(f"`{f.name}`") for f in schema], F.lit(1).alias("__mr_new"))
@@ -239,12 +239,10 @@ def _insert_only(table: Table, base: Snapshot, offset, adds) -> int:
 
 
 def _plain(path: str) -> str:
+    """A file's URI as the path it is opened by."""
     parsed = urlparse(path)
-    return unquote(parsed.path) if parsed.scheme == "file" else unquote(path)
-
-
-def _spark_path(table: Table, path: str) -> str:
-    return _plain(table.store.path(path))
+    place = unquote(parsed.path)
+    return place if parsed.scheme in ("", "file") else f"{parsed.scheme}://{parsed.netloc}{place}"
 
 
 def preflight(spark: SparkSession, table: Table, keys: Keys, check_grain: bool = True) -> None:

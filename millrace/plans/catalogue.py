@@ -207,8 +207,8 @@ def lookup_pinned_version(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = nations.snapshot()
         made = write_files(nations, base, names.select("n_nationkey", change("n_name").alias("n_name")))
         commit(nations, base, None, made.adds, [Remove(p) for p in base.files])
-        os.utime(nations.store.path(f"_delta_log/{k:020d}.json"), (1000 + k, 1000 + k))
-    os.utime(nations.store.path(f"_delta_log/{0:020d}.json"), (1000, 1000))
+        nations.store.touch(f"_delta_log/{k:020d}.json", (1000 + k) * 1000)
+    nations.store.touch(f"_delta_log/{0:020d}.json", 1_000_000)
     pinned = lookup.pin(lookup.Lookup("nations", nations.uri), 1003_000)
     return run_sql(table(spark, sf_dir, "supplier"), "SELECT s.s_suppkey, n.n_name AS nation FROM source s LEFT JOIN nations n ON s.s_nationkey = n.n_nationkey", {"nations": pinned.read(spark)})
 

@@ -99,7 +99,7 @@ def start_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the version that was current then, itself included."""
     source = _nations(spark, sf_dir)
     for v in source.versions():
-        os.utime(source.store.path(f"_delta_log/{v:020d}.json"), (1000 + v, 1000 + v))
+        source.store.touch(f"_delta_log/{v:020d}.json", (1000 + v) * 1000)
     return _numbered(spark, source, LogStream.from_time(source, 1003_500))
 
 
@@ -118,10 +118,10 @@ def log_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     commit(changed, base, None, [], [Remove(p) for p in base.files])
     guarded.write_commit(2, [{"add": {"path": "x.parquet", "size": 1, "dataChange": True, "partitionValues": {}, "deletionVector": {"storageType": "u"}}}])
     holed.write_commit(2, [{"commitInfo": {}}])
-    os.unlink(holed.store.path(f"_delta_log/{1:020d}.json"))
+    holed.store.delete(f"_delta_log/{1:020d}.json")
     gone = vacuumed.snapshot()
     for path in gone.files:
-        os.unlink(vacuumed.store.path(path))
+        vacuumed.store.delete(path)
     newer.write_commit(2, [{"protocol": {"minReaderVersion": 3, "minWriterVersion": 7}}])
     return _refused(
         spark,
@@ -152,7 +152,7 @@ def checkpoint_opens_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve commits, of which the first ten are in a checkpoint and no more in the log."""
     made = committed(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), f"{workspace(spark)}/orders", "o_orderkey", 12)
     for v in range(10):
-        os.unlink(made.store.path(f"_delta_log/{v:020d}.json"))
+        made.store.delete(f"_delta_log/{v:020d}.json")
     return read_snapshot(spark, Table(made.uri))
 
 
@@ -324,10 +324,10 @@ def role_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     target.create_like(source)
     look = lambda n, t: lookup.Lookup(n, t.uri)
     guard = lambda s, t, *x: lambda: lookup.guard(s.snapshot(), t.snapshot(), list(x))
-    os.utime(a.store.path(f"_delta_log/{1:020d}.json"), (1000, 1000))
-    os.utime(a.store.path(f"_delta_log/{0:020d}.json"), (1000, 1000))
-    os.utime(b.store.path(f"_delta_log/{1:020d}.json"), (1000, 1000))
-    os.utime(b.store.path(f"_delta_log/{0:020d}.json"), (1000, 1000))
+    a.store.touch(f"_delta_log/{1:020d}.json", 1_000_000)
+    a.store.touch(f"_delta_log/{0:020d}.json", 1_000_000)
+    b.store.touch(f"_delta_log/{1:020d}.json", 1_000_000)
+    b.store.touch(f"_delta_log/{0:020d}.json", 1_000_000)
     sql = "SELECT s.* FROM source s LEFT JOIN x ON x.n_nationkey = s.n_nationkey"
     Pipeline(spark, settings(source, target, transform_sql=sql, lookups=[C.LookupConfig("x", uri=a.uri)])).run_once()
     other_rebuilt, rebuilt = _rebuilt(spark, sf_dir, 5)

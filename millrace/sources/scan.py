@@ -30,6 +30,12 @@ def _nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
+def place_of(table: Table, path: str) -> str:
+    """Where a file of the table is, as file_path has it once it is decoded; local ones without a scheme."""
+    place = table.store.path(path)
+    return "/" + place[5:].lstrip("/") if place.startswith("file:") else place
+
+
 _DEFAULT = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -49,7 +55,7 @@ def _partition_columns(df: DataFrame, table: Table, files: list[Add], schema: T.
             df = df.withColumn(f.name, F.nullif(text, F.lit(_DEFAULT)).cast(f.dataType))
         return df
     spark, at = df.sparkSession, "__mr_path"
-    rows = [(table.store.path(a.path), *[v.get(f.name) for f in wanted]) for a, v in zip(files, values)]
+    rows = [(place_of(table, a.path), *[v.get(f.name) for f in wanted]) for a, v in zip(files, values)]
     named = spark.createDataFrame(rows, T.StructType([T.StructField(at, T.StringType())] + [T.StructField(f.name, T.StringType()) for f in wanted]))
     named = named.select(at, *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
     if sum(len(r[0]) + 100 for r in rows) <= BROADCAST_BYTES:

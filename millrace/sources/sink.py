@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import logging
 import re
 import threading
@@ -12,10 +13,11 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import CommitConflict, LogError, SchemaError
 from .log import Add, Remove, Snapshot, Table
-from .stats import footer_stats, rows_of
+from .stats import footer_stats, rows_of, written
 
 log = logging.getLogger(__name__)
 
@@ -104,6 +106,21 @@ def _footers(spark: SparkSession, paths: list[str]) -> list[str]:
     return [found[p] for p in paths]
 
 
+def _queried(spark: SparkSession, table: Table, folder: str, snapshot: Snapshot) -> dict[str, str]:
+    """Statistics of each file below a folder that only Spark can open, by one aggregation over them; by the files' names."""
+    stored = T.StructType([f for f in snapshot.schema if f.name not in snapshot.metadata.partitions])
+    flat = [f.name for f in list(stored)[:32] if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType, T.BooleanType, T.BinaryType))]
+    asked = [F.count(F.lit(1))] + [a for n in flat for c in (F.col(f"`{n}`"),) for a in (F.min(c), F.max(c), F.count_if(c.isNull()))]
+    df = spark.read.schema(stored).option("recursiveFileLookup", "true").parquet(table.store.path(folder))
+    found = {}
+    for row in df.groupBy(F.col("_metadata.file_path").alias("__mr_file")).agg(*asked).collect():  # a row a file, as the commit has
+        values = {n: tuple(row[2 + 3 * k : 5 + 3 * k]) for k, n in enumerate(flat)}
+        bounds = {n: v for n, v in values.items() if v[0] is not None and v[0] == v[0] and v[1] == v[1]}
+        stats = {"numRecords": row[1], "minValues": {n: written(v[0]) for n, v in bounds.items()}, "maxValues": {n: written(v[1]) for n, v in bounds.items()}, "nullCount": {n: v[2] for n, v in values.items()}}
+        found[unquote(row[0]).rsplit(f"/{folder}/", 1)[1]] = json.dumps(stats)
+    return found
+
+
 def write_files(table: Table, snapshot: Snapshot, df: DataFrame, file_size: int | None = None) -> Written:
     """The rows as Parquet files in a folder of their own below the table; files without rows are left out.
 
@@ -119,7 +136,12 @@ def write_files(table: Table, snapshot: Snapshot, df: DataFrame, file_size: int
     _write(rows, partitions, table.store.path(folder), file_size)
     made = Written()
     files = [f for f in table.store.listing(folder) if f[0].endswith(".parquet") and not f[0].rsplit("/", 1)[-1].startswith(("_", "."))]
-    for (name, size, modified), stats in zip(files, _footers(df.sparkSession, [table.store.path(f"{folder}/{f[0]}") for f in files])):
+    if table.store.local:
+        told = _footers(df.sparkSession, [table.store.path(f"{folder}/{f[0]}") for f in files])
+    else:
+        queried = _queried(df.sparkSession, table, folder, snapshot) if files else {}
+        told = [queried.get(f[0]) for f in files]  # none for a file without rows
+    for (name, size, modified), stats in zip(files, told):
         if rows_of(stats):
             values = tuple((unquote(k), None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v)) for k, v in re.findall(r"([^/=]+)=([^/]*)/", name))
             made.adds.append(Add(f"{folder}/{name}", size, True, tuple(sorted(values)), stats, False, modified))

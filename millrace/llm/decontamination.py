@@ -6,6 +6,8 @@ of one are both found. A text is normalised once and scanned once; only for a
 text with matches are the word positions of the original worked out, and
 overlapping matches of one item become one span of original characters.
 
+A character of a script that is written without spaces (Chinese, Japanese kana, Thai, Lao, Khmer, Burmese) counts as a word.
+
 Defined results: a null or empty text has no match; items of fewer than
 `min_words` words are no evidence and give no pattern; an item text that occurs
 under several ids is reported for each; repeated rows are reported each; with an
@@ -32,14 +34,23 @@ WINDOW, MIN_WORDS = 13, 5
 #: Characters of benchmark text that one automaton may hold (about 40 times as many bytes); more are scanned in several passes.
 MAX_CHARS = 8_000_000
 MATCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("words", T.LongType())])
-_WORD = re.compile(r"[^\W_]+")
+#: Han, kana, Thai, Lao, Burmese and Khmer letters.
+_ALONE = "\u3005-\u3007\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u0e01-\u0e30\u0e40-\u0e46\u0e81-\u0eb0\u0ec0-\u0ec6\u1000-\u102a\u1780-\u17b3"
+_WORD = re.compile(rf"[{_ALONE}]|(?:(?![{_ALONE}])[^\W_])+")
+_CHARACTER = re.compile(f"[{_ALONE}]")
+
+
+def words_of(text: str | None) -> str:
+    """The words of a text with single spaces."""
+    clean = normalise(text)
+    return clean if clean.isascii() or not _CHARACTER.search(clean) else " ".join(_WORD.findall(clean))
 
 
 def patterns(items: list[tuple[int | None, str | None]], window: int = WINDOW, min_words: int = MIN_WORDS) -> dict[str, list[int]]:
     """' w1 w2 ... ' -> places in items of the texts that have this run of words."""
     found: dict[str, list[int]] = {}
     for place, (_, text) in enumerate(items):
-        words = normalise(text).split()
+        words = words_of(text).split()
         if len(words) < max(1, min_words):
             continue
         size = min(window, len(words))
@@ -61,31 +72,31 @@ def automaton(items: list[tuple[int | None, str | None]], window: int = WINDOW,
     return built
 
 
-def word_spans(text: str) -> list[tuple[int, int]]:
-    """(start, end) in text of each word of normalise(text), in order."""
+def word_spans(text: str, word: re.Pattern = _WORD) -> tuple[list[str], list[tuple[int, int]]]:
+    """(words, (start, end) in text of each), normalised piece by piece."""
     if text.isascii():
-        return [m.span() for m in _WORD.finditer(text)]
+        found = list(word.finditer(text))
+        return [m.group().lower() for m in found], [m.span() for m in found]
     # a character and the marks (or conjoining jamo) after it are normalised as one
     cuts = [0] + [i for i in range(1, len(text)) if not unicodedata.combining(text[i]) and not "ᅠ" <= text[i] <= "ᇿ" and text[i] not in "ﾞﾟ"] + [len(text)]
     pieces = [unicodedata.normalize("NFKC", text[a:b]).lower() for a, b in zip(cuts, cuts[1:])]
     origin = [i for i, p in enumerate(pieces) for _ in p]
-    spans = [(cuts[origin[m.start()]], cuts[origin[m.end() - 1] + 1]) for m in _WORD.finditer("".join(pieces))]
-    n = normalise(text).count(" ") + 1
-    return spans if len(spans) == n else [(0, len(text))] * n
+    found = list(word.finditer("".join(pieces)))
+    return [m.group() for m in found], [(cuts[origin[m.start()]], cuts[origin[m.end() - 1] + 1]) for m in found]
 
 
 def matches(built, text: str | None, places: list[int | None]) -> list[tuple[int | None, int, int, int]]:
     """(item id, start, end, words) of the spans of text that items of the automaton cover."""
-    clean = normalise(text)
-    if built is None or not clean:
+    clean = words_of(text)
+    if built is None or not clean or next(built.iter(f" {clean} "), None) is None:
         return []
+    words, spans = word_spans(text)
+    clean = " ".join(words)  # the same words, but for marks that the whole text combines otherwise: here each has its place
     by_item: dict[int, list[tuple[int, int]]] = {}
     for end, (size, items) in built.iter(f" {clean} "):
         for place in items:
             by_item.setdefault(place, []).append((end - size + 1, end - 1))
-    if not by_item:
-        return []
-    spans, found = word_spans(text), []
+    found = []
     for place, hits in by_item.items():
         merged: list[list[int]] = []
         for a, b in hits:  # in the order of their ends
@@ -155,7 +166,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min
                     continue
                 texts = batch.column(at).to_pylist()
                 for first, last in slices(texts):
-                    keep = [next(built.iter(f" {normalise(t)} "), None) is None if t else True for t in texts[first:last]]
+                    keep = [next(built.iter(f" {words_of(t)} "), None) is None if t else True for t in texts[first:last]]
                     yield batch.slice(first, last - first).filter(pa.array(keep, pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)

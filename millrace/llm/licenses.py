@@ -13,13 +13,14 @@ tokens that the text holds, wherever they are, make up MIN_COVERAGE. These runs
 whole batch with array operations. Tokens outside a template reset its automaton, so only
 stretches of MIN_MATCH or more known tokens are streamed. Nothing is skipped by either.
 
-Templates are single-line notices, and the files of license_texts: full texts and standard file
+Templates are single-line notices, SPDX tags, and the files of license_texts: full texts and standard file
 headers, NAME.txt or NAME.part.txt.
 
 Defined results: a null or empty text has no span; templates with fewer than MIN_MATCH
 tokens match nothing; of equal templates each is reported; a text that holds a
 notice several times has a span for each; where spans overlap, the one that covers most
-tokens holds (ties: the larger share, then the name). Repeated rows are reported each. Other columns
+tokens holds (ties: the larger share, then the name). Repeated rows are reported each. In a text whose
+characters combine otherwise as a whole than one by one, a span is the whole text. Other columns
 are not looked at.
 """
 
@@ -41,6 +42,7 @@ from .decontamination import word_spans
 from .textvec import gram_hashes, normalise, slices, word_hashes
 
 MIN_MATCH, MIN_COVERAGE, MAX_GAP = 3, 0.8, 8
+_WORD = re.compile(r"[^\W_]+")
 #: Most template tokens whose automaton is sent to the workers.
 MAX_TOKENS = 2_000_000
 
@@ -67,9 +69,14 @@ NOTICES: tuple[tuple[str, str], ...] = (
     ("ISC", "Released under the ISC License."),
     ("Unlicense", "Released into the public domain under the Unlicense."),
 )
+#: Identifiers that files carry in a tag; a tag names its license whole, so each is a notice.
+TAGS: tuple[tuple[str, str], ...] = tuple(
+    (re.sub(r"-(only|or-later)$", "", i), f"SPDX-License-Identifier: {i}")
+    for i in "MIT ISC Unlicense Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-1.1 MPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+)
 #: (license, text): full texts and standard file headers.
 TEXTS: tuple[tuple[str, str], ...] = tuple((re.split(r"\.[a-z]", p.name)[0], p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
-TEMPLATES = NOTICES + TEXTS
+TEMPLATES = NOTICES + TAGS + TEXTS
 SPANS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -311,7 +318,9 @@ class Scanner:
         for i, found in by_text.items():
             spans = self.chains(found)
             if spans:
-                chars = word_spans(texts[i])
+                chars = word_spans(texts[i], _WORD)[1]
+                if len(chars) != len(normalise(texts[i]).split()):  # marks that combine across characters: no word has its place
+                    chars = [(0, len(texts[i]))] * len(normalise(texts[i]).split())
                 for t, a, b, covered in spans:
                     yield i, self.templates[t][0], t, chars[a][0], chars[b - 1][1], covered, covered / self.sizes[t]
 

@@ -10,11 +10,12 @@ one, to the message before it. The conversation is put in reply order:
 every message right after the one it replies to and the replies that came
 before, threads in the order of turns.
 
-One shuffle brings a conversation together; the hash join within it is local.
+One shuffle brings a conversation's different messages together; the hash join within it is local. A conversation is
+one row of one task: its messages have to fit into that task's memory.
 
 Defined results: equal messages (turn, role and text) of a conversation count once; messages of one
-turn are in the order of role and text; a null turn comes last; rows with a null
-conv_id form one conversation; a null text is an empty message; a message of nothing but
+turn are in the order of role and text; a null turn comes last; each message with a null
+conv_id is a conversation of its own; a null text is an empty message; a message of nothing but
 quotations stays, with an empty text. A passage without an
 original is taken out too, and is counted in n_quotes but not in n_linked; its text is kept in
 unlinked. Other columns are not looked at.
@@ -169,4 +170,5 @@ def link_conversations(messages: DataFrame) -> DataFrame:
                 )
 
     source = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("m"))
-    return source.groupBy("conv_id").agg(F.collect_list("m").alias("m")).mapInArrow(lean(run), _DDL)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("m"))  # messages of no conversation don't meet
+    return source.groupBy("conv_id", alone.alias("alone")).agg(F.collect_set("m").alias("m")).select("conv_id", "m").mapInArrow(lean(run), _DDL)

@@ -10,8 +10,8 @@ a piece the count follows the recurrence of prefix BPE: the encoding of a
 byte string is the encoding of a shorter prefix plus one last token, namely the
 longest token t that ends the string and stays a token of its own after
 the last token of what is before it (merging both apart and together gives the same two
-tokens). Every distinct prefix is solved once a process and looked up from
-then on. Where the end of the text changes how it is split (runs of white
+tokens). The tokens that end at a byte come from one Aho-Corasick pass over the piece, and a
+piece is solved once a process and looked up from then on. Where the end of the text changes how it is split (runs of white
 space, contractions) the prefix's own split is taken.
 
 Counts are stored as differences, one signed byte a character (the few that don't fit
@@ -26,8 +26,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,9 +38,9 @@ from .bpe import PATTERN, RANKS, clean, encoding
 from .columns import with_computed
 
 BUDGETS = (128, 512, 2048)
-#: Solved prefixes that a process keeps; beyond, pieces that are new are solved each time.
+#: Pairs of tokens, and twice as many as pieces, that a process keeps; what is new beyond is solved each time.
 KEEP = 1_000_000
-SHIFT, MASK = 24, (1 << 24) - 1
+SHIFT = 24
 
 _SPLIT = regex.compile(PATTERN)
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -67,11 +67,14 @@ class PrefixCounts:
         self.tokens = [b""] * (max(self.vocabulary.values()) + 1)
         for token, i in self.vocabulary.items():
             self.tokens[i] = token
-        self.longest = max(map(len, self.vocabulary))
-        #: Prefix of a piece -> count << SHIFT | last token; the same with two tokens -> whether they stay.
-        self.solved: dict[bytes, int] = {b"": 0}
+        # finds the tokens that end at each byte, the longest first
+        self.endings = ahocorasick.Automaton()
+        for token, i in self.vocabulary.items():
+            self.endings.add_word(token.decode("latin-1"), (len(token), i))
+        self.endings.make_automaton()
+        #: Whether two tokens stay, and what is known of pieces.
         self.stays: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[bytes, int]] = {}
+        self.pieces: dict[str, tuple[bytes | np.ndarray, int]] = {}
 
     def _pair_stays(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b are encoded as the two tokens a and b."""
@@ -83,56 +86,36 @@ class PrefixCounts:
             known = self.stays[a << SHIFT | b] = both not in self.vocabulary and self.single(both) == [a, b]
         return known
 
-    def solve(self, s: bytes) -> int:
-        """Token count of one piece."""
-        solved, vocabulary = self.solved, self.vocabulary
-        known = solved.get(s)
-        if known is not None:
-            return known >> SHIFT
-        # shorter prefixes first, without recursion
-        first = len(s) - 1
-        while s[:first] not in solved:
-            first -= 1
-        for end in range(first + 1, len(s) + 1):
-            part = s[:end]
-            for size in range(min(end, self.longest), 0, -1):
-                last = vocabulary.get(part[end - size :])
-                if last is not None:
-                    before = solved[part[: end - size]]
-                    if end == size or self._pair_stays(before & MASK, last):
-                        solved[part] = (before >> SHIFT) + 1 << SHIFT | last
-                        break
-        return solved[s] >> SHIFT
-
-    def _long(self, s: bytes) -> list[int]:
-        """Counts of all prefixes of a piece too long to keep them as keys."""
+    def every(self, s: bytes) -> list[int]:
+        """Token counts of all prefixes of one piece."""
         counts, lasts = [0], [0]
-        for end in range(1, len(s) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                last = self.vocabulary.get(s[end - size : end])
-                if last is not None and (end == size or self._pair_stays(lasts[end - size], last)):
-                    counts.append(counts[end - size] + 1)
-                    lasts.append(last)
-                    break
+        stays, pair_stays = self.stays, self._pair_stays
+        for end, (size, last) in self.endings.iter(s.decode("latin-1")):
+            if len(counts) > end + 1:
+                continue  # a longer token ends here
+            before = end + 1 - size
+            if before:
+                known = stays.get(lasts[before] << SHIFT | last)
+                if not (pair_stays(lasts[before], last) if known is None else known):
+                    continue
+            counts.append(counts[before] + 1)
+            lasts.append(last)
         return counts
 
+    def solve(self, s: bytes) -> int:
+        """Token count of one piece."""
+        return self.every(s)[-1]
+
     def piece(self, piece: str) -> tuple[bytes | np.ndarray, int]:
         """(count after each character of a piece that stands alone, count of the whole)."""
         known = self.pieces.get(piece)
         if known is not None:
             return known
         raw = piece.encode("utf-8")
-        if piece.isascii():
-            ends: Iterable[int] = range(1, len(raw) + 1)
-        else:
+        if not piece.isascii():
             ends = np.cumsum([len(c.encode("utf-8")) for c in piece]).tolist()
-        full = len(self.solved) >= KEEP
-        if len(raw) > 100 or full:
-            every = self._long(raw)
-            counts = [every[e] for e in ends]
-        else:
-            self.solve(raw)
-            counts = [self.solve(raw[:e]) for e in ends]
+        every = self.every(raw)
+        counts = every[1:] if piece.isascii() else [every[e] for e in ends]
         if len(piece) == 3 and _CONTRACTION.fullmatch(piece):  # 'r, 'v and 'l alone are split in two
             counts[1] = len(self.single(raw[:1])) + len(self.single(raw[1:2]))
         made = (bytes(counts) if len(raw) <= 100 else np.array(counts, np.int64)), counts[-1]

@@ -2,12 +2,13 @@
 
 Each archive begins with a skippable frame that holds its Zstandard dictionary,
 trained on the archive's own records; then every record is a frame of its
-own, compressed with the dictionary, so that a record can be read by offset and length.
+own, compressed with the dictionary, so that a record can be read by offset and length. The first
+record is a warcinfo; the pages' WARC-Date, which no table has, is the time of the call unless it is given.
 Archives are cut from the partitions of the input as they are read, at
 ARCHIVE_BYTES of records: nothing is shuffled, and no task holds more than one archive.
 
 Defined results: a null url is written as urn:page:<page_id> (urn:page:unknown where
-that is null too), a null html as an empty body; repeated rows are archived each, and have
+that is null too), characters that a URI can't hold are percent-encoded as UTF-8, a null html is an empty body; repeated rows are archived each, and have
 the same WARC-Record-ID; an empty table makes no archive. Where
 there is too little to train on, the dictionary is the first records' raw content. Other
 columns are not looked at.
@@ -16,11 +17,13 @@ columns are not looked at.
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -32,7 +35,7 @@ from .columns import lean
 
 MAGIC = 0x184D2A5D
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL = 48 << 20, 112_640, 9
-DATE = "1970-01-01T00:00:00Z"
+_URI = "!#$%&'()*+,/:;=?@[]~"
 _KINDS = [("archive", pa.string()), ("record", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("raw_length", pa.int64()), ("frame", pa.binary())]
 FRAMES = "archive string, record int, page_id bigint, url string, offset bigint, length bigint, raw_length bigint, frame binary"
 
@@ -42,10 +45,20 @@ def _block(kind: str, headers: list[tuple[str, str]], content: bytes) -> bytes:
     return "\r\n".join(lines).encode() + content + b"\r\n\r\n"
 
 
-def record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
+def now() -> str:
+    return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def information(archive: str, date: str) -> bytes:
+    """The warcinfo record of an archive."""
+    content = "\r\n".join(["software: millrace", "format: WARC File Format 1.1", "conformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/", "", ""]).encode()
+    return _block("warcinfo", [("WARC-Date", date), ("WARC-Filename", archive), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive} {date}')}>"), ("Content-Type", "application/warc-fields")], content)
+
+
+def record(page_id: int | None, url: str | None, html: str | None, date: str) -> bytes:
     """A response record of a page."""
     body = (html or "").encode("utf-8", "replace")
-    target = "".join(c for c in url if c > " ") if url else f"urn:page:{'unknown' if page_id is None else page_id}"
+    target = quote("".join(c for c in url if c > " "), safe=_URI, errors="replace") if url else f"urn:page:{'unknown' if page_id is None else page_id}"
     head = ("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}", "", "")
     http = "\r\n".join(head).encode() + body
     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
@@ -99,16 +112,18 @@ def read_record(head: bytes, frame: bytes) -> bytes:
     return _unpacker(head[8:]).decompress(frame)
 
 
-def archive_frames(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
+def archive_frames(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str | None = None) -> DataFrame:
     """archive, record, page_id, url, offset, length, raw_length, frame: the frames of all archives in order; record -1 is the dictionary's.
 
-    The frames of an archive, joined in the order of record, are its file.
+    The frames of an archive, joined in the order of record, are its file; record 0 is its warcinfo, of no page.
     """
+    date = date or now()
 
     def close(name: str, keys: list[tuple], records: list[bytes]) -> Iterator[pa.RecordBatch]:
+        records = [information(name, date), *records]
         made = frames(records, level)
         rows, offset = [], 0
-        for k, (key, raw, frame) in enumerate(zip([(None, None), *keys], [0, *map(len, records)], made), -1):
+        for k, (key, raw, frame) in enumerate(zip([(None, None), (None, None), *keys], [0, *map(len, records)], made), -1):
             rows.append((name, k, *key, offset, len(frame), raw, frame))
             offset += len(frame)
             if len(rows) == 2000:
@@ -140,7 +155,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), _KINDS)], names=[n for n, _ in _KINDS])
 
 
-def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL, date: str | None = None) -> DataFrame:
     """Writes the archives into a folder that all executors share; archive, records, bytes of each.
 
     A file appears under its name only when it is whole, so a task that is run again

@@ -81,3 +81,19 @@ def test_very_long_text(docs_of, bench):
     text = "lorem ipsum " * 200_000 + ITEM + " dolor" * 100_000
     (row,) = D.find_leaks(docs_of([(1, text)]), bench([(1, ITEM)])).collect()
     assert text[row.start_char : row.end_char] == ITEM
+
+
+def test_scripts_without_spaces(docs_of, bench):
+    item = "请问这条河流的名字是什么为什么它会流过石头山谷里的老磨坊"
+    text = f"前言。{item[3:25]}，后记 and English words"
+    rows = D.find_leaks(docs_of([(1, text), (2, "这条河流很长"), (3, item)]), bench([(9, item)])).collect()
+    got = {r.doc_id: (text if r.doc_id == 1 else item)[r.start_char : r.end_char] for r in rows}
+    assert got == {1: item[3:25], 3: item}
+    assert {r.doc_id for r in D.drop_leaked(docs_of([(1, text), (2, "这条河流很长"), (3, item)]), bench([(9, item)])).collect()} == {2}
+
+
+def test_offsets_where_marks_combine_across_characters(docs_of, bench):
+    text = "\u1100\u1161\u11a8 " + ITEM.replace("e", "e\u0301", 3) + " \u0344\u0301 \ufdfa end"
+    rows = D.find_leaks(docs_of([(1, text)]), bench([(3, normalise(text)), (4, ITEM)])).collect()
+    spans = {r.item_id: text[r.start_char : r.end_char] for r in rows}
+    assert spans[3].startswith("\u1100") and "mill" in spans[4] and not spans[4].startswith("\u1100")

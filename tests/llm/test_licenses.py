@@ -93,3 +93,33 @@ def test_candidates_lose_nothing(monkeypatch):
     monkeypatch.setattr(scanner, "candidates", lambda runs: list(range(len(L.TEMPLATES))))
     scanner.least = 0
     assert got and list(scanner.scan(texts)) == got
+
+
+def test_spdx_tags(docs_of):
+    ids = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "BSD-3-Clause", "CC-BY-4.0"]
+    docs = docs_of([(k, f"# SPDX-License-Identifier: {i}\nimport os\n") for k, i in enumerate(ids)] + [(90, "// SPDX-License-Identifier: LicenseRef-Own\nint x;"), (91, "SPDX-License-Identifier:")])
+    assert {r.doc_id: r.license for r in L.scan_licenses(docs).collect()} == {k: i.removesuffix("-only").removesuffix("-or-later") for k, i in enumerate(ids)}
+
+
+def test_chains_cover_as_much_as_any_subset():
+    """Against every subset of the matches that advances in text and template with gaps of at most max_gap."""
+    from itertools import combinations
+
+    r = random.Random(10)
+    scanner = L.Scanner([("T", " ".join(f"w{i}" for i in range(20)))], min_match=1, min_coverage=0.01, max_gap=4)
+    for _ in range(150):
+        runs = []
+        for _ in range(r.randint(1, 6)):
+            n = r.randint(1, 5)
+            runs.append((0, r.randrange(25), r.randrange(20 - n + 1), n))
+
+        def covered(chain):
+            for (_, a, p, n), (_, b, q, m) in zip(chain, chain[1:]):
+                if not (b >= a + n and q >= p + n and b - a - n <= 4 and q - p - n <= 4):
+                    return 0
+            return sum(n for *_, n in chain)
+
+        ordered = sorted(set(runs), key=lambda x: (x[1], x[2]))
+        best = max(covered(c) for k in range(1, len(ordered) + 1) for c in combinations(ordered, k))
+        got = scanner.chains(sorted(set(runs)))
+        assert got and max(c for *_, c in got) >= best, (runs, got, best)  # a chain may also take part of a match

@@ -108,3 +108,38 @@ def test_against_brute_force_at_every_word():
             messages.append((t, "x", "\n".join([*lines, *(" ".join(r.choice("abcd") for _ in range(r.randint(1, 8))) for _ in range(2))])))
         got = [q for m in sorted(Q.link(messages), key=lambda m: m["turn"]) for q in m["quotes"]]
         assert got == brute_every_word(messages)
+
+
+def test_passages_of_generated_messages():
+    """Messages made from a known list of passages, nested, announced and parted in several ways."""
+    import random
+
+    r = random.Random(12)
+    said = ["On Mon, 3 Jun 2024 at 10:00, Ann Lee wrote:", "Am 3.6.2024 schrieb Jörg Weber:", "Le 3 juin Ann a écrit :", "El lunes Ana escribió:"]
+    for _ in range(300):
+        lines, want, own, depth = [], [], [], 0
+        for _ in range(r.randint(1, 6)):
+            if r.random() < 0.4:
+                text = [f"answer {r.randrange(99)} a > b" for _ in range(r.randint(1, 2))]
+                lines += text
+                own += text
+                depth = 0
+                continue
+            before, depth = depth, r.randint(1, 4)
+            passage = [f"words {r.randrange(999)} of it" for _ in range(r.randint(1, 3))]
+            if before == 0 and r.random() < 0.5:
+                lines += [r.choice(said)] + [""] * r.randint(0, 1)
+            elif before == depth:  # an empty line of the mark parts the two
+                lines.append(">" * depth)
+            mark = r.choice([">" * depth + " ", "> " * depth, " " + "> " * depth])
+            lines += [mark + x for x in passage]
+            want.append((depth, "\n".join(passage)))
+        text, got = Q.parse("\n".join(lines))
+        assert got == want, lines
+        assert [x for x in text.split("\n") if x] == own
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 0, "u", "hello there you"), (None, 1, "a", "> hello there you\nhi"), (None, 1, "a", "> hello there you\nhi")], "conv_id long, turn long, role string, text string")
+    rows = Q.link_conversations(df).collect()
+    assert sorted((r.n_messages, r.n_quotes, r.n_linked) for r in rows) == [(1, 0, 0), (1, 1, 0)]  # equal messages count once

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import SchemaError
+from ..errors import SchemaError, SourceFileVacuumed
+from ..sources.log import Add, Table
 
 AT, REASON = "__mr_column", "__mr_reason"
 
@@ -113,10 +115,14 @@ def quarantining(df: DataFrame, target: T.StructType) -> Parted:
     return Parted(marked, target, df.columns)
 
 
+#: Types whose values Spark's reader takes as any later one of the same row.
+_WIDENING = ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), (T.FloatType, T.DoubleType), (T.ByteType, T.ShortType, T.IntegerType, T.DoubleType))
+
+
 def may_read_as(physical: T.DataType, declared: T.DataType) -> bool:
     """Whether a file's column of one type can be read as a declared one without changing its meaning.
 
-    Spark's Parquet reader takes times of every unit as declared; what remains to be checked is
+    Spark's Parquet reader takes times of every unit as declared, and numbers as wider ones; the same holds for
     everything inside of structs, arrays and maps.
     """
     if isinstance(physical, T.StructType) and isinstance(declared, T.StructType):
@@ -126,5 +132,30 @@ def may_read_as(physical: T.DataType, declared: T.DataType) -> bool:
         return may_read_as(physical.elementType, declared.elementType)
     if isinstance(physical, T.MapType) and isinstance(declared, T.MapType):
         return may_read_as(physical.keyType, declared.keyType) and may_read_as(physical.valueType, declared.valueType)
-    times = (T.TimestampType, T.TimestampNTZType)
-    return type(physical) is type(declared) or isinstance(physical, times) and isinstance(declared, times)
+    if isinstance(physical, T.DecimalType) and isinstance(declared, T.DecimalType):
+        return declared.scale >= physical.scale and declared.precision - declared.scale >= physical.precision - physical.scale
+    times, kind, wanted = (T.TimestampType, T.TimestampNTZType), type(physical), type(declared)
+    return kind is wanted or kind in times and wanted in times or any(kind in row and wanted in row[row.index(kind) :] for row in _WIDENING)
+
+
+def refuse_unreadable(table: Table, files: list[tuple[int, Add]], schema: T.StructType) -> None:
+    """Raises SchemaError for the first column of a file that can't be read as declared; from the files' footers, of local stores."""
+    if not table.store.local:
+        return
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    for version, add in files:
+        try:
+            physical = pq.read_schema(table.store.path(add.path))
+        except FileNotFoundError:
+            raise SourceFileVacuumed(table.uri, version, add.path) from None
+        for f in schema:
+            at = physical.get_field_index(f.name)
+            if at < 0:
+                continue
+            try:
+                kind = from_arrow_type(physical.field(at).type)
+            except Exception:  # a type that Spark has no name for: the reader will say
+                continue
+            if not may_read_as(kind, f.dataType):
+                raise SchemaError(f"{table.uri}: {f.name} is {kind.simpleString()} in {add.path}, of version {version}, but declared as {f.dataType.simpleString()}")

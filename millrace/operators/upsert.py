@@ -245,8 +245,8 @@ def _plain(path: str) -> str:
     return place if parsed.scheme in ("", "file") else f"{parsed.scheme}://{parsed.netloc}{place}"
 
 
-def preflight(spark: SparkSession, table: Table, keys: Keys, check_grain: bool = True) -> None:
-    """Columns, lookback, append-only and one row a key."""
+def preflight(spark: SparkSession, table: Table, keys: Keys, check_grain: bool = True, memory: int | None = None) -> int:
+    """Columns, lookback, append-only and one row a key; the passes of the last, 0 if it is left out."""
     snapshot = table.snapshot()
     for c in (keys.key, *keys.order):
         if c not in snapshot.schema.names:
@@ -257,10 +257,10 @@ def preflight(spark: SparkSession, table: Table, keys: Keys, check_grain: bool =
         raise ConfigError(f"{table.uri} is append-only; an upsert can't change it")
     if not check_grain:
         log.warning("%s: whether %s is unique isn't checked", table.uri, keys.key)
-        return
+        return 0
     from ..sources.scan import read_snapshot
 
     try:
-        grain.check(read_snapshot(spark, table, snapshot, [keys.key]), [keys.key], table.uri)
+        return grain.check(read_snapshot(spark, table, snapshot, [keys.key]), [keys.key], table.uri, memory)
     except SchemaError as e:
         raise SchemaError(f"{e}; remove the repeats before upserting") from None

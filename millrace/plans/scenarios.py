@@ -462,6 +462,45 @@ def upsert_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT 4 AS passes, true AS unique, CAST(count(*) AS BIGINT) AS rows FROM (SELECT DISTINCT n_nationkey FROM nation)")
+def key_check_in_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 keys in memory for seven at a time; one that is there twice is met in its pass."""
+    df = read_snapshot(spark, _nations(spark, sf_dir, 1))
+    n = grain.check(df, ["n_nationkey"], memory=64)
+    try:
+        grain.check(df.union(df.filter("n_nationkey = 17")), ["n_nationkey"], memory=64)
+        unique = False
+    except MillraceError:
+        unique = True
+    return spark.createDataFrame([(n, unique, df.count())], "passes int, unique boolean, rows long")
+
+
+@query(_told(("as declared", None), ("wider number", None), ("text for a number", "SchemaError"), ("time of another unit", None), ("inside a struct", "SchemaError")))
+def files_as_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of another writer can be read in a table's declared types."""
+    folder = workspace(spark)
+    base = table(spark, sf_dir, "nation").coalesce(1)
+
+    def check(name: str, declared: str, *columns: str) -> Callable:
+        made = Table(f"{folder}/{name.replace(' ', '-')}")
+        df = base.selectExpr(*columns)
+        made.create(df.schema)
+        append(made, df)
+        batch = LogStream(made).next_batch()
+        return lambda: coerce.refuse_unreadable(made, batch.files, T._parse_datatype_string(declared))
+
+    return _refused(
+        spark,
+        [
+            ("as declared", check("as declared", "k int, n string", "cast(n_nationkey as int) AS k", "n_name AS n")),
+            ("wider number", check("wider number", "k bigint", "cast(n_nationkey as int) AS k")),
+            ("text for a number", check("text for a number", "k bigint", "n_name AS k")),
+            ("time of another unit", check("time of another unit", "t timestamp_ntz", "timestamp_millis(n_nationkey) AS t")),
+            ("inside a struct", check("inside a struct", "s struct<a: bigint>", "struct(n_name AS a) AS s")),
+        ],
+    )
+
+
 @query("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS keys, count(DISTINCT user_id) = count(*) AS one_each FROM events")
 def key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("user_id")

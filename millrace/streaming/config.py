@@ -149,6 +149,8 @@ class Resolved:
     publish: PublishModel | None = None
     #: Bytes of memory that this pipeline's share of max_memory is.
     memory: int | None = None
+    #: Bytes that the uniqueness check keeps to, in as many passes as that takes.
+    grain_memory: int | None = None
 
 
 @dataclass
@@ -325,6 +327,7 @@ def resolve_one(p: PipelineConfig, d: Defaults, spark: SparkSession | None = Non
         p.name, p.app_id, p.source_uri, p.target_uri, p.lookups, p.starting_version, policy, p.transform_sql, latency, size, files, rows, parse_bytes(p.target_file_size or d.target_file_size),
         p.watermark_uri, p.dedup_timestamp, p.dedup_key, p.write_mode, key if p.write_mode != "append" else None, parse_lookback(p.upsert_lookback) if p.upsert_lookback else None,
         tuple(p.upsert_tiebreak), p.upsert_grain_check, p.dq_uri, p.stage_for, p.source_relation, p.target_relation, p.publish,
+        grain_memory=parse_bytes(d.max_grain_check_memory) if d.max_grain_check_memory else None,
     )
 
 

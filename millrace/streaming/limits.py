@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import threading
 import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.sql import SparkSession
+
 from ..errors import CapacityError, ConfigError
 
 LEAST_SPILL = 1_000_000
@@ -56,6 +60,18 @@ def check_spill(folder: str | None, most_bytes: int | None) -> None:
             raise ConfigError(f"{folder} can't be spilled into: {e}") from None
 
 
+def spilled(spark: SparkSession, folder: str | None, most_bytes: int | None) -> dict[str, int]:
+    """Process series about spilling: bytes over the stages that Spark remembers, the limit that is set, and the room there is."""
+    memory = disk = 0
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    for k in range(stages.size()):
+        memory, disk = memory + stages.apply(k).memoryBytesSpilled(), disk + stages.apply(k).diskBytesSpilled()
+    place = folder or spark.conf.get("spark.local.dir", None) or tempfile.gettempdir()
+    free = shutil.disk_usage(place).free if os.path.isdir(place) else 0
+    return {"spill_memory_bytes": memory, "spill_disk_bytes": disk, "spill_limit_bytes": most_bytes or 0, "spill_free_bytes": free}
+
+
 def is_capacity(error: BaseException) -> bool:
     """Whether memory or disk ran out, so that trying again soon won't help."""
     text = str(error)

@@ -41,7 +41,7 @@ SERIES: dict[str, tuple[str, str]] = {
     "publish_rows": ("counter", "Rows sent in messages."),
     "publish_bytes": ("counter", "Bytes sent in messages."),
     "capacity_exhausted": ("gauge", "1 while memory or disk has run out."),
-    "grain_check_passes": ("gauge", "Passes of the last uniqueness check; it takes one."),
+    "grain_check_passes": ("gauge", "Passes of the last uniqueness check; 0 where it is off."),
     "publish_configured": ("gauge", "1 if the pipeline publishes."),
 }
 
@@ -50,7 +50,7 @@ class Metrics:
     def __init__(self, pipeline: str, clock: Callable[[], float] = time.time):
         self.pipeline, self.clock = pipeline, clock
         self.values = dict.fromkeys(SERIES, 0)
-        self.values |= {"last_source_version": -1, "source_head_version": -1, "pipeline_config_valid": 1, "grain_check_passes": 1}
+        self.values |= {"last_source_version": -1, "source_head_version": -1, "pipeline_config_valid": 1}
         self.progressed_at = clock()
         self._lock = threading.Lock()
 

@@ -64,7 +64,8 @@ class Pipeline:
         start = self._resume(source, target)
         if self.keys:
             with (preflights or Gate()).entered():
-                upsert.preflight(spark, self.target, self.keys, s.upsert_grain_check == "always")
+                passes = upsert.preflight(spark, self.target, self.keys, s.upsert_grain_check == "always", s.grain_memory)
+                self.metrics.set(grain_check_passes=passes)
         self.letters = dead_letter.open_table(s.dq_uri or dead_letter.default_uri(s.target_uri))
         self._known_lookups(target)
         self.stream = LogStream(self.source, Cursor(start), s.change_policy, s.max_files_per_batch, s.max_bytes_per_batch, one_commit=bool(self.lookups), memory=s.memory)
@@ -143,6 +144,7 @@ class Pipeline:
     def _run(self, batch) -> Outcome:
         s = self.settings
         pinned = [lookup.pin(x, batch.committed_at) for x in self.lookups]
+        coerce.refuse_unreadable(self.source, batch.files, batch.schema)
         source = read_files(self.spark, self.source, batch.files, batch.schema, batch.partitions, ordered=self.keys is not None)
         rows = self.transform.apply(source, {p.lookup.name: p.read(self.spark) for p in pinned})
         target = self.target.snapshot()

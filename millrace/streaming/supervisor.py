@@ -12,8 +12,9 @@ from pyspark.sql import SparkSession
 
 from ..errors import MillraceError, SourceFileVacuumed
 from ..operators.publish import Publisher, WebPubSub
+from ..sources.stream import parse_bytes
 from .config import Config, PublishConfig, Resolution, Resolved
-from .limits import Gate, is_capacity
+from .limits import Gate, is_capacity, spilled
 from .metrics import Metrics, text
 from .pipeline import Pipeline
 
@@ -48,7 +49,9 @@ class Supervisor:
             self.metrics[name].set(pipeline_config_valid=0)
 
     def page(self) -> str:
-        return text(list(self.metrics.values()), {"merges_in_flight": self.merges.inside, "preflights_in_flight": self.preflights.inside})
+        d = self.config.defaults
+        spill = spilled(self.spark, d.temp_directory, parse_bytes(d.max_temp_directory_size) if d.max_temp_directory_size else None)
+        return text(list(self.metrics.values()), {"merges_in_flight": self.merges.inside, "preflights_in_flight": self.preflights.inside} | spill)
 
     def _open(self, settings: Resolved) -> Pipeline:
         publisher = publisher_for(settings, self.publish)

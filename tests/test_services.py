@@ -344,7 +344,7 @@ def test_once_run_and_metrics(spark, tables):
     supervisor = Supervisor(spark, config, C.resolve(config, spark))
     assert supervisor.run(once=True) == {} and read_snapshot(spark, tables[1]).count() == 8
     page = supervisor.page()
-    assert 'millrace_rows_written_total{pipeline="p"} 8' in page and "millrace_merges_in_flight 0" in page and page.count("# TYPE") == len(metrics.SERIES) + 2
+    assert 'millrace_rows_written_total{pipeline="p"} 8' in page and "millrace_merges_in_flight 0" in page and page.count("# TYPE") == len(metrics.SERIES) + 6
     thread = threading.Thread(target=supervisor.run)
     thread.start()
     append(tables[0], spark.createDataFrame([(99, "z")], FLAT))
@@ -396,3 +396,11 @@ def test_command_line(spark, tables, tmp_path):
     code, text = say("dbt", "convert", str(tmp_path / "manifest.json"), "--uri-template", "/l/{schema}/{name}", "-s", "priced")
     assert code == 0 and len(C.parse(text).pipelines) == 1
     assert say("once", "-c", "/nowhere.toml")[0] == 2
+
+
+def test_spill_series(spark):
+    spark.range(300_000).selectExpr("id % 7 AS k", "repeat('x', 50) AS v").repartition(2).sort("v").count()
+    page = Supervisor(spark, C.Config(defaults=C.Defaults(max_temp_directory_size="1GB")), C.Resolution()).page()
+    values = {line.split()[0]: int(line.split()[1]) for line in page.splitlines() if line.startswith("millrace_spill")}
+    assert set(values) == {f"millrace_spill_{x}_bytes" for x in ("memory", "disk", "limit", "free")}
+    assert values["millrace_spill_limit_bytes"] == 10**9 and values["millrace_spill_free_bytes"] > 0

@@ -142,20 +142,12 @@ class Stats:
 
 
 def render(df: DataFrame, most_bytes: int = MAX_PAYLOAD) -> Rendered:
-    """The rows as JSON values. Beyond the size no rows, but still their number; the driver never holds much more than that."""
-    rows: list[dict] = []
-    size, first = 0, None
-    made = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
-    # rows are fetched a partition at a time, and no further ones once the message is full
-    for n, (text,) in enumerate(made.toLocalIterator()):
-        size += len(text) + 1
-        if size > most_bytes:
-            first = n
-            break
-        rows.append(json.loads(text))
-    if first is None:
-        return Rendered(rows, len(rows), True)
-    return Rendered([], df.count(), False)
+    """The rows as JSON values. Beyond the size no rows, but still their number: rows are fetched only when they are known to fit."""
+    made = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row"))
+    count, size = made.agg(F.count("row"), F.coalesce(F.sum(F.octet_length("row") + 1), F.lit(0))).first()
+    if size > most_bytes:
+        return Rendered([], count, False)
+    return Rendered([json.loads(text) for (text,) in made.collect()], count, True)  # at most so many bytes
 
 
 class Publisher:

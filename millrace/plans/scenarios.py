@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import http.server
+import io
 import json
-import os
+import shutil
+import tempfile
+import threading
+import time
+import urllib.parse
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import MillraceError
+from ..errors import LogError, MillraceError
 from ..operators import coerce, dead_letter, dedup, grain, lookup, publish, upsert
-from ..sources.log import Remove, Table
+from ..sources import catalog
+from ..sources.log import HadoopStore, Remove, Table
 from ..sources.scan import read_files, read_snapshot
 from ..sources.sink import Offset, append, commit, write_files
 from ..sources.stats import provably_below
 from ..sources.stream import Cursor, LogStream, Policy
 from ..streaming import config as C
+from ..streaming import metrics
+from ..streaming.limits import Gate
 from ..streaming.pipeline import Pipeline
 from . import dbt
 from .catalogue import MANIFEST, _over, committed, query, settings, table, workspace
@@ -348,14 +358,14 @@ def role_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey < 20")
+@query("SELECT n_name FROM nation")
 def lookup_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup that another table has taken the place of, used as it is now."""
     now = _nations(spark, sf_dir)
     one = lookup.Lookup("x", now.uri, lookup.Identity.USE_CURRENT, known_id="another")
     pinned = lookup.pin(one, 0)
     assert dict(pinned.extra())["millrace.lookup.x.current"] == "true"
-    return pinned.read(spark).filter("n_nationkey < 20").select("n_name")
+    return pinned.read(spark).select("n_name")
 
 
 @query(_told(("strict, replaced", "LogError"), ("current, replaced", None), ("no version so old", "LogError"), ("version for earlier rows", None), ("a name of the source", "ConfigError")))
@@ -618,6 +628,241 @@ def dbt_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = dbt.convert(dbt.parse(json.dumps(MANIFEST)), C.StorageConfig(uri_template="/lake/{schema}/{name}"), spark)
     return spark.createDataFrame([(p.name, p.target_uri) for p in made], "pipeline string, target string")
 
+# ---- running ----
+
+
+class _Doubled:
+    """A change of a batch in code instead of SQL."""
+
+    def apply(self, batch: DataFrame, lookups=None) -> DataFrame:
+        return batch.withColumn("n_nationkey", F.col("n_nationkey") * 2)
+
+    def describe(self) -> str:
+        return "doubled keys"
+
+
+@query("SELECT CAST(2 * n_nationkey AS BIGINT) AS n_nationkey, n_name, n_regionkey FROM nation")
+def transform_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _nations(spark, sf_dir)
+    target = Table(f"{workspace(spark)}/target")
+    target.create_like(source)
+    Pipeline(spark, settings(source, target), transform=_Doubled()).run_once()
+    return read_snapshot(spark, target)
+
+
+class _Raced(Table):
+    """A table into which someone else commits right before this writer's first commit."""
+
+    rival: Callable | None = None
+
+    def write_commit(self, version: int, actions) -> None:
+        rival, self.rival = self.rival, None
+        if rival:
+            rival()
+        super().write_commit(version, actions)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey < 10 THEN 'rival' WHEN n_nationkey < 20 THEN 'batch' ELSE 'old' END AS n_name, 2 AS attempts FROM nation")
+def merge_planned_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between plan and commit another writer changes the first ten rows; the merge is planned again on them."""
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.lit("old").alias("n_name"), F.lit(1).alias("seq"))
+    target = _Raced(f"{workspace(spark)}/target")
+    target.create(df.schema)
+    append(target, df)
+    keys = upsert.Keys("n_nationkey", "seq")
+    newer = lambda name, seq: df.withColumn("n_name", F.lit(name)).withColumn("seq", F.lit(seq))
+    target.rival = lambda: upsert.merge(spark, Table(target.uri), newer("rival", 3).filter("n_nationkey < 10"), keys, df.columns, None)
+    made = upsert.merge(spark, target, newer("batch", 2).filter("n_nationkey < 20"), keys, df.columns, None)
+    return read_snapshot(spark, Table(target.uri)).select("n_nationkey", "n_name", F.lit(made.attempts).alias("attempts"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE n_name END AS n_name FROM nation")
+def upsert_never_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the batch doesn't have stay."""
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    target = Table(f"{workspace(spark)}/target")
+    target.create(df.withColumn("seq", F.lit(1)).schema)
+    append(target, df.withColumn("seq", F.lit(1)))
+    upsert.merge(spark, target, df.filter("n_nationkey % 2 = 0").select("n_nationkey", F.upper("n_name").alias("n_name"), F.lit(2).alias("seq")), upsert.Keys("n_nationkey", "seq"), ["n_nationkey", "n_name", "seq"], None)
+    return read_snapshot(spark, target).select("n_nationkey", "n_name")
+
+
+@query("SELECT 2 AS most_inside, 6 AS entered")
+def merge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six merges, of which two run at a time."""
+    made, lock, seen = Gate(2), threading.Lock(), []
+
+    def one(_: int) -> None:
+        with made.entered():
+            with lock:
+                seen.append(made.inside)
+            time.sleep(0.02)
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(one, range(6)))
+    return spark.createDataFrame([(max(seen), len(seen))], "most_inside int, entered int")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def table_on_hadoop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log and its files reached by Spark's file systems alone."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    folder = workspace(spark)
+    made = Table(folder)
+    made.store = HadoopStore(folder if ":" in folder else f"file:{folder}")
+    made.create(df.schema, ["o_orderpriority"])
+    append(made, df, Offset("mr.h", 7))
+    assert made.last_txn("mr.h") == 7
+    return read_snapshot(spark, made)
+
+
+@query(
+    "SELECT * FROM (VALUES ('follows an upsert', 'rejected'), ('follows, ignoring changes', 'runs'), ('up', 'runs'), ('staged__apply', 'runs'), ('staged__ingest', 'runs'), ('reads a stage', 'rejected')) AS t(name, state)"
+)
+def settings_between_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who may read an upserted table, or a stage."""
+    upserts = {"write_mode": "upsert", "upsert_key": "k", "dedup_timestamp": "ts"}
+    made = C.resolve(
+        C.Config(
+            [
+                _pipeline(name="up", app_id="1", target_uri="/up", **upserts),
+                _pipeline(name="follows an upsert", app_id="2", source_uri="/up", target_uri="/a"),
+                _pipeline(name="follows, ignoring changes", app_id="3", source_uri="/up", target_uri="/b", change_policy="ignore_changes", **upserts),
+                _pipeline(name="staged", app_id="4", target_uri="/st", **(upserts | {"write_mode": "staged_upsert"})),
+                _pipeline(name="reads a stage", app_id="5", source_uri=C.stage_uri("/st"), target_uri="/c"),
+            ]
+        ),
+        spark,
+    )
+    return spark.createDataFrame([(r.name, "runs") for r in made.pipelines] + [(n, "rejected") for n in made.rejected], "name string, state string")
+
+
+_PUBLISHED: list[tuple[str, bool, dict]] = [
+    ("plain", True, {"publish": C.PublishModel("m", "plain")}),
+    ("aggregate", True, {"publish": C.PublishModel("m", "agg", "SELECT count(*) AS n FROM source")}),
+    ("window", False, {"publish": C.PublishModel("m", "win", "SELECT row_number() OVER (ORDER BY a) AS n FROM source")}),
+    ("bad group", False, {"publish": C.PublishModel("m", "a/b")}),
+    ("other kind", False, {"publish": C.PublishModel("m", "kind", kind="fax")}),
+    ("upsert", False, {"publish": C.PublishModel("m", "ups"), "write_mode": "upsert", "upsert_key": "k", "dedup_timestamp": "ts"}),
+    ("shared one", False, {"publish": C.PublishModel("m", "same")}),
+    ("shared two", False, {"publish": C.PublishModel("m", "same")}),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', true, {str(ok).lower()})" for n, ok, _ in _PUBLISHED) + ") AS t(name, runs, publishes)")
+def settings_of_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A publication that can't be never stops its pipeline."""
+    made = C.resolve(C.Config([_pipeline(name=n, app_id=n, target_uri=f"/{n}", **more) for n, _, more in _PUBLISHED], publish=C.PublishConfig(connection_string="Endpoint=http://h;AccessKey=k;")), spark)
+    runs = {r.name: r.publish is not None for r in made.pipelines}
+    return spark.createDataFrame([(n, n in runs, runs.get(n, False)) for n, *_ in _PUBLISHED], "name string, runs boolean, publishes boolean")
+
+
+@query("SELECT * FROM (VALUES ('default target', 'dev'), ('named target', 'prod'), ('no such target', 'ConfigError'), ('no such profile', 'ConfigError'), ('several profiles', 'ConfigError')) AS t(name, chosen)")
+def dbt_profile_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = {"p": {"target": "dev", "outputs": {"dev": {"host": "dev"}, "prod": {"host": "prod"}}}}
+    rows = []
+    for name, asked in (("default target", (one,)), ("named target", (one, None, "prod")), ("no such target", (one, None, "none")), ("no such profile", (one, "q")), ("several profiles", (one | {"q": {}},))):
+        try:
+            rows.append((name, catalog.output(*asked)["host"]))
+        except MillraceError as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "name string, chosen string")
+
+
+@query("SELECT * FROM (VALUES (0, '/first/s'), (1, '/second/s'), (2, '/second/s')) AS t(poll, source)")
+def relocated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that moves, and a catalog that is silent at the third poll."""
+    answers = iter(("/first/s", "/second/s", None))
+
+    def find(relation: str) -> str:
+        place = next(answers)
+        if place is None:
+            raise LogError("silent")
+        return place
+
+    located = catalog.Located(find)
+    own = C.Resolved("p", "mr.p", "/s", "/t", source_relation="lake.bronze.s")
+    return spark.createDataFrame([(k, located(own).source_uri) for k in range(3)], "poll int, source string")
+
+
+@query("SELECT CAST(k AS INT) AS failures, true AS near FROM range(1, 13) t(k)")
+def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubling from a second to five minutes, 25 % more or less, and the same again for one pipeline."""
+    from ..streaming.supervisor import backoff
+
+    rows = []
+    for k in range(1, 13):
+        base, wait = min(300.0, 2.0 ** (k - 1)), backoff(k, "p")
+        rows.append((k, 0.75 * base <= wait <= 1.25 * base and wait == backoff(k, "p")))
+    return spark.createDataFrame(rows, "failures int, near boolean")
+
+
+@query("SELECT 'rows_written_total' AS series, CAST(count(*) AS BIGINT) AS value FROM nation UNION ALL SELECT 'batches_committed_total', 3 UNION ALL SELECT 'last_source_version', 5 UNION ALL SELECT 'source_lag_versions', 0")
+def metrics_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run of three batches, as the page shows them."""
+    source = _nations(spark, sf_dir)
+    target = Table(f"{workspace(spark)}/target")
+    target.create_like(source)
+    own = metrics.Metrics("demo")
+    Pipeline(spark, settings(source, target, max_files_per_batch=2), metrics=own).run_once()
+    shown = dict(line.split('{pipeline="demo"} ') for line in metrics.text([own]).splitlines() if '{pipeline="demo"} ' in line)
+    wanted = ("rows_written_total", "batches_committed_total", "last_source_version", "source_lag_versions")
+    return spark.createDataFrame([(n, int(shown[f"millrace_{n}"])) for n in wanted], "series string, value long")
+
+
+@query("SELECT * FROM (VALUES ('validate', 0), ('once', 0), ('status', 0), ('validate a bad file', 1), ('once a bad file', 1)) AS t(command, code)")
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of commands over a file with one pipeline, and over one whose pipeline can't run."""
+    from ..streaming import cli
+
+    source = _nations(spark, sf_dir)
+    folder = tempfile.mkdtemp(prefix="millrace-")  # the command line reads its settings on the driver
+    try:
+        target = Table(f"{workspace(spark)}/target")
+        target.create_like(source)
+        for name, app in (("good", "mr.p"), ("bad", "")):
+            with open(f"{folder}/{name}.toml", "w") as f:
+                f.write(f'[[pipeline]]\nname = "p"\napp_id = "{app}"\nsource_uri = "{source.uri}"\ntarget_uri = "{target.uri}"\n')
+        rows = [(command, cli.main([*command.split()[:1], "-c", f"{folder}/{'bad' if 'bad' in command else 'good'}.toml"], spark, io.StringIO())) for command in ("validate", "once", "status", "validate a bad file", "once a bad file")]
+    finally:
+        shutil.rmtree(folder, True)
+    return spark.createDataFrame(rows, "command string, code int")
+
+
+@query("SELECT n_name AS relation, '/lake/' || n_nationkey AS place FROM nation")
+def catalog_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked of a server on this machine that speaks the catalog's protocol, two pages an answer."""
+    places = {r.n_name: f"/lake/{r.n_nationkey}" for r in table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, value: dict) -> None:
+            body = json.dumps(value).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self) -> None:
+            said = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            name = said.removeprefix('SHOW CREATE TABLE "').rstrip('"')
+            self.answer({"nextUri": f"http://127.0.0.1:{self.server.server_port}/{urllib.parse.quote(name)}"})
+
+        def do_GET(self) -> None:
+            name = urllib.parse.unquote(self.path[1:])
+            self.answer({"data": [[f"CREATE TABLE x (\n a bigint\n)\nWITH (\n location = '{places[name]}'\n)"]]})
+
+        def log_message(self, *_) -> None:
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        there = catalog.Connection(f"http://127.0.0.1:{server.server_port}", "u")
+        return spark.createDataFrame([(n, catalog.location(there, n)) for n in places], "relation string, place string")
+    finally:
+        server.shutdown()
+        server.server_close()
+
 
 # ---- built-in functions ----
 

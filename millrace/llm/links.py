@@ -137,11 +137,15 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges, of 16 bytes, that one task takes: some 100 MB as Python has them.
+FEW_EDGES = 500_000
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """u, v: every node of the edges that isn't the smallest of its connected component, with the smallest.
 
-    Trees within partitions first, then rounds of large-star and small-star
-    (Kiveris et al., 2014) until the edges stay the same.
+    Trees within partitions first. What is left of up to FEW_EDGES is joined in one task; beyond, rounds of large-star and
+    small-star (Kiveris et al., 2014) go on until the edges stay the same.
     """
     edges = settled(edges.toDF("u", "v").filter("u != v").mapInArrow(lean(_local_forest), "u bigint, v bigint"))
     state = None
@@ -149,6 +153,8 @@ def components(edges: DataFrame) -> DataFrame:
         sums = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sums) == state or not sums[0]:
             return edges
+        if sums[0] <= few:
+            return edges.repartition(1).mapInArrow(lean(_local_forest), "u bigint, v bigint")
         state = tuple(sums)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

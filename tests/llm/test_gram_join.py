@@ -147,8 +147,9 @@ def test_pairs_within_in_slices(monkeypatch):
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (200, 201), (201, 202)], "a long, b long").repartition(4)
-    got = {(r.u, r.v) for r in L.components(edges).collect()}
-    assert got == {(i, 0) for i in range(1, 51)} | {(101, 100), (201, 200), (202, 200)}
+    for few in (0, 3, L.FEW_EDGES):
+        got = {(r.u, r.v) for r in L.components(edges, few).collect()}
+        assert got == {(i, 0) for i in range(1, 51)} | {(101, 100), (201, 200), (202, 200)}
 
 
 def test_each_group_has_its_own_partition(spark):

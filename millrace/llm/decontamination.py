@@ -109,15 +109,14 @@ def matches(built, text: str | None, places: list[int | None]) -> list[tuple[int
     return sorted(found, key=lambda m: (m[0] is None, m[0] or 0, m[1]))
 
 
-def _chunks(benchmark: DataFrame, max_chars: int) -> list[list[tuple[int | None, str | None]]]:
-    """The items, in lists of which each makes one automaton of a checked size."""
+def _chunks(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items, in lists of which each makes one automaton of a checked size; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // max_chars) or 1
-    if n == 1:
-        return [[(r[0], r[1]) for r in items.collect()]]
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r[0], r[1]) for r in items.filter(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r[0], r[1]) for r in (items if n == 1 else items.filter(part == k)).collect()]
 
 
 def _built(token: str, shared, window: int, min_words: int):

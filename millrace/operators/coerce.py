@@ -138,17 +138,24 @@ def may_read_as(physical: T.DataType, declared: T.DataType) -> bool:
     return kind is wanted or kind in times and wanted in times or any(kind in row and wanted in row[row.index(kind) :] for row in _WIDENING)
 
 
-def refuse_unreadable(table: Table, files: list[tuple[int, Add]], schema: T.StructType) -> None:
-    """Raises SchemaError for the first column of a file that can't be read as declared; from the files' footers, of local stores."""
+def refuse_unreadable(table: Table, files: list[tuple[int, Add]], schema: T.StructType) -> tuple[int, int]:
+    """Raises SchemaError for the first column of a file that can't be read as declared; else (bytes stored, bytes decoded).
+
+    Both come from the files' footers, of local stores; others give (0, 0) and are left to the reader.
+    """
+    stored = decoded = 0
     if not table.store.local:
-        return
+        return 0, 0
     from pyspark.sql.pandas.types import from_arrow_type
 
     for version, add in files:
         try:
-            physical = pq.read_schema(table.store.path(add.path))
+            with pq.ParquetFile(table.store.path(add.path)) as footer:
+                physical, meta = footer.schema_arrow, footer.metadata
         except FileNotFoundError:
             raise SourceFileVacuumed(table.uri, version, add.path) from None
+        stored += add.size
+        decoded += sum(meta.row_group(g).total_byte_size for g in range(meta.num_row_groups))
         for f in schema:
             at = physical.get_field_index(f.name)
             if at < 0:
@@ -159,3 +166,4 @@ def refuse_unreadable(table: Table, files: list[tuple[int, Add]], schema: T.Stru
                 continue
             if not may_read_as(kind, f.dataType):
                 raise SchemaError(f"{table.uri}: {f.name} is {kind.simpleString()} in {add.path}, of version {version}, but declared as {f.dataType.simpleString()}")
+    return stored, decoded

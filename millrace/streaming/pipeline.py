@@ -144,7 +144,7 @@ class Pipeline:
     def _run(self, batch) -> Outcome:
         s = self.settings
         pinned = [lookup.pin(x, batch.committed_at) for x in self.lookups]
-        coerce.refuse_unreadable(self.source, batch.files, batch.schema)
+        self.stream.observe(*coerce.refuse_unreadable(self.source, batch.files, batch.schema))
         source = read_files(self.spark, self.source, batch.files, batch.schema, batch.partitions, ordered=self.keys is not None)
         rows = self.transform.apply(source, {p.lookup.name: p.read(self.spark) for p in pinned})
         target = self.target.snapshot()

@@ -78,6 +78,7 @@ def quoted(name: str) -> str:
 def with_computed(docs: DataFrame, added: list[T.StructField], compute: Callable[[list[str | None]], list], column: str = "text", chars: int = 1_500_000) -> DataFrame:
     """docs with one column more for each of added, from compute(texts) -> one list or Arrow array per column.
 
+    The column of texts is found whatever the case of its name; of several that differ in case, the one written as asked.
     Input columns that have the name of an added one are replaced, whatever
     their case; all others pass through untouched. Rows are handed over in
     runs of about `chars` characters, so that long texts don't add up in memory.

@@ -66,7 +66,7 @@ class Written:
 #: Files from which their footers are read by the executors.
 MANY_FILES = 64
 _SIZING = threading.Lock()
-_ADVISED, _MANY = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+_ADVISED, _MANY, _LEAST = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 
 
 def _write(rows: DataFrame, partitions: list[str], path: str, file_size: int | None) -> None:
@@ -82,9 +82,10 @@ def _write(rows: DataFrame, partitions: list[str], path: str, file_size: int | N
         return
     conf = rows.sparkSession.conf
     with _SIZING:  # the settings are the session's
-        before = {k: conf.get(k, None) for k in (_ADVISED, _MANY)}
+        before = {k: conf.get(k, None) for k in (_ADVISED, _MANY, _LEAST)}
         conf.set(_ADVISED, str(file_size))
         conf.set(_MANY, "false")
+        conf.set(_LEAST, str(min(file_size, 1 << 20)))
         try:
             write(rows.hint("rebalance", *columns))
         finally:

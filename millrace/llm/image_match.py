@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import lean
-from .links import AT_ONCE, group_of_parts, layout, linked, linked_rows, pairs_within, settled
+from .links import AT_ONCE, block_keys, block_of, group_of_parts, layout, linked, linked_rows, own_partitions, pairs_within, settled
 from .textvec import mix
 
 BITS, LEAST_KEY_BITS, REACH, CHANCE = 256, 26, 40, 0.42
@@ -387,7 +387,7 @@ def _cells(length: int, cells: int):
     return run
 
 
-_POSTINGS = "group bigint, part bigint, whole boolean, names binary, counts binary, corners binary, keys binary, sketches binary"
+_POSTINGS = "group int, part bigint, whole boolean, names binary, counts binary, corners binary, keys binary, sketches binary"
 
 
 def _least_bytes(x: np.ndarray) -> bytes:
@@ -424,7 +424,7 @@ def _postings(length: int, cells: int, shared):
     size = -(-length // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, parts = shared.value
+        base, parts, own_keys = shared.value
         for names, corners, bits in _described(batches):
             rows: list[tuple] = []
             keys, sketches = keys_of(bits, length, cells)
@@ -433,7 +433,7 @@ def _postings(length: int, cells: int, shared):
                 own, c = names[at], corners[at]
                 new = np.concatenate(([True], own[1:] != own[:-1]))
                 starts = np.flatnonzero(new)
-                rows.append((group, part, whole, own[starts].tobytes(), _least_bytes(np.diff(np.append(starts, len(at)))), _least_bytes(_steps(c, new)), _cut(keys[at, t], size), sketches[at, t].tobytes()))
+                rows.append((int(own_keys[group]), part, whole, own[starts].tobytes(), _least_bytes(np.diff(np.append(starts, len(at)))), _least_bytes(_steps(c, new)), _cut(keys[at, t], size), sketches[at, t].tobytes()))
 
             for t in range(keys.shape[1]):
                 cell = keys[:, t] >> (length - cells)
@@ -453,13 +453,13 @@ def _postings(length: int, cells: int, shared):
                         for other in range(n):
                             add(group_of_parts(first, n, p, other), p, p == other, at, t)
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["group", "part", "whole", "names", "counts", "corners", "keys", "sketches"])
 
     return run
 
 
-_MEETINGS = "block bigint, names binary, partners binary, counts binary, seconds binary, corners binary"
+_MEETINGS = "block int, names binary, partners binary, counts binary, seconds binary, corners binary"
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -499,7 +499,7 @@ def near_keys(key: np.ndarray, free: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield order[starts[run] + at // ones[run]], order[starts[run] + zeros[run] + at % ones[run]]
 
 
-def _meetings(length: int, cells: int, blocks: int, min_votes: int):
+def _meetings(length: int, cells: int, blocks: int, block_ids: np.ndarray, min_votes: int):
     size = -(-length // 8)
 
     def run(group: pa.Table) -> pa.Table:
@@ -536,7 +536,8 @@ def _meetings(length: int, cells: int, blocks: int, min_votes: int):
         found = _first_of_pairs(np.unique(np.concatenate([found, *held])), wide, min_votes)
         pair, corner = found // wide, found % wide
         a, b = pair // many, pair % many
-        block = _block(name[a], name[b], blocks)
+        x, y = ((mix(v.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64) for v in (name[a], name[b]))
+        block = block_of(x, y, blocks, block_ids)
         order = np.argsort(block, kind="stable")
         rows = []
         for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
@@ -545,19 +546,14 @@ def _meetings(length: int, cells: int, blocks: int, min_votes: int):
                 starts = _runs(own)
                 others, index = np.unique(partner, return_inverse=True)
                 rows.append((int(block[at[0]]), name[own[starts]].tobytes(), name[others].tobytes(), _least_bytes(np.diff(np.append(starts, len(at)))), _least_bytes(index), _least_bytes(corner[at])))
-        kinds = (pa.int64(), *[pa.binary()] * 5)
+        kinds = (pa.int32(), *[pa.binary()] * 5)
         columns = list(zip(*rows)) if rows else [[]] * 6
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("block", "names", "partners", "counts", "seconds", "corners"), columns, kinds)})
 
     return run
 
 
-def _block(a: np.ndarray, b: np.ndarray, blocks: int) -> np.ndarray:
-    x, y = (mix(v.astype(np.uint64)) % np.uint64(blocks) for v in (a, b))
-    return (np.minimum(x, y) * np.uint64(blocks) + np.maximum(x, y)).astype(np.int64)
-
-
-_WANTED = "class bigint, block bigint, pairs binary"
+_WANTED = "class bigint, block int, pairs binary"
 
 
 def _candidates(min_votes: int):
@@ -579,7 +575,7 @@ def _candidates(min_votes: int):
         pairs = np.stack((name[pair // many], name[pair % many]), 1)
         block = group.column("block")[0].as_py()
         needed = np.unique(pairs)
-        return pa.table({"class": pa.array([None, *needed.tolist()], pa.int64()), "block": pa.array([block] * (len(needed) + 1), pa.int64()), "pairs": pa.array([pairs.tobytes(), *[None] * len(needed)], pa.binary())})
+        return pa.table({"class": pa.array([None, *needed.tolist()], pa.int64()), "block": pa.array([block] * (len(needed) + 1), pa.int32()), "pairs": pa.array([pairs.tobytes(), *[None] * len(needed)], pa.binary())})
 
     return run
 
@@ -627,18 +623,21 @@ def _joined(members: DataFrame, made: DataFrame, min_votes: int, min_inliers: in
     if descriptors > most:  # else every table is one group, however its keys lie
         for cell, n in bits.mapInArrow(lean(_cells(length, cells)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
             counts.flat[cell] = n
-    shared = made.sparkSession.sparkContext.broadcast(layout(counts, most))
+    base, parts = layout(counts, most)
+    groups = int((base + parts * (parts + 1) // 2).max())
+    shared = made.sparkSession.sparkContext.broadcast((base, parts, own_partitions(groups)))
     blocks = max(6, math.ceil(math.sqrt(images / 2000)))
+    block_ids, parted = block_keys(blocks)
     postings = bits.mapInArrow(lean(_postings(length, cells, shared)), _POSTINGS)
-    meetings = postings.groupBy("group").applyInArrow(lean(_meetings(length, cells, blocks, min_votes)), _MEETINGS)
-    wanted = meetings.groupBy("block").applyInArrow(lean(_candidates(min_votes)), _WANTED).persist(StorageLevel.DISK_ONLY)
+    meetings = postings.repartition(groups, "group").groupBy("group").applyInArrow(lean(_meetings(length, cells, blocks, block_ids, min_votes)), _MEETINGS)
+    wanted = meetings.repartition(parted, "block").groupBy("block").applyInArrow(lean(_candidates(min_votes)), _WANTED).persist(StorageLevel.DISK_ONLY)
     weights = members.groupBy("class").agg(F.count("id").alias("copies"))
     sets = wanted.filter("class is not null").select("class", "block").join(made.join(weights, "class"), "class")
     nothing = F.lit(None)
     together = sets.select("block", "class", "image_id", "copies", "corners", "bits", nothing.cast("binary").alias("pairs")).union(
         wanted.filter("class is null").select("block", "class", *[nothing.cast(k).alias(n) for n, k in (("image_id", "bigint"), ("copies", "bigint"), ("corners", "binary"), ("bits", "binary"))], "pairs")
     )
-    return together.groupBy("block").applyInArrow(lean(_verified(min_inliers, pairwise)), _PAIRS if pairwise else _LINKS)
+    return together.repartition(parted, "block").groupBy("block").applyInArrow(lean(_verified(min_inliers, pairwise)), _PAIRS if pairwise else _LINKS)
 
 
 def copies(images: DataFrame, min_votes: int = MIN_VOTES, min_inliers: int = MIN_INLIERS, most: int = TASK_ROWS) -> DataFrame:

@@ -90,15 +90,35 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
         return (h ^ h >> np.uint32(16)).view(np.int32)
 
 
+def spread_keys(n: int, partitions: int) -> np.ndarray:
+    """n different ints of which repartition(partitions, int column) sends the k-th to one partition for each k % partitions: all get equally many."""
+    each, tried = -(-n // partitions), max(64, 4 * n)
+    while True:
+        place = spark_hash(np.arange(tried)).astype(np.int64) % partitions
+        if np.bincount(place, minlength=partitions).min() >= each:
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(partitions))
+            k = np.arange(n)
+            return order[starts[k % partitions] + k // partitions].astype(np.int32)
+        tried *= 2
+
+
 def own_partitions(n: int) -> np.ndarray:
     """n ints that repartition(n, int column) sends to n different partitions: no task gets two groups, and none stays idle."""
-    tried = 64
-    while True:
-        place = spark_hash(np.arange(tried)).astype(np.int64) % n
-        found, first = np.unique(place, return_index=True)
-        if len(found) == n:
-            return first.astype(np.int32)
-        tried = max(tried * 2, 4 * n)
+    return spread_keys(n, n)
+
+
+def block_keys(blocks: int) -> tuple[np.ndarray, int]:
+    """(the key of each pair of blocks, as block_of numbers them; the partitions they are spread over)."""
+    pairs = blocks * (blocks + 1) // 2
+    partitions = min(pairs, 4 * blocks)
+    return spread_keys(pairs, partitions), partitions
+
+
+def block_of(a: np.ndarray, b: np.ndarray, blocks: int, keys: np.ndarray) -> np.ndarray:
+    """The key of the pair of blocks in which a and b are, in whatever order."""
+    i, j = np.minimum(a, b), np.maximum(a, b)
+    return keys[i * blocks - i * (i - 1) // 2 + j - i]
 
 
 def forest(edges: np.ndarray) -> list[tuple[int, int]]:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import fresh_name, lean, quoted, texts_of
-from .links import AT_ONCE, group_of_parts, layout, linked, linked_rows, own_partitions, pairs_within, settled
+from .links import AT_ONCE, block_keys, block_of, group_of_parts, layout, linked, linked_rows, own_partitions, pairs_within, settled
 from .textvec import gram_hashes, mix, slices, word_hashes
 
 N, THRESHOLD = 5, 0.4
@@ -387,11 +387,11 @@ def _prefixes(cells: int, shared):
     return run
 
 
-_PAIRS = [("block", pa.int64()), ("classes", pa.binary()), ("counts", pa.binary()), ("partners", pa.binary())]
-_PAIRS_DDL = "block bigint, classes binary, counts binary, partners binary"
+_PAIRS = [("block", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("partners", pa.binary())]
+_PAIRS_DDL = "block int, classes binary, counts binary, partners binary"
 
 
-def _candidates(blocks: int, t: float):
+def _candidates(blocks: int, keys: np.ndarray, t: float):
     def run(group: pa.Table) -> pa.Table:
         names, sizes, places, spreads, counts, grams, parts = [], [], [], [], [], [], []
         whole = group.column("whole")[0].as_py()
@@ -435,7 +435,7 @@ def _candidates(blocks: int, t: float):
             by_block.append(np.stack((np.minimum(x, y), np.maximum(x, y)), 1)[x != y])
         if by_block:
             pairs = np.concatenate(by_block)
-            block = _block(pairs[:, 0], pairs[:, 1], blocks)
+            block = block_of(pairs[:, 0] % blocks, pairs[:, 1] % blocks, blocks, keys)
             order = np.lexsort((pairs[:, 1], pairs[:, 0], block))
             pairs, block = pairs[order], block[order]
             new = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))[: len(block)]
@@ -447,15 +447,10 @@ def _candidates(blocks: int, t: float):
     return run
 
 
-def _block(a: np.ndarray, b: np.ndarray, blocks: int) -> np.ndarray:
-    a, b = a % blocks, b % blocks
-    return np.minimum(a, b) * blocks + np.maximum(a, b)
-
-
 # ---- step 5: verification ----
 
-_WANTED = [("class", pa.int64()), ("block", pa.int64()), ("pairs", pa.binary())]
-_WANTED_DDL = "class bigint, block bigint, pairs binary"
+_WANTED = [("class", pa.int64()), ("block", pa.int32()), ("pairs", pa.binary())]
+_WANTED_DDL = "class bigint, block int, pairs binary"
 
 
 def _distinct_pairs(group: pa.Table) -> pa.Table:
@@ -543,14 +538,15 @@ def similar_classes(found: DataFrame, t: float = THRESHOLD, pairwise: bool = Tru
     shared = spark.sparkContext.broadcast((base[0], parts[0], own_partitions(groups)))
     blocks = max(4, math.ceil(2 * size / BLOCK_BYTES))
     prefixes = joining.mapInArrow(lean(_prefixes(cells, shared)), _STEP4_DDL).repartition(groups, "bucket")
-    pairs = prefixes.groupBy("bucket").applyInArrow(lean(_candidates(blocks, t)), _PAIRS_DDL)
-    wanted = pairs.groupBy("block").applyInArrow(lean(_distinct_pairs), _WANTED_DDL).persist(StorageLevel.DISK_ONLY)
+    keys, parted = block_keys(blocks)
+    pairs = prefixes.groupBy("bucket").applyInArrow(lean(_candidates(blocks, keys, t)), _PAIRS_DDL)
+    wanted = pairs.repartition(parted, "block").groupBy("block").applyInArrow(lean(_distinct_pairs), _WANTED_DDL).persist(StorageLevel.DISK_ONLY)
     sets = wanted.filter("class is not null").select("class", "block").join(joining.select("class", "size", "grams").join(weights, "class"), "class")
     nothing = F.lit(None)
     together = sets.select("block", "class", "size", "copies", "grams", nothing.cast("binary").alias("pairs")).union(
         wanted.filter("class is null").select("block", "class", nothing.cast("int").alias("size"), nothing.cast("bigint").alias("copies"), nothing.cast("binary").alias("grams"), "pairs")
     )
-    return together.groupBy("block").applyInArrow(lean(_verify(t, pairwise)), _VERIFIED_DDL if pairwise else _LINKS_DDL), wanted
+    return together.repartition(parted, "block").groupBy("block").applyInArrow(lean(_verify(t, pairwise)), _VERIFIED_DDL if pairwise else _LINKS_DDL), wanted
 
 
 def similar_documents(docs: DataFrame, n: int = N, t: float = THRESHOLD, **sizes: int) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import gram_join as G
 from millrace.llm import links as L
@@ -157,3 +158,14 @@ def test_each_group_has_its_own_partition(spark):
         keys = L.own_partitions(n)
         df = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(n, "k")
         assert sorted(df.selectExpr("spark_partition_id() AS p").toPandas().p) == list(range(n))
+
+
+def test_block_pairs_are_spread_evenly(spark):
+    for blocks in (1, 4, 9, 40):
+        keys, parted = L.block_keys(blocks)
+        a, b = np.meshgrid(np.arange(blocks), np.arange(blocks))
+        got = L.block_of(a.ravel(), b.ravel(), blocks, keys).reshape(blocks, blocks)
+        assert (got == got.T).all() and len(np.unique(got)) == len(keys) == blocks * (blocks + 1) // 2
+        df = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(parted, "k")
+        sizes = df.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert len(sizes) == parted and sizes.max() - sizes.min() <= 1

@@ -14,17 +14,22 @@ Steps, each a map or a shuffle of packed arrays rather than of single grams:
 3. A class orders its grams by rarity. The unique ones come first and can't meet
    anything; the prefix that remains (size - ceil(t * size) + 1 grams, less the unique ones) is
    what it joins on. Classes whose repeated grams can't reach the threshold end here.
-4. Prefix grams are counted by cells of their hash and shuffled in groups of cells of about
+   A gram in the prefixes of HEAVY classes or more is *heavy*. Heavy grams that one prefix holds belong together, and so do
+   the classes that hold them: two such classes are compared with each other in step 6, and only there.
+4. The other prefix grams are counted by cells of their hash and shuffled in groups of cells of about
    PAIR_ROWS entries; a larger cell is parted by class and paired part by part. Classes that meet there pass the length filter, the
    positional filter and the suffix filter: the gram space is parted into FANOUT
    fixed ranges, and the sum of the smaller counts of each range bounds the overlap.
 5. Candidate pairs are shuffled by pair of blocks, repeats fall away, the classes that they need are sent
    to the same place once a block pair, and each pair is verified once, over whole sets. What leaves a
    block pair is a spanning forest of its similar pairs and each class's number of links, not the pairs.
+6. Classes that heavy grams hold together are cut into blocks of up to DENSE_ROWS, and each pair of blocks gets the
+   overlaps of all its pairs at once: grams that many of them have by a product of matrices, the others one by one.
+   What leaves is as in step 5, so that a text of many thousand variants costs no row for each pair of them.
 
 The number of groups of every shuffle follows from the bytes of the texts, and each group has its own partition.
-There is no cap on partners, and no list of a frequent gram is skipped: a gram's classes
-pair up in slices, so that memory is bounded however many there are. Verification counts
+There is no cap on partners, and no list of a frequent gram is skipped: pairs are
+formed in slices, so that memory is bounded however many there are. Verification counts
 48-bit hashes; two of a pair's grams fall together with a chance of about |a| |b| / 2**48, two
 classes of c with one of c * c / 2**65.
 
@@ -46,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import fresh_name, lean, quoted, texts_of
-from .links import AT_ONCE, block_keys, block_of, group_of_parts, layout, linked, linked_rows, own_partitions, pairs_within, settled
+from .links import AT_ONCE, block_keys, block_of, components, forest, group_of_parts, layout, linked, linked_rows, own_partitions, pairs_within, settled, spread_keys
 from .textvec import gram_hashes, mix, slices, word_hashes
 
 N, THRESHOLD = 5, 0.4
@@ -55,6 +60,8 @@ FANOUT = 16
 HOT = 64
 #: Bytes of text whose grams a range has, bytes of gram sets that a block pair has, and prefix entries of a group.
 RANGE_BYTES, BLOCK_BYTES, PAIR_ROWS = 24 << 20, 24 << 20, 1_000_000
+#: Classes in whose prefixes a gram is heavy; classes and bytes of gram sets of a block of classes that heavy grams hold together; most partitions of their pairs.
+HEAVY, DENSE_ROWS, DENSE_BYTES, DENSE_PARTITIONS = 128, 4096, 8 << 20, 2000
 #: Characters of a slice.
 SLICE = 3_000_000
 
@@ -277,11 +284,15 @@ def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 # ---- step 3: classes with their repeated grams, rare first ----
 
-_STEP3_DDL = "doc_id bigint, class bigint, size int, grams binary, prefix int"
+_STEP3_DDL = "doc_id bigint, class bigint, size int, grams binary, prefix int, light int"
 
 
-def _assemble(t: float):
-    """The distinct (doc_id, class); and one row, without doc_id, for each class that may have a partner: its repeated grams in order of rarity."""
+def _assemble(t: float, heavy: int):
+    """The distinct (doc_id, class); and one row, without doc_id, for each class that may have a partner: its repeated grams in order of rarity.
+
+    The first `light` grams of its prefix are in too few classes to be heavy.
+    """
+    limit = min(_LAST - 1, round(16 * math.log2(heavy)))
 
     def run(group: pa.Table) -> pa.Table:
         by: dict[int, list[tuple]] = {k: [] for k in (_DOCS, _GRAMS, _HELD, _SIZES)}
@@ -298,17 +309,17 @@ def _assemble(t: float):
         rank = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r[3], np.uint8) for r in by[_GRAMS]]])
         rank = np.concatenate((rank, np.full(len(gram) - len(rank), _LAST, np.uint8)))
         order = np.lexsort((gram, rank, name))
-        name, gram = name[order], gram[order]
+        name, gram, rank = name[order], gram[order], rank[order]
         # a frequent gram of a class can come from several slices, and from a range too
         new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])))[: len(gram)]
-        name, gram = name[new], gram[new]
+        name, gram, rank = name[new], gram[new], rank[new]
         rows: list[tuple] = []
         for own, a, b in _spans(name):
             size = int(sizes[np.searchsorted(known, own)])
             prefix = int(prefix_length(np.int64(size), t)) - (size - (b - a))
             if prefix > 0:
-                rows.append((own, size, _six(gram[a:b]), prefix))
-        own, size, grams, prefix = zip(*rows) if rows else ([],) * 4
+                rows.append((own, size, _six(gram[a:b]), prefix, min(prefix, int(np.searchsorted(rank[a:b], limit)))))
+        own, size, grams, prefix, light = zip(*rows) if rows else ([],) * 5
         none = [None] * len(docs)
         return pa.table(
             {
@@ -317,16 +328,79 @@ def _assemble(t: float):
                 "size": pa.array([*none, *size], pa.int32()),
                 "grams": pa.array([*none, *grams], pa.binary()),
                 "prefix": pa.array([*none, *prefix], pa.int32()),
+                "light": pa.array([*none, *light], pa.int32()),
             }
         )
 
     return run
 
 
+# ---- heavy grams ----
+
+
+def _heavy_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many prefixes the grams are that may be heavy."""
+    for batch in batches:
+        some = [_from_six(g[6 * a : 6 * p]) for g, a, p in zip(*(batch.column(x).to_pylist() for x in ("grams", "light", "prefix"))) if p > a]
+        if some:
+            gram, n = np.unique(np.concatenate(some), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n)], names=["gram", "n"])
+
+
+def _heavy_of(batch: pa.RecordBatch, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in heavy) of each heavy gram of a prefix, row by row."""
+    a, p = (np.array(batch.column(x).to_pylist(), np.int64) for x in ("light", "prefix"))
+    row = np.repeat(np.arange(len(a)), p - a)
+    gram = np.concatenate([np.zeros(0, np.uint64), *[_from_six(g[6 * i : 6 * j]) for g, i, j in zip(batch.column("grams").to_pylist(), a, p) if j > i]])
+    held = _among(gram, heavy)
+    return row[held], np.searchsorted(heavy, gram[held])
+
+
+def _heavy_links(shared):
+    """Places of heavy grams that one prefix holds: the first of the prefix with each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at = _heavy_of(batch, shared.value)
+            if len(row):
+                new = _firsts(row)
+                links = np.unique(np.stack((np.repeat(at[new], np.diff(np.append(new, len(row)))), at), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
+
+    return run
+
+
+def _held_together(shared):
+    """dense, class, size, grams of the classes with heavy grams; dense names those that belong together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, dense = shared.value
+        for batch in batches:
+            row, at = _heavy_of(batch, heavy)
+            if len(row):
+                new = _firsts(row)
+                some = batch.select(["class", "size", "grams"]).take(pa.array(row[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(dense[at[new]], pa.int32()), *some.columns], names=["dense", *some.schema.names])
+
+    return run
+
+
+def heavy_grams(joining: DataFrame, heavy: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the sorted grams in the prefixes of so many classes, the number of what each belongs to)."""
+    counts = joining.filter("light < prefix").select("grams", "light", "prefix").mapInArrow(lean(_heavy_counts), "gram bigint, n bigint")
+    grams = np.sort(np.array([r.gram for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy).select("gram").collect()], np.int64)).astype(np.uint64)
+    dense = np.arange(len(grams))
+    if len(grams):
+        shared = joining.sparkSession.sparkContext.broadcast(grams)
+        for u, v in components(joining.filter("light < prefix").select("grams", "light", "prefix").mapInArrow(lean(_heavy_links(shared)), "u bigint, v bigint")).collect():
+            dense[u] = v
+    return grams, np.unique(dense, return_inverse=True)[1]
+
+
 # ---- step 4: candidates ----
 
-_STEP4 = [("bucket", pa.int32()), ("part", pa.int32()), ("whole", pa.bool_()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("spread", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
-_STEP4_DDL = "bucket int, part int, whole boolean, classes binary, sizes binary, places binary, spread binary, counts binary, grams binary"
+_STEP4 = [("bucket", pa.int32()), ("part", pa.int32()), ("whole", pa.bool_()), ("dense", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("spread", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]
+_STEP4_DDL = "bucket int, part int, whole boolean, dense binary, classes binary, sizes binary, places binary, spread binary, counts binary, grams binary"
 
 
 def _spread(grams: np.ndarray) -> np.ndarray:
@@ -338,20 +412,23 @@ def _cell(grams: np.ndarray, cells: int) -> np.ndarray:
     return (mix(grams.copy()) % np.uint64(cells)).astype(np.int64)
 
 
-def _prefix_counts(cells: int):
+def _prefix_counts(cells: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, _ = shared.value
         total = np.zeros(cells, np.int64)
         for batch in batches:
             for g, p in zip(batch.column("grams").to_pylist(), batch.column("prefix").to_pylist()):
-                np.add.at(total, _cell(_from_six(g[: 6 * p]), cells), 1)
+                gram = _from_six(g[: 6 * p])
+                total += np.bincount(_cell(gram[~_among(gram, heavy)] if len(heavy) else gram, cells), minlength=cells)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
     return run
 
 
-def _prefixes(cells: int, shared):
+def _prefixes(cells: int, shared_heavy, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, number = shared_heavy.value
         base, parts, keys = shared.value
         for batch in batches:
             rows: list[tuple] = []
@@ -363,12 +440,17 @@ def _prefixes(cells: int, shared):
             owner = np.repeat(np.arange(len(sets)), prefix)
             # place in the full order: the grams that are unique to the class come first
             place = np.concatenate([np.arange(p) + (s - len(g)) for g, p, s in zip(sets, prefix, sizes)] or [np.zeros(0, np.int64)])
+            dense = np.full(len(sets), -1, np.int64)
+            if len(heavy):
+                held = _among(gram, heavy)
+                dense[owner[held]] = number[np.searchsorted(heavy, gram[held])]  # all of a class have the same
+                gram, owner, place = gram[~held], owner[~held], place[~held]
             cell = _cell(gram, cells)
 
             def add(group: int, part: int, whole: bool, at: np.ndarray) -> None:
                 new = _firsts(owner[at])
                 own = owner[at][new]
-                rows.append((int(keys[group]), part, whole, _pack(names[own], "<i8"), _pack(sizes[own], "<i4"), _pack(place[at], "<i4"), _counts(spread[own].ravel()), _pack(np.diff(np.append(new, len(at))), "<u4"), _six(gram[at])))
+                rows.append((int(keys[group]), part, whole, _pack(dense[own], "<i4") if dense[own].max() >= 0 else None, _pack(names[own], "<i8"), _pack(sizes[own], "<i4"), _pack(place[at], "<i4"), _counts(spread[own].ravel()), _pack(np.diff(np.append(new, len(at))), "<u4"), _six(gram[at])))
 
             plain = np.flatnonzero(parts[cell] == 1)
             order = plain[np.argsort(base[cell[plain]], kind="stable")]
@@ -393,17 +475,18 @@ _PAIRS_DDL = "block int, classes binary, counts binary, partners binary"
 
 def _candidates(blocks: int, keys: np.ndarray, t: float):
     def run(group: pa.Table) -> pa.Table:
-        names, sizes, places, spreads, counts, grams, parts = [], [], [], [], [], [], []
+        names, sizes, places, spreads, counts, grams, parts, dense = [], [], [], [], [], [], [], []
         whole = group.column("whole")[0].as_py()
-        for part, c, s, p, d, m, g in zip(*(group.column(x).to_pylist() for x in ("part", "classes", "sizes", "places", "spread", "counts", "grams"))):
+        for part, h, c, s, p, d, m, g in zip(*(group.column(x).to_pylist() for x in ("part", "dense", "classes", "sizes", "places", "spread", "counts", "grams"))):
             names.append(np.frombuffer(c, "<i8"))
             parts.append(np.full(len(names[-1]), part, np.int32))
+            dense.append(np.frombuffer(h, "<i4") if h is not None else np.full(len(names[-1]), -1, np.int32))
             sizes.append(np.frombuffer(s, "<i4").astype(np.int64))
             places.append(np.frombuffer(p, "<i4").astype(np.int64))
             spreads.append(np.frombuffer(d, f"<u{len(d) // (FANOUT * len(names[-1]))}").astype(np.uint32).reshape(-1, FANOUT))
             counts.append(np.frombuffer(m, "<u4"))
             grams.append(_from_six(g))
-        name, size, place, spread, gram, part = map(np.concatenate, (names, sizes, places, spreads, grams, parts))
+        name, size, place, spread, gram, part, together = map(np.concatenate, (names, sizes, places, spreads, grams, parts, dense))
         entry = np.repeat(np.arange(len(name)), np.concatenate(counts))
         order = np.argsort(gram, kind="stable")
         gram, entry, place = gram[order], entry[order], place[order]
@@ -411,6 +494,7 @@ def _candidates(blocks: int, keys: np.ndarray, t: float):
         found = np.zeros(0, np.int64)
         size, wide = size[entry], len(name)
         held: list[np.ndarray] = []
+        some_dense = bool((together >= 0).any())
         for i, j in pairs_within(new, np.diff(np.append(new, len(gram)))):
             a, b = size[i], size[j]
             need = needed(a, b, t)
@@ -418,6 +502,8 @@ def _candidates(blocks: int, keys: np.ndarray, t: float):
             ok &= 1 + np.minimum(a - place[i] - 1, b - place[j] - 1) >= need
             if not whole:
                 ok &= part[entry[i]] != part[entry[j]]
+            if some_dense:
+                ok &= (together[entry[i]] != together[entry[j]]) | (together[entry[i]] < 0)  # the others are in step 6
             x, y = entry[i[ok]], entry[j[ok]]
             key = np.unique(np.minimum(x, y) * wide + np.maximum(x, y))
             held.append(key)
@@ -501,6 +587,145 @@ def _verify(t: float, pairwise: bool):
     return run
 
 
+# ---- step 6: classes that heavy grams hold together ----
+
+_DENSE_DDL = "key int, part int, whole boolean, class bigint, size int, copies bigint, grams binary"
+
+
+def _to_blocks(shared):
+    """Each class once for every pair of blocks that its block is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, blocks, keys = shared.value
+        for batch in batches:
+            dense = batch.column("dense").to_numpy()
+            n = blocks[dense]
+            part = (mix(batch.column("class").to_numpy().astype(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+            sets = batch.select(["class", "size", "copies", "grams"])
+            at = 0
+            while at < len(n):
+                end = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), DENSE_ROWS, "right")))
+                row = np.repeat(np.arange(at, end), n[at:end])
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end])
+                i, j, wide = np.minimum(part[row], other), np.maximum(part[row], other), n[row]
+                key = keys[first[dense[row]] + i * wide - i * (i - 1) // 2 + j - i]  # as group_of_parts
+                some = sets.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(part[row], pa.int32()), pa.array(part[row] == other), *some.columns], names=["key", "part", "whole", *some.schema.names])
+                at = end
+
+    return run
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, matrix): how many grams some sets of a, from first on, share with each of b.
+
+    A gram goes by a product of matrices where it is in so many sets that this costs less than its pairs one by one.
+    """
+    rows, wide = len(a), len(b)
+    kinds, gram = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(rows + wide), [len(x) for x in (*a, *b)])
+    left = row < rows
+    n_a, n_b = np.bincount(gram[left], minlength=len(kinds)), np.bincount(gram[~left], minlength=len(kinds))
+    many = n_a * n_b * 100 >= rows * wide
+    column = np.cumsum(many) - 1
+    x, y = np.zeros((rows, int(many.sum())), np.uint8), np.zeros((wide, int(many.sum())), np.uint8)
+    for to, side, less in ((x, left, 0), (y, ~left, rows)):
+        at = side & many[gram]
+        to[row[at] - less, column[gram[at]]] = 1
+    few = ~many & (n_a > 0) & (n_b > 0)
+    at = np.flatnonzero(left & few[gram])
+    few_row, few_gram = row[at], gram[at]  # row by row
+    at = np.flatnonzero(~left & few[gram])
+    at = at[np.argsort(gram[at], kind="stable")]
+    there, start = row[at] - rows, np.searchsorted(gram[at], np.arange(len(kinds)))
+    step = max(1, AT_ONCE // 2 // wide)
+    for first in range(0, rows, step):
+        last = min(rows, first + step)
+        both = np.zeros((last - first, wide), np.float32)  # exact up to 2**24
+        for k in range(0, x.shape[1], 1024):
+            both += x[first:last, k : k + 1024].astype(np.float32) @ y[:, k : k + 1024].astype(np.float32).T
+        i, end = np.searchsorted(few_row, (first, last))
+        ends = np.cumsum(n_b[few_gram[i:end]])
+        done = 0
+        while done < end - i:
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + AT_ONCE // 2, "right")))
+            g = few_gram[i + done : i + upto]
+            n = n_b[g]
+            place = np.repeat(start[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both += np.bincount(np.repeat((few_row[i + done : i + upto] - first) * wide, n) + there[place], minlength=both.size).reshape(both.shape)
+            done = upto
+        yield first, both
+
+
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """label, the least member of each one's tree, after linking i and j where ok has them."""
+    while True:
+        apart = ok & (label[i][:, None] != label[j])
+        rows, columns = np.flatnonzero(apart.any(axis=1)), np.flatnonzero(apart.any(axis=0))
+        if not len(rows):
+            return label
+        ends = np.concatenate((label[i[rows]], label[j[columns]])), np.concatenate((label[j[apart[rows].argmax(axis=1)]], label[i[apart[:, columns].argmax(axis=0)]]))
+        to = np.arange(len(label))
+        for x, least in forest(np.unique(np.stack(ends, 1), axis=0)):
+            to[x] = least
+        label = to[label]
+
+
+def _verify_dense(t: float, pairwise: bool):
+    """As _verify, of all pairs between two blocks or within one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, name, size, copies = (group.column(x).to_numpy() for x in ("part", "class", "size", "copies"))
+        whole = group.column("whole")[0].as_py()
+        sets = [_from_six(g) for g in group.column("grams").to_pylist()]
+        size = size.astype(np.int64)
+        a = np.flatnonzero(part == part.min())
+        b = a if whole else np.flatnonzero(part != part.min())
+        label, links = np.arange(len(name)), np.zeros(len(name), np.int64)
+        pairs: list[np.ndarray] = []
+        for first, both in overlaps([sets[k] for k in a], [sets[k] for k in b]) if len(b) else ():
+            i = a[first : first + len(both)]
+            ok = both >= needed(size[i][:, None], size[b], t)
+            if whole:
+                ok &= i[:, None] < b
+            if pairwise:
+                x, y = np.nonzero(ok)
+                pairs.append(np.stack((i[x], b[y], both[x, y].astype(np.int64))))
+                continue
+            n = ok.astype(np.float64)  # sums below 2**53 are exact
+            links[i] += (n @ copies[b]).astype(np.int64)
+            links[b] += (copies[i] @ n).astype(np.int64)
+            label = _merged(label, i, b, ok)
+        if pairwise:
+            x, y, both = np.concatenate([np.zeros((3, 0), np.int64), *pairs], axis=1)
+            return pa.table({"class_a": np.minimum(name[x], name[y]), "class_b": np.maximum(name[x], name[y]), "overlap": both.astype(np.int32), "jaccard": both / (size[x] + size[y] - both)})
+        x, y = np.flatnonzero(label != np.arange(len(name))), np.flatnonzero(links)
+        none = pa.nulls
+        return pa.table(
+            {
+                "class": np.concatenate((name[x], name[y])),
+                "other": pa.concat_arrays([pa.array(name[label[x]]), none(len(y), pa.int64())]),
+                "links": pa.concat_arrays([none(len(x), pa.int64()), pa.array(links[y])]),
+            }
+        )
+
+    return run
+
+
+def _dense_links(dense: DataFrame, weights: DataFrame, numbers: int, t: float, pairwise: bool) -> DataFrame:
+    """dense: as of _held_together(), with numbers below `numbers`; it is read twice."""
+    rows = DENSE_ROWS // 4 if pairwise else DENSE_ROWS
+    blocks = np.ones(numbers, np.int64)
+    for number, n, size in dense.groupBy("dense").agg(F.count("class"), F.sum(F.octet_length("grams"))).collect():
+        blocks[number] = max(math.ceil(n / rows), math.ceil(size / DENSE_BYTES))
+    groups = blocks * (blocks + 1) // 2
+    total = int(groups.sum())
+    parted = min(total, DENSE_PARTITIONS)
+    shared = dense.sparkSession.sparkContext.broadcast((np.cumsum(groups) - groups, blocks, spread_keys(total, parted)))
+    placed = dense.join(weights, "class").select("dense", "class", "size", "copies", "grams").mapInArrow(lean(_to_blocks(shared)), _DENSE_DDL)
+    return placed.repartition(parted, "key").groupBy("key").applyInArrow(lean(_verify_dense(t, pairwise)), _VERIFIED_DDL if pairwise else _LINKS_DDL)
+
+
 # ---- the join ----
 
 
@@ -509,35 +734,37 @@ def _ranges(size: int, share: int) -> int:
     return max(8, min(math.ceil(size / share), math.isqrt(max(0, size) // 384)))
 
 
-def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, share: int = RANGE_BYTES, hot: int = HOT) -> DataFrame:
-    """doc_id, class of all documents; and class, size, grams, prefix, with a null doc_id, of the classes that may have a partner."""
+def classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, share: int = RANGE_BYTES, hot: int = HOT, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, class of all documents; and class, size, grams, prefix, light, with a null doc_id, of the classes that may have a partner."""
     names = {c.lower(): F.col(quoted(c)) for c in docs.columns}
     source = docs.select(names["doc_id"].cast("long").alias("doc_id"), names["text"].cast("string").alias("text"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = own_partitions(_ranges(size, share))
     packed = source.mapInArrow(lean(_by_range(ranges, n, max(SLICE, 384 * len(ranges)), hot)), _STEP1_DDL)
     repeated = packed.repartition(len(ranges), "bucket").groupBy("bucket").applyInArrow(lean(_repeated(ranges)), _STEP2_DDL)
-    return repeated.repartition(len(ranges), "part").groupBy("part").applyInArrow(lean(_assemble(t)), _STEP3_DDL)
+    return repeated.repartition(len(ranges), "part").groupBy("part").applyInArrow(lean(_assemble(t, heavy)), _STEP3_DDL)
 
 
-def similar_classes(found: DataFrame, t: float = THRESHOLD, pairwise: bool = True, most: int = PAIR_ROWS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(found: DataFrame, t: float = THRESHOLD, pairwise: bool = True, most: int = PAIR_ROWS, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(class_a, class_b, overlap, jaccard of the classes() that are similar, or what linked() needs instead; what is persisted for it).
 
-    found is read several times: cut its lineage first.
+    found is read several times: cut its lineage first. heavy: as in classes().
     """
     spark = found.sparkSession
-    joining = found.filter("doc_id is null").select("class", "size", "grams", "prefix")
+    joining = found.filter("doc_id is null").select("class", "size", "grams", "prefix", "light")
     weights = found.filter("doc_id is not null").groupBy("class").agg(F.count("doc_id").alias("copies"))
     entries, size = joining.agg(F.coalesce(F.sum("prefix"), F.lit(0)), F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()
+    grams, numbers = heavy_grams(joining, heavy)
+    held = spark.sparkContext.broadcast((grams, numbers))
     cells = max(64, 8 * math.ceil(entries / most))
     counts = np.zeros((1, cells), np.int64)
-    for cell, n in joining.select("grams", "prefix").mapInArrow(lean(_prefix_counts(cells)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in joining.select("grams", "prefix").mapInArrow(lean(_prefix_counts(cells, held)), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
         counts[0, cell] = n
     base, parts = layout(counts, max(1, min(most, entries // 16)))
     groups = int((base + parts * (parts + 1) // 2).max())
     shared = spark.sparkContext.broadcast((base[0], parts[0], own_partitions(groups)))
     blocks = max(4, math.ceil(2 * size / BLOCK_BYTES))
-    prefixes = joining.mapInArrow(lean(_prefixes(cells, shared)), _STEP4_DDL).repartition(groups, "bucket")
+    prefixes = joining.mapInArrow(lean(_prefixes(cells, held, shared)), _STEP4_DDL).repartition(groups, "bucket")
     keys, parted = block_keys(blocks)
     pairs = prefixes.groupBy("bucket").applyInArrow(lean(_candidates(blocks, keys, t)), _PAIRS_DDL)
     wanted = pairs.repartition(parted, "block").groupBy("block").applyInArrow(lean(_distinct_pairs), _WANTED_DDL).persist(StorageLevel.DISK_ONLY)
@@ -546,18 +773,22 @@ def similar_classes(found: DataFrame, t: float = THRESHOLD, pairwise: bool = Tru
     together = sets.select("block", "class", "size", "copies", "grams", nothing.cast("binary").alias("pairs")).union(
         wanted.filter("class is null").select("block", "class", nothing.cast("int").alias("size"), nothing.cast("bigint").alias("copies"), nothing.cast("binary").alias("grams"), "pairs")
     )
-    return together.repartition(parted, "block").groupBy("block").applyInArrow(lean(_verify(t, pairwise)), _VERIFIED_DDL if pairwise else _LINKS_DDL), wanted
+    verified = together.repartition(parted, "block").groupBy("block").applyInArrow(lean(_verify(t, pairwise)), _VERIFIED_DDL if pairwise else _LINKS_DDL)
+    if len(grams):
+        dense = settled(joining.filter("light < prefix").mapInArrow(lean(_held_together(held)), "dense int, class bigint, size int, grams binary"))
+        verified = verified.union(_dense_links(dense, weights, int(numbers.max()) + 1, t, pairwise))
+    return verified, wanted
 
 
 def similar_documents(docs: DataFrame, n: int = N, t: float = THRESHOLD, **sizes: int) -> DataFrame:
     """doc_id, class_id, n_links: one row for each document that is similar to another.
 
     class_id is the smallest doc_id that similar pairs lead to, directly or not, and n_links the number of documents that
-    are similar to this one. sizes: share and hot as in classes(), most as in similar_classes().
+    are similar to this one. sizes: share, hot and heavy as in classes(), most as in similar_classes().
     """
     most = sizes.pop("most", PAIR_ROWS)
     found = settled(classes(docs, n, t, **sizes))
-    verified, held = similar_classes(found, t, False, most)
+    verified, held = similar_classes(found, t, False, most, sizes.get("heavy", HEAVY))
     verified = settled(verified)
     held.unpersist()
     members = found.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "class")

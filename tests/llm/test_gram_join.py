@@ -88,6 +88,60 @@ def test_frequent_grams_and_parted_groups(docs_of, made_words):
         assert got == linked_of(brute(docs, 3, 0.5)), (hot, most)
 
 
+def variants(made_words, seed, n, length=40):
+    """Texts that are a passage with some words changed, most of them similar to most others."""
+    r = random.Random(seed)
+    base = made_words(seed, length)
+    out = []
+    for _ in range(n):
+        w = list(base[: r.randint(length // 2, length)])
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"other{r.randrange(40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_heavy_grams_lose_no_link(docs_of, made_words, monkeypatch):
+    texts = [x for seed, n in ((21, 50), (22, 30), (23, 4)) for x in variants(made_words, seed, n)]
+    docs = list(enumerate([*texts, *texts[:5], " ".join(made_words(21, 10) + made_words(22, 10))])) + [(1000 + i, x) for i, x in corpus(made_words, 5, 60)]
+    expected = linked_of(brute(docs, 3, 0.4))
+    assert pairs_of(docs_of(docs), 3) == brute(docs, 3, 0.4)
+    for heavy, rows in ((2, 4096), (8, 4096), (8, 7), (20, 20)):
+        monkeypatch.setattr(G, "DENSE_ROWS", rows)
+        assert rows_of(G.similar_documents(docs_of(docs).repartition(3), 3, 0.4, hot=6, heavy=heavy)) == expected, (heavy, rows)
+    monkeypatch.setattr(G, "HEAVY", 8)
+    found = L.settled(G.classes(docs_of(docs), 3, 0.4, heavy=8))
+    pairs, _ = G.similar_classes(found, 0.4, True, heavy=8)
+    ids = {}
+    for r in found.filter("doc_id is not null").collect():
+        ids.setdefault(r["class"], set()).add(r.doc_id)
+    got = [(r.class_a, r.class_b) for r in pairs.collect()]
+    assert len(set(got)) == len(got) and all(a < b for a, b in got)
+    both = {(min(x, y), max(x, y)) for a, b in got for x in ids[a] for y in ids[b]} | {p for own in ids.values() for p in combinations(sorted(own), 2)}
+    assert both == brute(docs, 3, 0.4)
+
+
+def test_variants_of_a_text_cost_no_row_a_pair(docs_of, made_words):
+    """A text of many variants: candidate pairs that are written grew with their square."""
+    docs = list(enumerate(variants(made_words, 31, 500)))
+    found = L.settled(G.classes(docs_of(docs)))
+    verified, wanted = G.similar_classes(found, G.THRESHOLD, False)
+    members = found.filter("doc_id is not null").selectExpr("doc_id AS id", "class")
+    assert {tuple(r) for r in L.linked(members, verified).collect()} == linked_of(brute(docs, G.N, G.THRESHOLD))
+    written = wanted.filter("pairs is not null").agg(F.sum(F.octet_length("pairs"))).first()[0] or 0
+    wanted.unpersist()
+    assert written // 16 < 10 * len(docs)
+
+
+def test_overlaps(monkeypatch):
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(G, "AT_ONCE", 200)
+    for kinds, rows, wide in ((60, 30, 40), (5000, 50, 20), (3, 1, 1)):
+        a, b = ([np.unique(np.concatenate((r.integers(0, kinds, r.integers(1, 50)), r.integers(0, 9, 4)))).astype(np.uint64) for _ in range(n)] for n in (rows, wide))
+        got = np.concatenate([m for _, m in G.overlaps(a, b)])
+        assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_several_texts_of_one_id_join_their_groups(docs_of, made_words):
     a, b = (" ".join(made_words(k, 30)) for k in (1, 2))
     docs = docs_of([(1, a), (2, a), (2, b), (3, b), (4, "quite another text of its own")])

@@ -212,12 +212,15 @@ def _unpack(classes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _entries(classes: list, counts: list, grams: list) -> tuple[np.ndarray, np.ndarray]:
     """(class, gram) of every gram of packed rows."""
-    names, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    total = sum(map(len, grams)) // 6
+    names, found = np.empty(total, np.int64), np.zeros((total, 8), np.uint8)  # filled in place, as they are the most that a task holds
+    at = 0
     for c, m, g in zip(classes, counts, grams):
-        own, n = _unpack(c, m)
-        names.append(np.repeat(own, n))
-        found.append(_from_six(g))
-    return np.concatenate(names), np.concatenate(found)
+        end = at + len(g) // 6
+        names[at:end] = np.repeat(*_unpack(c, m))
+        found[at:end, :6] = np.frombuffer(g, np.uint8).reshape(-1, 6)
+        at = end
+    return names, found.view("<u8").ravel()
 
 
 # ---- step 2: repeated grams, packed by class ----
@@ -483,10 +486,11 @@ def _candidates(blocks: int, keys: np.ndarray, t: float):
             dense.append(np.frombuffer(h, "<i4") if h is not None else np.full(len(names[-1]), -1, np.int32))
             sizes.append(np.frombuffer(s, "<i4").astype(np.int64))
             places.append(np.frombuffer(p, "<i4").astype(np.int64))
-            spreads.append(np.frombuffer(d, f"<u{len(d) // (FANOUT * len(names[-1]))}").astype(np.uint32).reshape(-1, FANOUT))
+            spreads.append(np.frombuffer(d, f"<u{len(d) // (FANOUT * len(names[-1]))}").reshape(-1, FANOUT))
             counts.append(np.frombuffer(m, "<u4"))
             grams.append(_from_six(g))
         name, size, place, spread, gram, part, together = map(np.concatenate, (names, sizes, places, spreads, grams, parts, dense))
+        del sizes, places, spreads, grams, parts, dense, group
         entry = np.repeat(np.arange(len(name)), np.concatenate(counts))
         order = np.argsort(gram, kind="stable")
         gram, entry, place = gram[order], entry[order], place[order]
@@ -514,8 +518,8 @@ def _candidates(blocks: int, keys: np.ndarray, t: float):
         by_block: list[np.ndarray] = []
         total = np.zeros(len(name), np.int64)
         total[entry] = size
-        for k in range(0, len(found), AT_ONCE):
-            x, y = np.divmod(found[k : k + AT_ONCE], wide)
+        for k in range(0, len(found), AT_ONCE // 8):
+            x, y = np.divmod(found[k : k + AT_ONCE // 8], wide)
             ok = np.minimum(spread[x], spread[y]).sum(axis=1) >= needed(total[x], total[y], t)
             x, y = name[x[ok]], name[y[ok]]
             by_block.append(np.stack((np.minimum(x, y), np.maximum(x, y)), 1)[x != y])

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import gram_join as G
@@ -133,6 +135,30 @@ def test_variants_of_a_text_cost_no_row_a_pair(docs_of, made_words):
     assert written // 16 < 10 * len(docs)
 
 
+def peak_mb(run, *args):
+    tracemalloc.start()
+    try:
+        run(*args)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_many_candidates():
+    """What the filters of step 4 hold doesn't follow the number of pairs."""
+    n = 2500
+    row = {"bucket": 0, "part": 0, "whole": True, "dense": None, "classes": G._pack(np.arange(n), "<i8"), "sizes": G._pack(np.full(n, 20), "<i4"), "places": bytes(4 * n), "spread": bytes([20] * n * G.FANOUT), "counts": G._pack(np.ones(n), "<u4"), "grams": bytes(6 * n)}
+    group = pa.Table.from_pylist([row])
+    assert peak_mb(G._candidates(4, L.block_keys(4)[0], 0.4), group) < 350
+
+
+def test_memory_of_entries():
+    """The result takes 16 bytes an entry; parts are not held beside it."""
+    n = 100_000
+    parts = [[G._pack(np.arange(n), "<i8")] * 20, [G._counts(np.ones(n, np.int64))] * 20, [bytes(6 * n)] * 20]
+    assert peak_mb(G._entries, *parts) < 1.3 * 16 * 20 * n / 1e6
+
+
 def test_overlaps(monkeypatch):
     r = np.random.default_rng(5)
     monkeypatch.setattr(G, "AT_ONCE", 200)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, MillraceError
-from ..operators import coerce, dedup, grain, lookup, upsert
+from ..operators import coerce, dedup, grain, lookup, rank, upsert
 from ..operators.publish import render
 from ..sources.log import Add, Remove, Table
 from ..sources.scan import read_files, read_snapshot
@@ -258,8 +258,8 @@ def watermark_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_after_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all events when the target has those up to the middle one."""
     events = table(spark, sf_dir, "events")
-    middle = events.agg(F.expr("CAST(timestamp_micros(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(ts AS TIMESTAMP))) AS BIGINT)) AS TIMESTAMP_NTZ)").alias("m"))
-    have = events.join(middle, F.col("ts") <= F.col("m")).drop("m")
+    middle = rank.quantile(events, F.unix_micros(F.col("ts").cast("timestamp")), 0.5)
+    have = events.filter(F.col("ts") <= F.timestamp_micros(F.lit(middle).cast("long")).cast("timestamp_ntz"))
     return dedup.cut_off(have, "ts", "event_id").apply(events).select("event_id", "ts")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.errors import CommitConflict, ConfigError, LogError, SchemaError
-from millrace.operators import coerce, dead_letter, dedup, grain, lookup, upsert
+from millrace.operators import coerce, dead_letter, dedup, grain, lookup, rank, upsert
 from millrace.sources.log import Remove, Table
 from millrace.sources.scan import read_snapshot
 from millrace.sources.sink import Offset, append, commit, write_files
@@ -152,6 +152,26 @@ def test_cut_off_rules(spark):
         dedup.cut_off(have, "ts", "k").apply(batch.select("k", F.lit(None).cast("timestamp_ntz").alias("ts"))).collect()
 
 
+def test_quantile_is_exact(spark, monkeypatch):
+    r = random.Random(4)
+    cases = [[], [None], [7], [5, 5, None], [-3, 7, 9, 1, None], [-(2**60), 0, 2**60], [r.randint(-50, 50) for _ in range(301)], [r.randint(0, 10**14) for _ in range(500)]]
+    for parts in (2, 3, rank.PARTS):
+        monkeypatch.setattr(rank, "PARTS", parts)
+        for values in cases if parts > 3 else cases[3:7]:
+            df = spark.createDataFrame([(v,) for v in values], "v long")
+            kept = sorted(v for v in values if v is not None)
+            for share in (0.5, 0.0, 1.0) if parts == 3 else (0.5,):
+                want = next((v for k, v in enumerate(kept, 1) if k >= len(kept) * share), None)
+                assert rank.quantile(df, F.col("v"), share) == want
+
+
+def test_middle_event_is_not_searched_in_one_task(spark, sf):
+    from millrace.plans import catalogue
+
+    plan = catalogue.dedup_after_rebuild(spark, sf)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "percentile"))  # all timestamps in one task, and again in each task of the product
+
+
 def test_rescan_start(spark, tmp_path):
     source, _, _ = streams(spark, tmp_path)
     mark = lambda i: T0 + dt.timedelta(minutes=i)

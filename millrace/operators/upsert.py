@@ -71,7 +71,11 @@ class Keys:
 
 
 def collapse(batch: DataFrame, keys: Keys) -> DataFrame:
-    """One row a key: the largest sequence, then tie-breakers, then the later row. A null in any of them is an error."""
+    """One row a key: the largest sequence, then tie-breakers, then the later row. A null in any of them is an error.
+
+    Rows are moved into partitions of the advised size before they are sorted: a file's row group, or a key with many
+    rows, would else be sorted in one task. A key's rows may be parted by that; their newest meet in the second shuffle.
+    """
     position = "__mr_position"
     checked = batch.withColumn(position, F.monotonically_increasing_id())
     for c in (keys.key, *keys.order):
@@ -80,7 +84,8 @@ def collapse(batch: DataFrame, keys: Keys) -> DataFrame:
         value = F.col(f"`{c}`")
         checked = checked.withColumn(c, F.when(value.isNull(), F.raise_error(F.lit(f"{c} is null; an upsert can't place the row")).cast(batch.schema[c].dataType)).otherwise(value))
     window = Window.partitionBy(F.col(f"`{keys.key}`")).orderBy(*[F.col(f"`{c}`").desc() for c in keys.order], F.col(position).desc())
-    ranked = checked.withColumn("__mr_rank", F.row_number().over(window))
+    parted = checked.withColumn("__mr_part", F.xxhash64(F.col(f"`{keys.key}`"))).hint("rebalance", "__mr_part")
+    ranked = parted.withColumn("__mr_rank", F.row_number().over(window))
     return ranked.filter("__mr_rank = 1").select(*[F.col(f"`{c}`") for c in batch.columns])
 
 

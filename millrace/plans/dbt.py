@@ -344,7 +344,7 @@ def to_toml(pipelines: list[PipelineConfig]) -> str:
 
     out: list[str] = []
     for p in pipelines:
-        out += ["[[pipeline]]", *lines(p, ("lookups", "publish", "stage_for"))]
+        out += ["[[pipeline]]", *lines(p, ("lookups", "publish", "stage_for", "from_stage"))]
         for x in p.lookups:
             out += ["[[pipeline.lookups]]", *lines(x)]
         if p.publish:

@@ -89,6 +89,8 @@ class PipelineConfig:
     publish: PublishModel | None = None
     #: Set for the first half of a staged upsert: the table whose columns the stage has.
     stage_for: str | None = None
+    #: Set for the second half.
+    from_stage: bool = False
 
 
 @dataclass
@@ -147,6 +149,7 @@ class Resolved:
     source_relation: str | None = None
     target_relation: str | None = None
     publish: PublishModel | None = None
+    from_stage: bool = False
     #: Bytes of memory that this pipeline's share of max_memory is.
     memory: int | None = None
     #: Bytes that the uniqueness check keeps to, in as many passes as that takes.
@@ -168,7 +171,7 @@ class Resolution:
 def _made(kind, values: Any, where: str):
     if not isinstance(values, dict):
         raise ConfigError(f"{where} must be a table")
-    known = {f.name: f for f in dataclasses.fields(kind) if f.name != "stage_for"}
+    known = {f.name: f for f in dataclasses.fields(kind) if f.name not in ("stage_for", "from_stage")}
     if unknown := set(values) - set(known):
         raise ConfigError(f"{where} has no setting {', '.join(sorted(unknown))}")
     if missing := [n for n, f in known.items() if f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING and n not in values]:
@@ -235,7 +238,7 @@ def expand_staged(pipelines: list[PipelineConfig]) -> list[PipelineConfig]:
             dataclasses.replace(
                 p, name=f"{p.name}__apply", app_id=f"{p.app_id}.apply", source_uri=stage, source_relation=None, write_mode="upsert", publish=None, transform_sql=None, lookups=[], watermark_uri=None,
                 starting_version=0, change_policy="fail", stage_uri=None, apply_max_bytes=None, apply_max_latency_secs=None,
-                max_bytes_per_batch=p.apply_max_bytes or p.max_bytes_per_batch, allowed_latency_secs=p.apply_max_latency_secs or p.allowed_latency_secs,
+                from_stage=True, max_bytes_per_batch=p.apply_max_bytes or p.max_bytes_per_batch, allowed_latency_secs=p.apply_max_latency_secs or p.allowed_latency_secs,
             )
         )
     return out
@@ -326,7 +329,7 @@ def resolve_one(p: PipelineConfig, d: Defaults, spark: SparkSession | None = Non
     return Resolved(
         p.name, p.app_id, p.source_uri, p.target_uri, p.lookups, p.starting_version, policy, p.transform_sql, latency, size, files, rows, parse_bytes(p.target_file_size or d.target_file_size),
         p.watermark_uri, p.dedup_timestamp, p.dedup_key, p.write_mode, key if p.write_mode != "append" else None, parse_lookback(p.upsert_lookback) if p.upsert_lookback else None,
-        tuple(p.upsert_tiebreak), p.upsert_grain_check, p.dq_uri, p.stage_for, p.source_relation, p.target_relation, p.publish,
+        tuple(p.upsert_tiebreak), p.upsert_grain_check, p.dq_uri, p.stage_for, p.source_relation, p.target_relation, p.publish, p.from_stage,
         grain_memory=parse_bytes(d.max_grain_check_memory) if d.max_grain_check_memory else None,
     )
 

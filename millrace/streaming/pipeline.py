@@ -68,7 +68,8 @@ class Pipeline:
                 self.metrics.set(grain_check_passes=passes)
         self.letters = dead_letter.open_table(s.dq_uri or dead_letter.default_uri(s.target_uri))
         self._known_lookups(target)
-        self.stream = LogStream(self.source, Cursor(start), s.change_policy, s.max_files_per_batch, s.max_bytes_per_batch, one_commit=bool(self.lookups), memory=s.memory)
+        # the stage's commits are our own: one is as large as what a batch became, which no setting bounds
+        self.stream = LogStream(self.source, Cursor(start), s.change_policy, s.max_files_per_batch, s.max_bytes_per_batch, one_commit=bool(self.lookups), memory=s.memory, any_size=s.from_stage)
 
     # ---- where to begin ----
 

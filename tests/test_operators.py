@@ -338,6 +338,38 @@ def test_staged_equals_direct(spark, tmp_path):
     assert finals[0] == finals[1] and len(finals[0]) == 10
 
 
+def test_stage_commits_may_be_larger_than_a_batch(spark, tmp_path):
+    """An ingested batch can become more bytes than it was read from; its commit is applied alone."""
+    source, target = table(tmp_path, "s", STATE), table(tmp_path, "t", STATE)
+    p = C.PipelineConfig("u", "mr.large", source.uri, target.uri, write_mode="staged_upsert", upsert_key="k", dedup_timestamp="ts", apply_max_bytes="1KB")
+    first, second = C.resolve(C.Config([p]), spark).pipelines
+    for step in range(2):
+        append(source, states(spark, [(k, f"{step}", 10 * step) for k in range(5)]))
+        assert [o.kind for o in Pipeline(spark, first).run_once()] == ["progressed", "caught_up"]
+    assert all(sum(a.size for a in Table(first.target_uri).commit(v).adds) > 1000 for v in (1, 2))
+    assert [o.kind for o in Pipeline(spark, second).run_once()] == ["progressed"] * 2 + ["caught_up"]
+    assert tuples(read_snapshot(spark, target)) == tuples(states(spark, [(k, "1", 10) for k in range(5)]))
+    with pytest.raises(ConfigError):
+        C.parse("[[pipeline]]\nname = 'n'\napp_id = 'a'\nsource_uri = '/s'\ntarget_uri = '/t'\nfrom_stage = true\n")
+
+
+def test_collapse_sorts_partitions_of_the_advised_size(spark):
+    """One file's rows, most of one key, aren't sorted in one task; of full ties the later row stays."""
+    n = 20_000
+    rows = spark.range(0, n, 1, 4).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), (F.col("id") / 4).cast("long").alias("ts"), F.sha2(F.col("id").cast("string"), 256).alias("v"), "id")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        made = upsert.collapse(rows, upsert.Keys("k", "ts"))
+        got = {r["k"]: r["id"] for r in made.collect()}
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {-1: n - 1} | {k: k for k in range(0, n, 10)}
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "skewed" in plan
+
+
 def test_preflight_and_lookback_rules(spark, tmp_path):
     t = table(tmp_path, "t", STATE)
     with pytest.raises(ConfigError):
